@@ -7,14 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_id, line_dedup, quality
+from . import chat, decontaminate, language_id, line_dedup, minhash, packing, quality, token_files
 from .common import read
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the installed public tokenizers keep a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -38,6 +49,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_removed_lines", "n_removed_chunks", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language_id.train(docs.where(_remainder(4) != 2))
@@ -50,6 +65,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=0)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     out, _ = decontaminate.decontaminate(docs, items)
@@ -65,5 +84,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_chat_format, op4_line_dedup, op6_language_id, op7_quality_rules, op10_decontaminate)
+    f.__name__: f for f in (op1_minhash_dedup, op3_chat_format, op4_line_dedup, op5_token_files, op6_language_id, op7_quality_rules, op9_best_fit_packing, op10_decontaminate)
 }
