@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_id, line_dedup, minhash, packing, quality, token_files
+from . import chat, decontaminate, language_id, line_dedup, minhash, packing, quality, token_files, toxicity
 from .common import read
 
 
@@ -65,6 +65,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(_remainder(3) != 1))
+    scored = toxicity.score(docs.select("doc_id", (_remainder(3) == 1).alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=0)
 
@@ -84,5 +91,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_dedup, op3_chat_format, op4_line_dedup, op5_token_files, op6_language_id, op7_quality_rules, op9_best_fit_packing, op10_decontaminate)
+    f.__name__: f for f in (op1_minhash_dedup, op3_chat_format, op4_line_dedup, op5_token_files, op6_language_id, op7_quality_rules, op8_toxicity, op9_best_fit_packing, op10_decontaminate)
 }
