@@ -6,8 +6,9 @@ scored by its units: words without their outer punctuation, the letters alone of
 runs of single characters put together, and overlapping pieces of long words. The text's value is its highest unit.
 
 Training: the distinct sentences of a bounded sample of labelled documents take their document's label, clean where both
-occur; Spark counts in how many toxic and clean sentences each unit stands. Units whose share of toxic sentences is no
-chance are the positive instances, frequent units of clean sentences the negative ones. A squared-hinge SVM is fitted on the Nyström
+occur; Spark counts for each unit its toxic and clean places (the sentences, told apart by the word before it, so copies
+count once). Units whose share of toxic places is no chance are the positive instances, units of clean sentences the
+negative ones: the most frequent, then those that a first machine takes for toxic. A squared-hinge SVM is fitted on the Nyström
 features of LANDMARKS units. As the kernel is a sum over subsequences, the landmarks' weights collapse into one weight a
 subsequence, so scoring a unit is a lookup of its own subsequences. A logistic curve through the sample's values gives
 probabilities.
@@ -23,7 +24,7 @@ import re
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ from .common import stored
 
 ORDER = 3
 DECAY = 0.6
-LANDMARKS = 160
+LANDMARKS = 256
 #: labelled documents of each class to learn from, about, chosen by a hash of the key
 SAMPLE_DOCS = 4000
 #: instances of each kind that reach the driver
@@ -205,18 +206,49 @@ def _svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) ->
     return w
 
 
-def _spread(words: list[str], n: int) -> list[str]:
-    """n of the words far from each other under the kernel (farthest-first)."""
+def _spread(words: list[str], weight: np.ndarray, n: int) -> list[str]:
+    """n of the words, heavy and far from those taken before under the kernel."""
     if len(words) <= n:
         return words
-    chosen, nearest = [0], kernel(words, words[:1])[:, 0]
+    chosen, nearest = [], np.zeros(len(words))
     while len(chosen) < n:
-        i = int(nearest.argmin())
+        i = int((weight * (1 - nearest)).argmax())
         chosen.append(i)
         nearest = np.maximum(nearest, kernel(words, [words[i]])[:, 0])
     return [words[i] for i in chosen]
 
 
+def _fit(positive: pd.DataFrame, negative: pd.DataFrame) -> ToxicityModel:
+    """An SVM on units with their counts t (toxic places) and c (clean places)."""
+
+    def pieces(frame: pd.DataFrame, count: str) -> tuple[list[str], np.ndarray]:
+        rows = [(p, n) for w, n in zip(frame["unit"], frame[count], strict=True) for p in _pieces(w)]
+        return [p for p, _ in rows], np.log1p(np.array([n for _, n in rows], float))
+
+    (bad, bad_weight), (good, good_weight) = pieces(positive, "t"), pieces(negative, "c")
+    marks = list(dict.fromkeys(_spread(bad, bad_weight, LANDMARKS // 2) + _spread(good[:INSTANCES], good_weight[:INSTANCES], LANDMARKS // 2)))
+    value, vector = np.linalg.eigh(kernel(marks, marks))
+    root = vector / np.sqrt(np.maximum(value, 1e-6))
+    x, sign = kernel(bad + good, marks) @ root, np.repeat([1.0, -1.0], [len(bad), len(good)])
+    cost = np.concatenate([bad_weight * 2 * len(good) / len(bad), good_weight])
+    w = _svm(x, sign, cost / cost.mean())
+    alpha = root @ w[:-1]
+    parts: dict[int, float] = {}
+    for i, part in _by_length(marks):
+        for r, k, v in zip(*(a.tolist() for a in features(part)), strict=True):
+            parts[k] = parts.get(k, 0.0) + alpha[i[r]] * v
+    keys = np.array(sorted(parts), np.int64)
+    return ToxicityModel(keys, np.array([parts[k] for k in keys.tolist()]), float(w[-1]), 1.0, 0.0)
+
+
+def _unit_scorer(model: ToxicityModel):
+    @F.pandas_udf("double")
+    def value(unit: pd.Series) -> pd.Series:
+        return pd.Series(model.units(unit.tolist()))
+
+    return value
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     a, b = 1.0, 0.0
     design = np.column_stack([x, np.ones(len(x))])
@@ -242,14 +274,14 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     chosen = y.where(F.pmod(F.xxhash64("key", F.lit(8)), F.lit(1_000_000)) < share * 1_000_000)
     sample = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key").where("text is not null").select("text", "y")
 
-    @F.pandas_udf("array<string>")
-    def units(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: list(units_of(t)))
+    @F.pandas_udf("array<struct<unit: string, before: string>>")
+    def instances(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: [(u, before) for before, w in pairwise(("", *t.lower().split())) for u in units_of(w)])
 
-    cut_up = sample.select("y", F.explode(F.split("text", "[.!?\\n]+")).alias("sentence")).where("trim(sentence) <> ''")
-    sentences = stored(cut_up.groupBy("sentence").agg(F.min("y").alias("y")), "sentences")
-    seen = sentences.select("y", F.explode(units("sentence")).alias("unit")).groupBy("unit").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
-    all_t, all_n = sentences.agg(F.sum("y"), F.count(F.lit(1))).first()
+    sentences = sample.select("y", F.explode(F.split("text", "[.!?\\n]+")).alias("sentence")).groupBy("sentence").agg(F.min("y").alias("y"))
+    places = sentences.select("y", F.explode(instances("sentence")).alias("i")).groupBy("i.unit", "i.before").agg(F.min("y").alias("y"))
+    seen = stored(places.groupBy("unit").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")), "units")
+    all_t, all_n = seen.agg(F.sum("t"), F.sum(F.col("t") + F.col("c"))).first()
     if not all_t or all_t == all_n:
         return none
     prior, n = all_t / all_n, F.col("t") + F.col("c")
@@ -258,23 +290,14 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     odds = (F.col("t") + 0.1) / (F.col("c") + 0.1) / (prior / (1 - prior))
     scored = stored(seen.select("unit", "t", "c", surprise.alias("g"), odds.alias("odds")), "units")
     positive = scored.where((F.col("g") > SURPRISE) & (F.col("odds") > 12)).orderBy(F.desc("g"), "unit").limit(INSTANCES).toPandas()
-    negative = scored.where((F.col("c") >= 1) & (F.col("odds") < 3)).orderBy(F.desc("c"), F.xxhash64("unit")).limit(3 * INSTANCES).toPandas()
+    clean = scored.where((F.col("c") >= 1) & (F.col("odds") < 3))
+    negative = clean.orderBy(F.desc("c"), F.xxhash64("unit")).limit(2 * INSTANCES).toPandas()
     if positive.empty or negative.empty:
         return none
-    cut = lambda words: [p for w in words for p in _pieces(w)]
-    good, bad = cut(negative["unit"]), cut(positive["unit"])
-    marks = list(dict.fromkeys(_spread(bad, LANDMARKS // 2) + _spread(good[:INSTANCES], LANDMARKS // 2)))
-    value, vector = np.linalg.eigh(kernel(marks, marks))
-    root = vector / np.sqrt(np.maximum(value, 1e-6))
-    x, sign = kernel(bad + good, marks) @ root, np.repeat([1.0, -1.0], [len(bad), len(good)])
-    w = _svm(x, sign, np.where(sign > 0, 10 * len(good) / len(bad), 10.0) / 10)
-    alpha = root @ w[:-1]
-    parts: dict[int, float] = {}
-    for i, part in _by_length(marks):
-        for r, k, v in zip(*(a.tolist() for a in features(part)), strict=True):
-            parts[k] = parts.get(k, 0.0) + alpha[i[r]] * v
-    keys = np.array(sorted(parts), np.int64)
-    model = ToxicityModel(keys, np.array([parts[k] for k in keys.tolist()]), float(w[-1]), 1.0, 0.0)
+    model = _fit(positive, negative)
+    # what the first machine takes for toxic in clean sentences goes into the second one's training
+    hard = clean.withColumn("v", _unit_scorer(model)("unit")).orderBy(F.desc("v"), "unit").limit(2 * INSTANCES).drop("v").toPandas()
+    model = _fit(positive, pd.concat([hard, negative]).drop_duplicates("unit"))
     seen_values = sample.select(_scorer(model, spark, False)("text").alias("v"), "y").toPandas()
     model.slope, model.shift = _logistic(seen_values["v"].to_numpy(), seen_values["y"].to_numpy(float))
     return model
