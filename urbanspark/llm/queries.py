@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_id, line_dedup, minhash, packing, quality, token_files, toxicity
+from . import chat, decontaminate, language_id, line_dedup, minhash, packing, quality, suffix_dedup, token_files, toxicity
 from .common import read
 
 
@@ -26,6 +26,12 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -91,5 +97,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_dedup, op3_chat_format, op4_line_dedup, op5_token_files, op6_language_id, op7_quality_rules, op8_toxicity, op9_best_fit_packing, op10_decontaminate)
+    f.__name__: f for f in (op1_minhash_dedup, op2_suffix_dedup, op3_chat_format, op4_line_dedup, op5_token_files, op6_language_id, op7_quality_rules, op8_toxicity, op9_best_fit_packing, op10_decontaminate)
 }
