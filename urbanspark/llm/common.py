@@ -66,3 +66,28 @@ def words_of(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row."""
     return F.transform(F.array(value), body)[0]
+
+
+def bit_filter(values: DataFrame, bits: int = 1 << 20):
+    """A test for the 64-bit hashes in values' one column: never false for one of them, rarely true for others.
+
+    The table has a fixed number of bits, whatever the number of values; when full it lets everything through, so what
+    it passes must still be joined.
+    """
+    name = values.columns[0]
+    places = lambda h: [F.pmod(h, F.lit(bits)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(bits))]
+    used = values.select(F.explode(F.array(*places(F.col(name)))).alias("bit")).distinct()
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    table = [0] * (bits // 64)
+    for r in used.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(one).alias("v")).collect():
+        table[r["w"]] = r["v"]
+    literal = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+
+    def holds(h: Column) -> Column:
+        def test(b: Column) -> Column:
+            return F.getbit(F.get(literal, F.shiftright(b, 6).cast("int")), b.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
+
+        first, second = places(h)
+        return test(first) & test(second)
+
+    return holds

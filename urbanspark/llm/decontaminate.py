@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored
+from .common import ascii_lower, bit_filter, stored
 
 WINDOW = 13
 TABLE_BITS = 1 << 18
@@ -38,28 +38,9 @@ def windows_of(items: DataFrame, item: str = "item_id", text: str = "text", wind
     return items.select(F.col(item).alias("item"), terms_of(F.col(text)).alias("w")).where(F.size("w") > 0).select("item", F.explode(cut(F.col("w"))).alias("words")).distinct()
 
 
-def _bits(term: Column) -> list[Column]:
-    h = F.xxhash64(term)
-    return [F.pmod(h, F.lit(TABLE_BITS)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(TABLE_BITS))]
-
-
 def _term_filter(terms: DataFrame):
-    """A test for terms of the given table: never false for one of them, rarely true for others."""
-    used = terms.select(F.explode(F.array(*_bits(F.col("term")))).alias("bit")).distinct()
-    words = used.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63).cast("long")).cast("int"))).alias("v")).collect()
-    table = [0] * (TABLE_BITS // 64)
-    for r in words:
-        table[r["w"]] = r["v"]
-    literal = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
-
-    def holds(term: Column) -> Column:
-        def test(b: Column) -> Column:
-            return F.getbit(F.get(literal, F.shiftright(b, 6).cast("int")), b.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
-
-        first, second = _bits(term)
-        return test(first) & test(second)
-
-    return holds
+    holds = bit_filter(terms.select(F.xxhash64("term")), TABLE_BITS)
+    return lambda term: holds(F.xxhash64(term))
 
 
 def corpus_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def shingle_sets(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
             if b - a >= SHINGLE:
                 out.append(np.unique(runs[a : b - SHINGLE + 1]))
             elif b > a:
-                out.append(mix((words[a:b] * _PLACE[: b - a]).sum(keepdims=True) + _PLACE[SHINGLE] * np.uint64(b - a)))
+                out.append(mix((words[a:b] * _PLACE[: b - a]).sum(keepdims=True) + _PLACE[SHINGLE:] * np.uint64(b - a)))
             else:
                 out.append(np.empty(0, np.uint64))
         yield row, out

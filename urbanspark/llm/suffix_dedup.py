@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bit_filter, stored
 from .shingles import _BYTE, _power, mix, parts
 
 LENGTH = 200
@@ -191,7 +191,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     all_equal, unsure = _settle(rows, ["block"])
     found = _removed(all_equal, F.col("jl"), F.col("jr"))
     wanted = unsure.groupBy("key", "hash").agg(F.collect_set(F.struct("place", "block", "jl", "jr")).alias("wanted"))
-    texts = docs.join(wanted.select(F.col("key").alias("k"), F.col("hash").alias("h"), "wanted"), (F.col("hash") == F.col("h")) & F.col("key").eqNullSafe(F.col("k")))
+    wanted = stored(wanted, "wanted")
+    texts = docs.where(bit_filter(wanted.select("hash"))(F.col("hash"))).join(wanted.select(F.col("key").alias("k"), F.col("hash").alias("h"), "wanted"), (F.col("hash") == F.col("h")) & F.col("key").eqNullSafe(F.col("k")))
     spans = texts.select("key", "hash", F.col("text").cast("binary").alias("text"), "wanted").mapInArrow(_spans, "key long, hash long, place long, block int, jl int, jr int, bytes binary")
     spans = stored(spans, "spans")
 
@@ -235,6 +236,10 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     plain = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(key).cast("long").alias("key"), F.xxhash64(plain).alias("hash"), plain.alias("text"))
     gone = repeated_spans(docs).groupBy(F.col("key").alias("k"), F.col("hash").alias("h")).agg(F.collect_set(F.struct("start", "end")).alias("gone"))
-    joined = docs.join(gone, (F.col("hash") == F.col("h")) & F.col("key").eqNullSafe(F.col("k")), "left")
-    out = joined.select("key", F.col("text").cast("binary").alias("text"), "gone").mapInArrow(_cut, "key long, n_bytes long, spans array<struct<start: long, end: long>>, kept_bytes binary")
+    gone = stored(gone, "gone")
+    touched = bit_filter(gone.select("h"))(F.col("hash"))
+    joined = docs.where(touched).join(gone, (F.col("hash") == F.col("h")) & F.col("key").eqNullSafe(F.col("k")), "left")
+    whole = docs.where(~touched).withColumn("gone", F.lit(None).cast(gone.schema["gone"].dataType))
+    both = joined.select("key", "text", "gone").union(whole.select("key", "text", "gone"))
+    out = both.select("key", F.col("text").cast("binary").alias("text"), "gone").mapInArrow(_cut, "key long, n_bytes long, spans array<struct<start: long, end: long>>, kept_bytes binary")
     return out.withColumnRenamed("key", key)
