@@ -16,12 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, stored
+from .common import bit_filter, let, stored
 
 ROLL = 2
 #: a chunk ends after a line with one chance in DIVISOR
 DIVISOR = 3
 MIN_LINES = 2
+#: of the tables that keep unrepeated chunks and untouched documents out of the shuffles
+TABLE_BITS = 1 << 21
 _HAS_WORD = "[^\\x20\\x09-\\x0D]"
 
 
@@ -53,7 +55,7 @@ def repeated_chunks(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("t")).where("t is not null")
     cut = rows.select("key", F.explode(chunks_of(F.col("t"))).alias("c")).where(F.col("c.lines") >= MIN_LINES).select("key", "c.idx", "c.lines", "c.body", F.xxhash64("c.body").alias("hash"))
     twice = stored(cut.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "chunk-hashes")
-    copies = stored(cut.join(twice, "hash", "left_semi"), "chunk-copies")
+    copies = stored(cut.where(bit_filter(twice, TABLE_BITS)(F.col("hash"))).join(twice, "hash", "left_semi"), "chunk-copies")
     first = copies.groupBy("hash", "body").agg(F.min(F.struct("key", "idx")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return copies.join(first, ["hash", "body"]).where(~F.struct("key", "idx").eqNullSafe(F.col("first"))).select("key", "idx", "hash", "lines")
 
@@ -61,14 +63,15 @@ def repeated_chunks(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with the repeated chunks cut from its text, n_removed_lines and n_removed_chunks."""
     gone = repeated_chunks(df, key, text).groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("idx", "hash")).alias("_gone"))
+    gone = stored(gone, "chunks-gone")
+    rest = [c for c in df.columns if c not in ("n_removed_lines", "n_removed_chunks", "_key", "_gone", "_chunks", "_kept")]
+    touched = bit_filter(gone.select(F.xxhash64("_key")), TABLE_BITS)(F.xxhash64(F.col(key)))
     kept = F.filter(F.col("_chunks"), lambda c: ~F.array_contains(F.col("_gone"), F.struct(c["idx"].alias("idx"), F.xxhash64(c["body"]).alias("hash"))))
-    rest = [c for c in df.columns if c not in ("n_removed_lines", "n_removed_chunks", "_key", "_gone", "_chunks")]
-    joined = df.select(*rest).join(gone, F.col(key).eqNullSafe(F.col("_key")), "left")
+    joined = df.select(*rest).where(touched).join(gone, F.col(key).eqNullSafe(F.col("_key")), "left")
     cut = joined.withColumn("_chunks", F.when(F.col("_gone").isNotNull(), chunks_of(F.col(text)))).withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
-    lines = lambda c: F.aggregate(F.col(c), F.lit(0).cast("long"), lambda n, x: n + x["lines"])
-    out = {
-        text: F.when(F.col("_kept").isNull(), F.col(text)).otherwise(F.array_join(F.transform("_kept", lambda c: c["body"]), "\n")),
-        "n_removed_lines": F.coalesce(lines("_chunks") - lines("_kept"), F.lit(0).cast("long")),
-        "n_removed_chunks": F.coalesce((F.size("_chunks") - F.size("_kept")).cast("long"), F.lit(0).cast("long")),
-    }
-    return cut.select(*[out.pop(c).alias(c) if c in out else F.col(c) for c in rest], *[v.alias(k) for k, v in out.items() if k != text])
+    zero = F.lit(0).cast("long")
+    lines = lambda c: F.aggregate(F.col(c), zero, lambda n, x: n + x["lines"])
+    new = F.when(F.col("_kept").isNull(), F.col(text)).otherwise(F.array_join(F.transform("_kept", lambda c: c["body"]), "\n"))
+    n_lines, n_chunks = F.coalesce(lines("_chunks") - lines("_kept"), zero), F.coalesce((F.size("_chunks") - F.size("_kept")).cast("long"), zero)
+    changed = cut.select(*[new.alias(c) if c == text else F.col(c) for c in rest], n_lines.alias("n_removed_lines"), n_chunks.alias("n_removed_chunks"))
+    return changed.union(df.select(*rest, zero, zero).where(~touched))
