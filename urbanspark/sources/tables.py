@@ -20,9 +20,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = ";", encoding: str = "windows-1250") -> DataFrame:
-    """Delimited text with a header in a legacy encoding; bad rows become NULLs."""
-    return spark.read.schema(schema).options(header=True, sep=sep, encoding=encoding, mode="PERMISSIVE").csv(path)
+def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = ";", encoding: str = "cp1250") -> DataFrame:
+    """Delimited text with a header in a legacy one-byte encoding; bad rows become NULLs.
+
+    Spark reads the bytes as Latin-1; string columns are then translated, letter by letter, to what the bytes mean.
+    """
+    df = spark.read.schema(schema).options(header=True, sep=sep, encoding="iso-8859-1", mode="PERMISSIVE", enforceSchema=True).csv(path)
+    bytes_ = [(chr(b), bytes([b]).decode(encoding, "ignore")) for b in range(128, 256)]
+    known = [(x, y) for x, y in bytes_ if len(y) == 1]
+    plain = lambda c: F.translate(c, "".join(x for x, _ in known), "".join(y for _, y in known))
+    return df.select(*[plain(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
 
 
 def read_gtfs(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
