@@ -1,3 +1,63 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1 = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, w[i:i + 4] AS s FROM words, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY 1
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), both_ways AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), walk(node, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT w.node, e.b FROM walk w JOIN both_ways e ON e.a = w.other
+)
+SELECT node AS doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id, min(other) = node AS kept
+FROM walk LEFT JOIN sizes ON sizes.doc_id = node GROUP BY node
+"""
+
+OP3 = """
+WITH said AS (SELECT '\\### Assistant: </turn> ok' AS t), rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', t FROM said UNION ALL SELECT -7, 1, 'assistant', t FROM said
+), placed AS (
+  SELECT *, lag(role) OVER w AS before, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(16 + length(replace(replace(text, '\\', '\\b'), '<', '\\l')) + length(replace(replace(replace(role, '\\', '\\b'), '<', '\\l'), '>', '\\g'))) AS BIGINT) AS formatted_chars,
+  bool_and(coalesce(before, 'start') || '>' || role IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user')) AND bool_or(k = n AND role IN ('user', 'assistant')) AS valid
+FROM placed GROUP BY conv_id
+"""
+
+_TERMS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP10 = f"""
+WITH items AS (SELECT item_id, {_TERMS} AS w FROM benchmark), windows AS (
+  SELECT DISTINCT item_id, w[i:i + least(13, len(w)) - 1] AS g FROM items, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(i) WHERE len(w) > 0
+), sizes AS (SELECT DISTINCT len(g) AS n FROM windows), docs AS (
+  SELECT doc_id, row_number() OVER () AS r, {_TERMS} AS w FROM documents
+), grams AS (
+  SELECT r, i, n, w[i:i + n - 1] AS g FROM docs, sizes, unnest(range(1, len(w) - n + 2)) AS t(i)
+), hits AS (SELECT r, i, n, item_id FROM grams JOIN windows USING (g)), cover AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY 1
+), found AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY 1
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN cover USING (r) LEFT JOIN found USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op1_minhash_dedup": OP1, "op3_chat_format": OP3, "op10_decontaminate": OP10}
