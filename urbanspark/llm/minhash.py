@@ -4,8 +4,9 @@ Two small collections of HALVES half keys, each made of ROWS minhashes, are comp
 pair of half keys, one from each collection, so 2 x HALVES x ROWS minhashes serve HALVES^2 tables of 2 x ROWS rows.
 Documents with the same shingle set form a class and go on as one. Half keys that nobody shares drop out before any pair
 of half keys is formed. Buckets with the same members are kept once. In each bucket every class is first compared with
-the bucket's smallest one; what that leaves in different components is then compared in full, so no bucket is capped, and
-no pairs are made where all members are linked already. Links are confirmed by intersecting full sets, components come
+the bucket's smallest one; members that this leaves in different components are then compared with each other, but for
+pairs whose parts in and outside a common pivot keep them below the threshold. So no bucket is capped, and no pairs are made where all
+members are linked already. Links are confirmed by intersecting full sets, components come
 from repeated minimum labels with pointer jumping, all on tables in the shared folder.
 
 A pair at similarity s meets in no table with probability 1 - (1 - (1 - s^ROWS)^HALVES)^2: 1e-4 at 0.75.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bit_filter, stored
 from .shingles import constants, mix, shingle_sets
 
 HALVES = 12
@@ -81,16 +82,61 @@ def _sizes_fit(a: str, b: str):
     return (100 * F.least(a, b) >= SIMILARITY * F.greatest(a, b))
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """key, shingles of the documents with the keys in ids."""
+    ids = stored(ids, "set-keys")
+    wanted = docs.where(bit_filter(ids.select(F.xxhash64("key")))(F.xxhash64("key"))).join(ids, "key", "left_semi")
+    return stored(wanted.mapInArrow(_sets, "key long, shingles array<long>").dropDuplicates(["key"]), "sets")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = stored(docs.join(ids, "key", "left_semi").mapInArrow(_sets, "key long, shingles array<long>").dropDuplicates(["key"]), "sets")
     with_b = pairs.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
     both = with_b.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
     return stored(both.where(100 * shared >= SIMILARITY * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "links")
 
 
+def _open_pairs(labelled: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one bucket in different components that may still be similar enough.
+
+    The members of buckets with several components are compared with a pivot, the smallest member of the bucket's largest
+    component. What two members share lies in the pivot, at most the smaller of their parts in it, or outside, where it is
+    counted exactly by joining on the shingles. So a pair is found by a shared shingle outside the pivot, or its parts in
+    the pivot are large enough by themselves; members whose parts in the pivot and shared shingles are too few together
+    are in no pair. One side of every pair is outside the largest component.
+    """
+    labels = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = labels.groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("pivot"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
+    members = stored(labelled.join(main, "bucket").select("pivot", "rep", "label", "n").distinct(), "open-members")
+    sides = members.join(sets.select(F.col("key").alias("rep"), F.col("shingles").alias("s")), "rep").join(sets.select(F.col("key").alias("pivot"), F.col("shingles").alias("p")), "pivot")
+    parts = stored(sides.select("pivot", "rep", "label", "n", F.array_except("s", "p").alias("out")), "pivot-parts")
+    outside = parts.select("pivot", "rep", "label", F.explode("out").alias("x"))
+    common = outside.groupBy("pivot", "x").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("pivot", "x")
+    shared = stored(outside.join(common, ["pivot", "x"]), "shared-shingles")
+    n_shared = shared.groupBy("pivot", "rep").agg(F.count(F.lit(1)).alias("k"))
+    able = parts.select("pivot", "rep", "label", "n", (F.col("n") - F.size("out")).alias("c")).join(n_shared, ["pivot", "rep"], "left")
+    able = stored(able.where(100 * (F.col("c") + F.coalesce("k", F.lit(0))) >= SIMILARITY * F.col("n")).drop("k"), "able-members")
+
+    def side(df: DataFrame, r: str, *more: str) -> DataFrame:
+        return df.select("pivot", F.col("rep").alias(r), *[F.col(c).alias(f"{c}{r}") for c in ("label", "n", "c")], *more)
+
+    def fit(both):
+        return 100 * both >= SIMILARITY * (F.col("na") + F.col("nb") - both)
+
+    least, differ = F.least("ca", "cb"), F.col("labela") != F.col("labelb")
+    rows = stored(shared.join(able.select("pivot", "rep", "n", "c"), ["pivot", "rep"]), "able-shingles")
+    # shingles with the same members (an edit changes several) count as one with a weight
+    alike = rows.groupBy("pivot", "x").agg(F.count(F.lit(1)).alias("f"), F.bit_xor(F.xxhash64("rep")).alias("u"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("v"))
+    alike = alike.where("f > 1").groupBy("pivot", "f", "u", "v").agg(F.min("x").alias("x"), F.count(F.lit(1)).alias("w")).select("pivot", "x", "w")
+    rows = stored(rows.join(alike, ["pivot", "x"]), "weighted-shingles")
+    met = side(rows.where("label <> pivot"), "a", "x", "w").join(side(rows, "b", "x"), ["pivot", "x"]).where(differ & (100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")))
+    met = met.groupBy("pivot", "a", "b").agg(F.sum("w").alias("k"), *[F.first(c).alias(c) for c in ("na", "nb", "ca", "cb")]).where(fit(least + F.col("k")))
+    large = able.where(100 * F.col("c") >= SIMILARITY * F.col("n"))
+    inside = side(large.where("label <> pivot"), "a").join(side(large, "b"), "pivot").where(differ & fit(least))
+    return met.select("a", "b").union(inside.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label: the smallest node each node of the links (a, b) reaches."""
     both = stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).where("u <> v"), "edges")
@@ -115,15 +161,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     members = _bucket_members(classes)
     sizes = members.select(F.col("rep").alias("least"), F.col("n").alias("m")).distinct()
     stars = members.where("rep <> least").select("rep", "n", "least").distinct().join(sizes, "least").where(_sizes_fit("n", "m"))
-    links = _confirm(stored(stars.select(F.col("least").alias("a"), F.col("rep").alias("b")), "pairs"), docs)
+    stars = stored(stars.select(F.col("least").alias("a"), F.col("rep").alias("b")), "pairs")
+    sets = _sets_of(docs, members.select(F.col("rep").alias("key")).distinct())
+    links = _confirm(stars, sets)
     found = components(links)
     labelled = members.join(found.select(F.col("node").alias("rep"), "label"), "rep", "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    split = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    open_ = stored(labelled.join(split, "bucket", "left_semi"), "open-buckets")
-    x, y = (open_.select("bucket", F.col("rep").alias(r), F.col("n").alias(f"n{r}"), F.col("label").alias(f"l{r}")) for r in "ab")
-    rest = x.join(y, "bucket").where("a < b and la <> lb").where(_sizes_fit("na", "nb")).select("a", "b").distinct()
-    rest = stored(rest.join(links, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(_confirm(rest, docs))
+    rest = stored(_open_pairs(stored(labelled, "members"), sets).join(stars, ["a", "b"], "left_anti"), "pairs")
+    links = links.union(_confirm(rest, sets))
     # rows that share a key are one node: it joins their classes
     again = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     same = nodes.join(again, "key", "left_semi").join(by_set, ["f1", "f2", "n"]).where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
