@@ -93,6 +93,13 @@ def test_reach_both_ways(spark):
         assert {(r.source, r.node, r.cost) for r in f(arcs, sources, 15.0).collect()} == want
 
 
+def test_fastest_paths(spark):
+    arcs = spark.createDataFrame([(1, 2, 5.0), (2, 3, 5.0), (1, 3, 20.0), (3, 1, 1.0)], "src long, dst long, cost double")
+    queries = spark.createDataFrame([(1, 3), (2, 1), (1, 1), (1, 9)], "source long, target long")
+    got = {(r.source, r.target): (r.cost, r.path) for r in graph.fastest_paths(arcs, queries).collect()}
+    assert got == {(1, 3): (10.0, [1, 2, 3]), (2, 1): (6.0, [2, 3, 1]), (1, 1): (0.0, [1]), (1, 9): (None, None)}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8)], "a long, b long")
     assert {(r.node, r.component) for r in graph.components(edges).collect()} == {(5, 2), (4, 2), (3, 2), (2, 2), (9, 8), (8, 8)}

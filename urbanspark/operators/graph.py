@@ -35,34 +35,72 @@ def relax(arcs: DataFrame, sources: DataFrame, most: float, rounds: int = 64) ->
     return best
 
 
+def _broadcast_graph(arcs: DataFrame):
+    """node -> its arcs' places, heads, costs."""
+    table = arcs.select("src", "dst", "cost").toPandas().sort_values(["src", "dst"])
+    ids, start = np.unique(table["src"].to_numpy(), return_index=True)
+    spans = zip(start.tolist(), [*start[1:].tolist(), len(table)], strict=True)
+    return arcs.sparkSession.sparkContext.broadcast((dict(zip(ids.tolist(), spans, strict=True)), table["dst"].to_numpy(), table["cost"].to_numpy(float)))
+
+
+def _search(graph: tuple, source: int, most: float, target: int | None = None) -> tuple[dict[int, float], dict[int, int]]:
+    """Least costs from source up to most (or until target), and the node before each."""
+    at, dst, cost = graph
+    done: dict[int, float] = {}
+    before: dict[int, int] = {}
+    heap = [(0.0, source, source)]
+    while heap:
+        c, node, prev = heapq.heappop(heap)
+        if node in done:
+            continue
+        done[node], before[node] = c, prev
+        if node == target:
+            break
+        a, b = at.get(node, (0, 0))
+        for i in range(a, b):
+            if c + cost[i] <= most and int(dst[i]) not in done:
+                heapq.heappush(heap, (c + cost[i], int(dst[i]), node))
+    return done, before
+
+
 def reach(arcs: DataFrame, sources: DataFrame, most: float) -> DataFrame:
     """source, node, cost within most: a heap search per source on a broadcast graph; relax() beyond MAX_ARCS."""
     if arcs.limit(MAX_ARCS + 1).count() > MAX_ARCS:
         return relax(arcs, sources, most)
-    table = arcs.select("src", "dst", "cost").toPandas().sort_values("src")
-    ids, start = np.unique(table["src"].to_numpy(), return_index=True)
-    graph = arcs.sparkSession.sparkContext.broadcast((dict(zip(ids.tolist(), zip(start.tolist(), [*start[1:].tolist(), len(table)], strict=True), strict=True)), table["dst"].to_numpy(), table["cost"].to_numpy(float)))
+    graph = _broadcast_graph(arcs)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, dst, cost = graph.value
         for batch in batches:
             for source in batch["node"]:
-                done: dict[int, float] = {}
-                heap = [(0.0, int(source))]
-                while heap:
-                    c, node = heapq.heappop(heap)
-                    if node in done:
-                        continue
-                    done[node] = c
-                    a, b = at.get(node, (0, 0))
-                    for i in range(a, b):
-                        if c + cost[i] <= most and int(dst[i]) not in done:
-                            heapq.heappush(heap, (c + cost[i], int(dst[i])))
+                done, _ = _search(graph.value, int(source), most)
                 yield pd.DataFrame({"source": source, "node": list(done), "cost": list(done.values())})
 
     return sources.select(F.col("node").cast("long").alias("node")).mapInPandas(search, "source long, node long, cost double")
 
 
+def fastest_paths(arcs: DataFrame, queries: DataFrame, most: float = float("inf")) -> DataFrame:
+    """source, target, cost, path of each query (source, target); NULLs where the target is out of reach.
+
+    For graphs of at most MAX_ARCS arcs, which are broadcast.
+    """
+    if arcs.limit(MAX_ARCS + 1).count() > MAX_ARCS:
+        raise ValueError(f"more than {MAX_ARCS} arcs; use relax() for costs")
+    graph = _broadcast_graph(arcs)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for source, target in zip(batch["source"].tolist(), batch["target"].tolist(), strict=True):
+                done, before = _search(graph.value, source, most, target)
+                path = [target] if target in done else []
+                while path and path[-1] != source:
+                    path.append(before[path[-1]])
+                rows.append((source, target, done.get(target), path[::-1] or None))
+            yield pd.DataFrame(rows, columns=["source", "target", "cost", "path"])
+
+    return queries.select(F.col("source").cast("long"), F.col("target").cast("long")).mapInPandas(search, "source long, target long, cost double, path array<long>")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component: the least node reachable along edges (a, b), by minimum labels with pointer jumping."""
     from urbanspark.sources.tables import checkpointed

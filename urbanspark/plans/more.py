@@ -117,3 +117,57 @@ def scene_to_degrees(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT vehicle, round(avg(CASE WHEN h BETWEEN 8 AND 16 THEN 1.0 ELSE 0.0 END), 6) AS daylight FROM (SELECT vehicle, hour(ts) AS h FROM v_pass) GROUP BY 1")
 def daylight_share(spark: SparkSession, d: str) -> DataFrame:
     return VIEWS["v_pass"](spark, d).groupBy("vehicle").agg(F.round(F.avg(F.when(F.hour("ts").between(8, 16), 1.0).otherwise(0.0)), 6).alias("daylight"))
+
+
+_BOXES = "SELECT id, x, z, 100.0 + 20 * kind AS w, 80.0 + id % 50 AS h FROM v_point"
+_LAP = "greatest(least(a.x + a.w / 2, b.x + b.w / 2) - greatest(a.x - a.w / 2, b.x - b.w / 2), 0) * greatest(least(a.z + a.h / 2, b.z + b.h / 2) - greatest(a.z - a.h / 2, b.z - b.h / 2), 0)"
+
+
+@query(f"SELECT a.id AS a, b.id AS b FROM ({_BOXES}) a JOIN ({_BOXES}) b ON a.id < b.id AND {_LAP} >= 0.3 * least(a.w * a.h, b.w * b.h)")
+def box_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of rectangles that share three tenths of the smaller one: cells first, then the areas."""
+    boxes = VIEWS["v_point"](spark, d).select("id", "x", "z", (100.0 + 20 * F.col("kind")).alias("w"), (80.0 + F.col("id") % 50).alias("h"))
+
+    def shared(c: str, size: str):
+        low = F.greatest(F.col(f"l_{c}") - F.col(f"l_{size}") / 2, F.col(f"r_{c}") - F.col(f"r_{size}") / 2)
+        return F.greatest(F.least(F.col(f"l_{c}") + F.col(f"l_{size}") / 2, F.col(f"r_{c}") + F.col(f"r_{size}") / 2) - low, F.lit(0.0))
+
+    pairs = within(boxes, boxes, 320.0).where("l_id < r_id")  # no rectangle's diagonal is longer
+    return pairs.where(shared("x", "w") * shared("z", "h") >= 0.3 * F.least(F.col("l_w") * F.col("l_h"), F.col("r_w") * F.col("r_h"))).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
+
+
+@query("SELECT edge_id, k, round((k * 25.0 + 12.5)::DOUBLE, 4) AS at FROM (SELECT edge_id, unnest(range(0, CAST(floor(length / 25.0) AS BIGINT))) AS k FROM v_edge WHERE edge_id % 10 = 0)")
+def lots_along_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Lots of 25 m frontage along every tenth edge, at their middles."""
+    e = VIEWS["v_edge"](spark, d).where("edge_id % 10 = 0").withColumn("n", F.floor(F.col("length") / 25.0)).where("n > 0")
+    lots = e.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return lots.select("edge_id", "k", F.round(F.col("k") * 25.0 + 12.5, 4).alias("at"))
+
+
+@query("SELECT src, dst, CASE WHEN a_in AND b_in THEN 'inside' WHEN b_in THEN 'in' ELSE 'out' END AS way FROM (SELECT src, dst, (a.x BETWEEN 1000 AND 3000 AND a.z BETWEEN 1000 AND 3000) AS a_in, (b.x BETWEEN 1000 AND 3000 AND b.z BETWEEN 1000 AND 3000) AS b_in FROM v_arc JOIN v_zone a ON a.zone = src JOIN v_zone b ON b.zone = dst) WHERE a_in OR b_in")
+def roads_across_area(spark: SparkSession, d: str) -> DataFrame:
+    """Arcs into, out of and inside an area."""
+    inside = F.col("x").between(1000, 3000) & F.col("z").between(1000, 3000)
+    z = VIEWS["v_zone"](spark, d).select("zone", inside.alias("inside"))
+    arcs = VIEWS["v_arc"](spark, d).join(z.select(F.col("zone").alias("src"), F.col("inside").alias("a_in")), "src").join(z.select(F.col("zone").alias("dst"), F.col("inside").alias("b_in")), "dst")
+    way = F.when(F.col("a_in") & F.col("b_in"), "inside").when(F.col("b_in"), "in").otherwise("out")
+    return arcs.where("a_in or b_in").select("src", "dst", way.alias("way"))
+
+
+@query("SELECT doc_id, lang, CAST(n_chars AS BIGINT) AS size FROM documents")
+def edit_list_codec(spark: SparkSession, d: str) -> DataFrame:
+    """Records through their JSON form and back."""
+    record = F.to_json(F.struct("doc_id", "lang", F.col("n_chars").alias("size")))
+    back = F.from_json(record, "doc_id long, lang string, size long")
+    return table(spark, d, "documents").select(back.alias("r")).select("r.*")
+
+
+@query()
+def fastest_routes(spark: SparkSession, d: str) -> DataFrame:
+    """The fastest route between some pairs of zones."""
+    from urbanspark.operators.graph import fastest_paths
+
+    arcs = VIEWS["v_arc"](spark, d).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "cost")
+    pairs = VIEWS["v_zone"](spark, d).select(F.col("zone").alias("source"), ((F.col("zone") * 7 + 3) % 25).alias("target"))
+    out = fastest_paths(arcs, pairs)
+    return out.select("source", "target", F.round("cost", 4).alias("cost"), F.array_join("path", ">").alias("path"))
