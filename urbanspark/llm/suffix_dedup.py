@@ -5,12 +5,12 @@ position; equal strings mark the same place. These positions are the sample: abo
 one at a distance d of at most LENGTH - GRAM behind it. Only samples whose gram repeats (counted over the whole corpus; a
 bit table of fixed size carries the answer back) can stand in a repeated string.
 
-Suffix buckets. The suffix starts before such a sample fall into blocks of 64 distances. A bucket holds the blocks, from
-all documents, with the same bytes common to all their strings (the core) at the same distances. Within it the names of
-the blocks' whole spans settle most ties at once: equal spans repeat at every start, a lone core nowhere. Where spans
-differ inside a bucket, the blocks that have no equal, and one of each set of equals, go on to blocks of 8 starts and
-then to single starts. So only the borders of repeats are looked at start by start, no bucket is held in memory, and a
-bucket of any size is a pair of partial aggregates and a join.
+Suffix buckets. The suffix starts that a sample marks go with it. A bucket holds, from all documents, the samples with the
+same gram (the core their strings share at the same distances). Within it the names of the whole spans around the samples
+settle most ties at once: equal spans repeat at every start, a lone gram nowhere. Where a bucket has several spans, one
+sample of each goes on to blocks of FINE starts and then to single starts, in the same way. So only the borders of
+repeats are looked at start by start, no bucket is held in memory, and a bucket of any size is partial aggregates and
+joins.
 
 Matches never cross documents; strings are judged on the input. Edge cases: null and empty texts have no bytes; texts
 shorter than LENGTH lose nothing. Repeated rows are copies of each other. Rows are told apart by key and text. Null keys
@@ -32,13 +32,13 @@ from .shingles import _BYTE, _power, mix, parts
 
 LENGTH = 200
 GRAM = 64
-BLOCK = 64
+#: the largest distance of a start before its sample
+FAR = LENGTH - GRAM
 FINE = 8
 #: bits of the table of repeated grams, whatever the corpus's size
 TABLE_BITS = 1 << 27
 _STRETCH = 1 << 22
 _PLACE = np.uint64((1 << 24) - 1)
-_SPAN = BLOCK + LENGTH - 1
 
 
 def _prefix(data: np.ndarray) -> np.ndarray:
@@ -123,8 +123,8 @@ def _repeated_grams(texts: DataFrame) -> np.ndarray:
 
 
 def _blocks(shared):
-    """mapInArrow function (key, hash, text) -> the blocks before samples with a repeated gram."""
-    names = ["key", "hash", "place", "block", "core", "span", "jl", "jr"]
+    """mapInArrow function (key, hash, text) -> the samples with a repeated gram and the distances they mark."""
+    names = ["key", "hash", "place", "low", "high", "core", "span"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -132,82 +132,84 @@ def _blocks(shared):
             for row, data, offsets, shift, text, total, place, lo, hi, gram in _sampled(batch.column(2)):
                 bit = gram >> np.uint64(64 - TABLE_BITS.bit_length() + 1)
                 on = (table[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                place, lo, hi = place[on], lo[on], hi[on]
+                place, lo, hi, gram = place[on], lo[on], hi[on], gram[on]
                 owner = text[lo]
                 begin, end = offsets[owner], offsets[owner + 1]
-                for b in range(-(-(LENGTH - GRAM + 1) // BLOCK)):
-                    near, far = b * BLOCK, b * BLOCK + BLOCK - 1
-                    m = (place - hi <= far) & (place - lo >= near)
-                    a, s, e = place[m], begin[m], end[m]
-                    jl = far - np.minimum(np.minimum(far, LENGTH - GRAM), a - s)
-                    jr = far - np.maximum(near, a - e + LENGTH)
-                    core = _hash(total, a - near, a - far + LENGTH)
-                    span = mix(_hash(total, np.maximum(a - far, s), np.minimum(a - near + LENGTH, e)) + (jl * BLOCK + jr).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                    at = pa.array(row + owner[m])
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(at), batch.column(1).take(at), pa.array(a - s + shift), pa.array(np.full(len(a), b, np.int32)), pa.array(core.view(np.int64)), pa.array(span.view(np.int64)), pa.array(jl.astype(np.int32)), pa.array(jr.astype(np.int32))],
-                        names,
-                    )
+                near, far = np.maximum(0, place + LENGTH - end), np.minimum(FAR, place - begin)
+                span = mix(_hash(total, np.maximum(place - FAR, begin), np.minimum(place + LENGTH, end)) + (near * LENGTH + far).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                at = pa.array(row + owner)
+                columns = [pa.array(place - begin + shift), pa.array((place - hi).astype(np.int32)), pa.array((place - lo).astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(span.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names)
 
     return emit
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, hash, text, wanted [(place, block, jl, jr)]) -> a row for each wanted block with its bytes, NULs outside the text."""
+    """(key, hash, text, wanted [(place, low, high)]) -> each wanted sample with the bytes around it, NULs outside the text,
+    and the least and largest distance of a string that lies in the text."""
     for batch in batches:
         for i in range(batch.num_rows):
             data = batch.column(2)[i].as_buffer().to_pybytes()
             rows = batch.column(3)[i].as_py()
             cut = []
             for r in rows:
-                a = r["place"] - r["block"] * BLOCK - BLOCK + 1
-                cut.append((b"\0" * max(0, -a) + data[max(0, a) : a + _SPAN]).ljust(_SPAN, b"\0"))
+                a = r["place"] - FAR
+                cut.append((b"\0" * max(0, -a) + data[max(0, a) : r["place"] + LENGTH]).ljust(FAR + LENGTH, b"\0"))
+                r["near"], r["far"] = max(0, r["place"] + LENGTH - len(data)), min(FAR, r["place"])
             same = pa.array([i] * len(rows), pa.int64())
-            columns = [pa.array([r[k] for r in rows], t) for k, t in (("place", pa.int64()), ("block", pa.int32()), ("jl", pa.int32()), ("jr", pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(same), batch.column(1).take(same), *columns, pa.array(cut, pa.binary())], ["key", "hash", "place", "block", "jl", "jr", "bytes"])
+            columns = [pa.array([r[k] for r in rows], t) for k, t in (("place", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("near", pa.int32()), ("far", pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(same), batch.column(1).take(same), *columns, pa.array(cut, pa.binary())], ["key", "hash", "place", "low", "high", "near", "far", "bytes"])
 
 
 def _settle(rows: DataFrame, at: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows that repeat at all their starts, rows to look at more closely) of rows with core and span; at: their distances."""
-    me = F.struct("key", "hash", "place")
-    sets = rows.groupBy(*at, "core", "span").agg(F.count(F.lit(1)).alias("copies"), F.min(me).alias("first"))
-    cores = sets.groupBy(*at, "core").agg(F.count(F.lit(1)).alias("kinds"), F.sum("copies").alias("all")).where("all > 1").drop("all")
-    known = stored(rows.join(sets.join(cores, [*at, "core"]), [*at, "core", "span"]), "ties")
-    return known.where("copies > 1"), known.where((F.col("kinds") > 1) & ((F.col("copies") == 1) | me.eqNullSafe(F.col("first"))))
+    """(rows that repeat at all their starts, rows to look at more closely) of rows with core and span; at: their distances.
 
+    The latter are lone spans of shared cores, and one row of each repeated span in a core of several spans.
+    """
+    sets = rows.groupBy(*at, "core", "span").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "hash", "place", "low", "high")).alias("me"))
+    sets = stored(sets, "span-sets")
+    several = sets.groupBy(*at, "core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
+    unsure = sets.join(several, [*at, "core"], "left_semi").select(*at, "me.*")
+    equal = rows.join(sets.where("copies > 1").select(*at, "core", "span"), [*at, "core", "span"], "left_semi")
+    return equal, unsure
 
-def _removed(rows: DataFrame, low: Column, high: Column) -> DataFrame:
-    """Byte spans of the starts low to high (places in the block)."""
-    zero = F.col("place") - F.col("block") * BLOCK - (BLOCK - 1)
-    return rows.select("key", "hash", (zero + low).alias("start"), (zero + high + LENGTH).alias("end"))
+
+def _removed(rows: DataFrame) -> DataFrame:
+    """Byte spans of the strings at distances low to high before a sample."""
+    return rows.select("key", "hash", (F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + LENGTH).alias("end"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """key, hash, start, end: overlapping byte spans to remove, of docs with key, hash, text."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(_repeated_grams(docs))
-    rows = docs.mapInArrow(_blocks(shared), "key long, hash long, place long, block int, core long, span long, jl int, jr int")
-    rows = stored(rows, "blocks")
-    all_equal, unsure = _settle(rows, ["block"])
-    found = _removed(all_equal, F.col("jl"), F.col("jr"))
-    wanted = unsure.groupBy("key", "hash").agg(F.collect_set(F.struct("place", "block", "jl", "jr")).alias("wanted"))
-    wanted = stored(wanted, "wanted")
-    texts = docs.where(bit_filter(wanted.select("hash"))(F.col("hash"))).join(wanted.select(F.col("key").alias("k"), F.col("hash").alias("h"), "wanted"), (F.col("hash") == F.col("h")) & F.col("key").eqNullSafe(F.col("k")))
-    spans = texts.select("key", "hash", F.col("text").cast("binary").alias("text"), "wanted").mapInArrow(_spans, "key long, hash long, place long, block int, jl int, jr int, bytes binary")
+    rows = docs.mapInArrow(_blocks(shared), "key long, hash long, place long, low int, high int, core long, span long")
+    equal, unsure = _settle(stored(rows, "blocks"), [])
+    found = [_removed(equal)]
+    wanted = stored(unsure.groupBy("key", "hash").agg(F.collect_list(F.struct("place", "low", "high")).alias("wanted")), "wanted")
+    same = (F.col("hash") == F.col("h")) & F.col("key").eqNullSafe(F.col("k"))
+    holds = bit_filter(wanted.select(F.xxhash64("key", "hash")))
+    texts = docs.where(holds(F.xxhash64("key", "hash"))).join(wanted.select(F.col("key").alias("k"), F.col("hash").alias("h"), "wanted"), same)
+    spans = texts.select("key", "hash", F.col("text").cast("binary").alias("text"), "wanted").mapInArrow(_spans, "key long, hash long, place long, low int, high int, near int, far int, bytes binary")
     spans = stored(spans, "spans")
 
-    first = F.col("part") * FINE
-    fine = spans.select("*", F.explode(F.sequence(F.lit(0), F.lit(BLOCK // FINE - 1))).alias("part"))
-    fine = fine.withColumns({"jl": F.greatest("jl", first), "jr": F.least("jr", first + (FINE - 1))}).where("jl <= jr")
-    fine = fine.withColumns({"core": F.xxhash64(F.substring("bytes", first + FINE, F.lit(LENGTH - FINE + 1))), "span": F.xxhash64(F.substring("bytes", first + 1, F.lit(LENGTH + FINE - 1)), "jl", "jr")})
-    all_equal, unsure = _settle(fine.withColumn("bytes", F.substring("bytes", first + 1, F.lit(LENGTH + FINE - 1))), ["block", "part"])
-    found = found.union(_removed(all_equal, F.col("jl"), F.col("jr")))
-
-    single = unsure.select("key", "hash", "place", "block", F.explode(F.sequence("jl", "jr")).alias("j"), "bytes", "part")
-    string = F.substring("bytes", F.col("j") - first + 1, F.lit(LENGTH))
-    single = stored(single.select("key", "hash", "place", "block", "j", F.xxhash64(string).alias("core"), F.xxhash64(string, F.lit(1)).alias("span")), "starts")
-    twice = single.groupBy("block", "j", "core", "span").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return found.union(_removed(single.join(twice, ["block", "j", "core", "span"], "left_semi"), F.col("j"), F.col("j")))
+    first = F.col("part") * FINE  # distances first to first + FINE - 1
+    inner = lambda low, high: {"low": F.greatest(F.col(low), first), "high": F.least(F.col(high), first + (FINE - 1))}
+    fine = spans.withColumn("part", F.explode(F.sequence(F.floor(F.col("low") / FINE).cast("int"), F.floor(F.col("high") / FINE).cast("int"))))
+    left = F.greatest(FAR - first - (FINE - 1), F.lit(0))
+    core = F.xxhash64(F.substring("bytes", FAR - first + 1, F.lit(LENGTH - FINE + 1)))
+    span = F.xxhash64(F.substring("bytes", left + 1, FAR - first + LENGTH - left), *inner("near", "far").values())
+    fine = fine.select("key", "hash", "place", "part", *[c.alias(n) for n, c in inner("low", "high").items()], core.alias("core"), span.alias("span"))
+    equal, unsure = _settle(stored(fine, "parts"), ["part"])
+    found.append(_removed(equal))
+
+    single = unsure.join(spans.select("key", "hash", "place", "bytes").withColumnsRenamed({"key": "k", "hash": "h", "place": "p"}), same & (F.col("place") == F.col("p")))
+    single = single.select("key", "hash", "place", F.explode(F.sequence("low", "high")).alias("low"), "bytes")
+    string = F.substring("bytes", FAR - F.col("low") + 1, F.lit(LENGTH))
+    single = stored(single.select("key", "hash", "place", "low", F.col("low").alias("high"), F.xxhash64(string).alias("core"), F.xxhash64(string, F.lit(1)).alias("span")), "starts")
+    twice = single.groupBy("low", "core", "span").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    found.append(_removed(single.join(twice, ["low", "core", "span"], "left_semi")))
+    return found[0].union(found[1]).union(found[2])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,10 +236,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a row: key, n_bytes, spans (maximal removed byte runs), kept_bytes."""
     plain = F.coalesce(F.col(text), F.lit(""))
-    docs = df.select(F.col(key).cast("long").alias("key"), F.xxhash64(plain).alias("hash"), plain.alias("text"))
+    # rows are told apart by their key; where keys repeat, by a hash of the text as well
+    docs = df.select(F.col(key).cast("long").alias("key"), plain.alias("text"))
+    again = stored(docs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "repeated-keys")
+    repeated = bit_filter(again.select(F.xxhash64("key")))(F.xxhash64("key"))
+    docs = docs.select("key", F.when(repeated, F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("hash"), "text")
     gone = repeated_spans(docs).groupBy(F.col("key").alias("k"), F.col("hash").alias("h")).agg(F.collect_set(F.struct("start", "end")).alias("gone"))
     gone = stored(gone, "gone")
-    touched = bit_filter(gone.select("h"))(F.col("hash"))
+    touched = bit_filter(gone.select(F.xxhash64("k", "h")))(F.xxhash64("key", "hash"))
     joined = docs.where(touched).join(gone, (F.col("hash") == F.col("h")) & F.col("key").eqNullSafe(F.col("k")), "left")
     whole = docs.where(~touched).withColumn("gone", F.lit(None).cast(gone.schema["gone"].dataType))
     both = joined.select("key", "text", "gone").union(whole.select("key", "text", "gone"))

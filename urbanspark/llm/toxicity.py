@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bit_filter, stored
 
 ORDER = 3
 DECAY = 0.6
@@ -272,7 +272,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return none
     share = F.when(F.col("y") == 1, min(1.0, sample_docs / total[1])).otherwise(min(1.0, sample_docs / total[0]))
     chosen = y.where(F.pmod(F.xxhash64("key", F.lit(8)), F.lit(1_000_000)) < share * 1_000_000)
-    sample = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key").where("text is not null").select("text", "y")
+    chosen = stored(chosen, "labelled-keys")
+    near = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(bit_filter(chosen.select(F.xxhash64("key")))(F.xxhash64("key")))
+    sample = stored(near.join(chosen, "key").where("text is not null").select("text", "y"), "labelled")
 
     @F.pandas_udf("array<struct<unit: string, before: string>>")
     def instances(text: pd.Series) -> pd.Series:
