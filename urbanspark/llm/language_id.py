@@ -11,7 +11,7 @@ replaced; other columns stay.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +26,9 @@ BUCKETS = 1 << 16
 SAMPLE_ROWS = 20_000
 MAX_BROADCAST_BYTES = 256 << 20
 UNKNOWN = "und"
-_CHUNK = 1 << 21
+_CHUNK = 1 << 17
+#: rows of a batch that are held as Python strings at once
+_ROWS = 256
 
 
 @dataclass(frozen=True)
@@ -36,7 +38,7 @@ class LanguageModel:
     log_prob: np.ndarray  # languages x buckets, float32
 
 
-def _spans(texts: list[str]) -> Iterator[tuple[list[int], str, list[int]]]:
+def _spans(texts: Iterable[str]) -> Iterator[tuple[list[int], str, list[int]]]:
     """Chunks of joined texts: the row of each part, the joined text, the parts' lengths.
 
     Two NULs follow each text; a text longer than a chunk is cut in parts that carry the next two characters along.
@@ -88,7 +90,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, group in frame.groupby("lang"):
             c = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
             docs[lang] = docs.get(lang, 0) + len(group)
-            for _, joined, sizes in _spans([t.lower() for t in group["text"]]):
+            for _, joined, sizes in _spans(map(str.lower, group["text"])):
                 keep = np.ones(len(joined) - 2, bool)
                 ends = np.cumsum(np.array(sizes) + 2)[:-1]
                 keep[ends - 2] = keep[ends - 1] = False
@@ -122,7 +124,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
 def score_texts(model: LanguageModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Index of the best language of each text and its posterior probability."""
     total = np.zeros((len(texts), len(model.langs)))
-    for rows, joined, sizes in _spans([t.lower() for t in texts]):
+    for rows, joined, sizes in _spans(map(str.lower, texts)):
         # a part's own n-grams and the two after it, which start in the separator, alternate
         edges = np.cumsum([0, *(x for s in sizes for x in (s, 2))])[:-2]
         grams = list(_buckets(joined))
@@ -149,9 +151,9 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
         out = pd.DataFrame({"lang_pred": UNKNOWN, "score": 0.0}, index=text.index)
         known = np.flatnonzero(letters.to_numpy(bool))
         if len(known) and model.langs:
-            best, p = score_texts(model, text.iloc[known].tolist())
-            out.iloc[known, 0] = np.array(model.langs, dtype=object)[best]
-            out.iloc[known, 1] = p
+            scored = [score_texts(model, text.iloc[known[a : a + _ROWS]].tolist()) for a in range(0, len(known), _ROWS)]
+            out.iloc[known, 0] = np.array(model.langs, dtype=object)[np.concatenate([best for best, _ in scored])]
+            out.iloc[known, 1] = np.concatenate([p for _, p in scored])
         return out
 
     letters = F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 SHINGLE = 5
-_PART_BYTES = 1 << 21
+_PART_BYTES = 1 << 18
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
