@@ -2,9 +2,10 @@
 
 Base measures of every text are computed once, in SQL functions. For each metric a KLL quantile sketch is built per
 (lang, source); the sketches merge upwards to the language and to the whole corpus, so groups with few rows borrow the
-wider group's quantiles. A document is dropped when a metric lies beyond its group's outer fence
-(quantile 0.99 plus `reach` times the distance from the median to it, and never inside a fixed margin), or when it fails
-the base rule.
+wider group's quantiles. A document is dropped when a metric lies beyond its group's outer fence (REACH times the distance
+of the quartiles beyond the outer one, and never inside a fixed margin of the median), when a share lies beyond its
+ceiling, or when it fails the base rule. Quartiles stay where they are until a quarter of a group is junk; ceilings hold
+beyond that. Shares have no lower fence.
 
 Sketches are partial aggregates: a hot source is combined before the shuffle. The thresholds are one row a group; Spark
 broadcasts them only while they are small.
@@ -26,6 +27,8 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: metric -> the least distance of a fence from the median
 METRICS = {"word_length": 2.0, "symbol_share": 0.05, "dup_line_share": 0.3, "repeat_share": 0.1}
+#: shares beyond these go in every group
+CEILINGS = {"symbol_share": 0.25, "dup_line_share": 0.5, "repeat_share": MAX_REPEAT_PERCENT / 100}
 #: groups with fewer rows use the wider group's sketch
 MIN_GROUP = 200
 REACH = 3.0
@@ -55,7 +58,7 @@ def _repeated_words(h: Column) -> Column:
 
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
     """df without its text, with the base measures and base_failed."""
-    rest = [c for c in df.columns if c not in (*_BASE, "base_failed", "_t", "_w", "_h", text)]
+    rest = [c for c in df.columns if c not in (*_BASE, "base_failed", "_n_lines", "_t", "_w", "_h", text)]
     lines = lambda t: F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     return (
         df.select(*rest, F.coalesce(F.col(text), F.lit("")).alias("_t"))
@@ -68,6 +71,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
             F.size(F.regexp_extract_all("_t", F.lit("[#*$%&|<>]"), F.lit(0))).cast("long").alias("n_symbols"),
             let(lines(F.col("_t")), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             _repeated_words(F.col("_h")).alias("n_repeat_words"),
+            F.size(lines(F.col("_t"))).cast("long").alias("_n_lines"),
         )
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     )
@@ -75,7 +79,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
 
 def _metrics() -> dict[str, Column]:
     n = F.greatest(F.col("n_words"), F.lit(1))
-    return {"word_length": F.col("word_chars") / n, "symbol_share": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)), "dup_line_share": F.col("n_dup_lines") / n, "repeat_share": F.col("n_repeat_words") / n}
+    return {"word_length": F.col("word_chars") / n, "symbol_share": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)), "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("_n_lines"), F.lit(1)), "repeat_share": F.col("n_repeat_words") / n}
 
 
 def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -94,11 +98,11 @@ def thresholds(per_group: DataFrame) -> DataFrame:
 
     def fences(k: str) -> list[Column]:
         sketch = F.when(F.col("a.n") >= MIN_GROUP, F.col(f"a.{k}")).when(F.col("b.n") >= MIN_GROUP, F.col(f"b.{k}")).otherwise(F.col(f"c.{k}"))
-        low, mid, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.01, 0.5, 0.99))
-        return [
-            (mid - F.greatest((1 + REACH) * (mid - low), F.lit(METRICS[k]))).alias(f"{k}_low"),
-            (mid + F.greatest((1 + REACH) * (high - mid), F.lit(METRICS[k]))).alias(f"{k}_high"),
-        ]
+        low, mid, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.5, 0.75))
+        outer = F.greatest(high + REACH * (high - low), mid + METRICS[k])
+        if k in CEILINGS:
+            return [F.least(outer, F.lit(CEILINGS[k])).alias(f"{k}_high")]
+        return [F.least(low - REACH * (high - low), mid - METRICS[k]).alias(f"{k}_low"), outer.alias(f"{k}_high")]
 
     return wide.select(F.col("a.lang").alias("t_lang"), F.col("a.source").alias("t_source"), *[x for k in METRICS for x in fences(k)])
 
@@ -109,7 +113,8 @@ def filter_quality(df: DataFrame, text: str = "text", lang: str = "lang", source
     limits = stored(thresholds(sketches(measured, lang, source)), "quality-limits")
     inside = F.lit(True)
     for k, m in _metrics().items():
-        inside = inside & F.coalesce(m.between(F.col(f"{k}_low"), F.col(f"{k}_high")), F.lit(True))
+        within = m <= F.col(f"{k}_high")
+        inside = inside & F.coalesce(within if k in CEILINGS else within & (m >= F.col(f"{k}_low")), F.lit(True))
     joined = measured.join(limits, F.col(lang).eqNullSafe(F.col("t_lang")) & F.col(source).eqNullSafe(F.col("t_source")), "left")
-    rest = [c for c in measured.columns if c != "kept"]
+    rest = [c for c in measured.columns if c not in ("kept", "_n_lines")]
     return joined.select(*rest, (~F.col("base_failed") & inside).alias("kept"))
