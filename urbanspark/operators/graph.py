@@ -14,17 +14,18 @@ from pyspark.sql import functions as F
 MAX_ARCS = 5_000_000
 
 
-def relax(arcs: DataFrame, sources: DataFrame, most: float, rounds: int = 64) -> DataFrame:
+def relax(arcs: DataFrame, sources: DataFrame, most: float) -> DataFrame:
     """source, node, cost: least costs up to most, by rounds of joins on whole frontiers (Bellman-Ford).
 
     Each round extends only what the last one improved and is written to the shared checkpoint folder, so the plan stays
-    short; the arcs are joined on src and never leave the executors.
+    short; the arcs are joined on src and never leave the executors. Rounds go on until none improves a cost; costs are
+    never negative, so they end.
     """
     from urbanspark.sources.tables import checkpointed
 
     best = checkpointed(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost")))
     frontier = best
-    for _ in range(rounds):
+    while True:
         step = frontier.join(arcs.withColumnRenamed("cost", "w"), F.col("node") == F.col("src"))
         step = step.select("source", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost")).where(F.col("cost") <= most)
         found = step.groupBy("source", "node").agg(F.min("cost").alias("new"))

@@ -9,38 +9,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def greedy_pairs(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def greedy_pairs(pairs: DataFrame) -> DataFrame:
     """One-to-one pairs (a, b, dist) by ascending distance: each round keeps the pairs that are best for both sides.
 
-    The order (dist, a, b) is total, so the result is that of taking the nearest pair again and again.
+    The order (dist, a, b) is total, so the result is that of taking the nearest pair again and again. Each round takes
+    the nearest pair left, at least, so the rounds end.
     """
     from urbanspark.sources.tables import checkpointed
 
-    left = checkpointed(pairs.select("a", "b", "dist"))
+    left = checkpointed(pairs.select("a", "b", "dist").where("a is not null and b is not null and dist is not null"))
     taken = None
-    for _ in range(rounds):
+    while True:
         rank = F.struct("dist", "a", "b")
         best_a = left.groupBy("a").agg(F.min(rank).alias("p"))
         best_b = left.groupBy("b").agg(F.min(rank).alias("q"))
         now = checkpointed(best_a.join(best_b, F.col("p") == F.col("q")).select("p.*"))
-        taken = now if taken is None else taken.unionByName(now)
+        taken = now if taken is None else checkpointed(taken.unionByName(now))
         left = checkpointed(left.join(now.select("a"), "a", "left_anti").join(now.select("b"), "b", "left_anti"))
         if left.isEmpty():
             break
     return taken.select("a", "b", "dist")
 
 
-def independent(conflicts: DataFrame, ranked: DataFrame, rounds: int = 50) -> DataFrame:
-    """Rows (id, rank) that stay when each row loses to a better one it conflicts with (a, b both ways) that stays."""
+def independent(conflicts: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Rows (id, rank) that stay when each row loses to a better one it conflicts with (a, b both ways) that stays.
+
+    Each round decides the best row left, at least, so the rounds end.
+    """
     from urbanspark.sources.tables import checkpointed
 
-    left, kept = checkpointed(ranked.select("id", "rank")), None
+    left, kept = checkpointed(ranked.where("id is not null").select("id", "rank")), ranked.where("id is null").select("id", "rank")
     edges = checkpointed(conflicts.select("a", "b").distinct())
-    for _ in range(rounds):
+    while True:
         mine, other = left.select(F.col("id").alias("a"), F.col("rank").alias("ra")), left.select(F.col("id").alias("b"), F.col("rank").alias("rb"))
         beaten = edges.join(mine, "a").join(other, "b").where((F.col("rb") < F.col("ra")) | ((F.col("rb") == F.col("ra")) & (F.col("b") < F.col("a")))).select(F.col("a").alias("id")).distinct()
         now = checkpointed(left.join(beaten, "id", "left_anti"))
-        kept = now if kept is None else kept.unionByName(now)
+        kept = checkpointed(kept.unionByName(now))
         gone = now.join(edges, now.id == edges.a).select(F.col("b").alias("id")).union(now.select("id"))
         left = checkpointed(left.join(gone, "id", "left_anti"))
         if left.isEmpty():
@@ -85,17 +89,20 @@ def viterbi(observed: DataFrame, key: str, weight: float = 1.0) -> DataFrame:
     return observed.groupBy(key).applyInPandas(solve, f"{key} long, seq int, position double")
 
 
-def back_trace(previous: DataFrame, most: int = 64) -> DataFrame:
-    """Paths from (node, prev) tables: start, path; joins the next step on until every path ends."""
-    from urbanspark.sources.tables import checkpointed
-
-    paths = checkpointed(previous.select(F.col("node").alias("start"), F.array("node").alias("path"), F.col("prev").alias("at")))
-    for _ in range(most):
-        if paths.where("at is not null").isEmpty():
-            break
-        step = previous.select(F.col("node").alias("at"), F.col("prev").alias("up"))
-        open_ = paths.where("at is not null").join(step, "at", "left").select("start", F.concat("path", F.array("at")).alias("path"), F.col("up").alias("at"))
-        paths = checkpointed(paths.where("at is null").select("start", "path", "at").unionByName(open_))
-    return paths.select("start", "path")
+def back_trace(previous: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """Paths from (node, prev) tables: start, path; joins the next step on until every path ends, or would meet itself.
 
+    starts: the nodes (node) to trace, all of them if left out.
+    """
+    from urbanspark.sources.tables import checkpointed
 
+    first = previous if starts is None else previous.join(starts.select("node").distinct(), "node", "left_semi")
+    paths = checkpointed(first.select(F.col("node").alias("start"), F.array("node").alias("path"), F.col("prev").alias("at")))
+    step = previous.select(F.col("node").alias("at"), F.col("prev").alias("up"))
+    done = paths.where("at is null").select("start", "path")
+    while True:
+        paths = paths.where("at is not null and not array_contains(path, at)")
+        if paths.isEmpty():
+            return done
+        paths = checkpointed(paths.join(step, "at", "left").select("start", F.concat("path", F.array("at")).alias("path"), F.col("up").alias("at")))
+        done = checkpointed(done.unionByName(paths.where("at is null or array_contains(path, at)").select("start", "path")))
