@@ -154,7 +154,8 @@ def test_token_files(spark, corpus):
     path, _, n = max(shards, key=lambda s: s[2])
     reader = token_files._open(token_files.scratch_dir(spark), f"{path}.arrow")
     ids, mask = token_files.sequence(reader, (n - 1) // token_files.SEQUENCE)
-    assert mask.sum() == (n - 1) % token_files.SEQUENCE + 1 and not ids.flags.owndata
+    assert np.unpackbits(mask).sum() == (n - 1) % token_files.SEQUENCE + 1 and not ids.flags.owndata and not mask.flags.owndata
+    assert ids.dtype == np.uint16 and reader.schema.field("mask").type.value_type == "bool"
     assert token_files.token_files(table(spark, []), tokenizer_path("byte_bpe_50k.json"), 2).count() == 0
 
 

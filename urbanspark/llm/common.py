@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but space and the ASCII controls 09-0D.
 SPACE = "[\\x20\\x09-\\x0D]+"
+#: bytes of an Arrow batch: texts are long, and a Python worker holds a batch several times over
+BATCH_BYTES = 4 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -31,22 +35,47 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of BATCH_BYTES for the session's Python workers, where the user has left Spark's default."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "67108864", "67108864b", "64MB"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when a query inside has ended."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet to the shared scratch folder and read back: cuts lineage, survives lost executors."""
+    """df written once as Parquet to the shared scratch folder and read back: cuts lineage, survives lost executors.
+
+    Its shuffle files go at once, as nothing will ask for them again.
+    """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _tidy(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, *frames: DataFrame) -> None:
+def discard(*frames: DataFrame) -> None:
     """Delete tables made by stored() that no later plan reads."""
-    base = scratch_dir(spark)
-    jvm = spark.sparkContext._jvm
-    for path in {"/".join(f.split("/")[:-1]) for df in frames for f in df.inputFiles()}:
-        if base.split(":", 1)[-1].lstrip("/") in path:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    for df in frames:
+        spark = df.sparkSession
+        base = scratch_dir(spark).split(":", 1)[-1].lstrip("/")
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if base in path:
+                p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

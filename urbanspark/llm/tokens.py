@@ -36,7 +36,8 @@ class WordEncoder:
         self.lead = " " if self.spaced else ""
         self.marks = {m: array("I", ids(m)).tobytes() for m in _MARKS}
         #: tokens that begin a word (spaced) or end one
-        self.edge = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.largest = max(self.tokenizer.get_vocab().values())
+        self.edge = np.zeros(self.largest + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.edge[i] = token.startswith("\u0120") if self.spaced else token.endswith("</w>")
         self.known: dict[str, bytes] = {}
