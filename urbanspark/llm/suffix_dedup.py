@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, stored
+from .common import bit_filter, discard, stored
 from .shingles import _BYTE, _power, mix, parts
 
 LENGTH = 200
@@ -116,9 +116,11 @@ def _repeated_grams(texts: DataFrame) -> np.ndarray:
     """The bit table, as bytes."""
     twice = texts.select("text").mapInArrow(_grams, "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     found = twice.select(_bit(F.col("gram")).alias("bit")).groupBy(F.shiftright("bit", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767).cast("long"))).alias("bits"))
+    found = stored(found, "gram-bits")
     table = np.zeros((TABLE_BITS >> 15, 4096), np.uint8)
     for r in found.toLocalIterator():
         table[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    discard(found)
     return table.ravel()
 
 
@@ -162,15 +164,17 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _settle(rows: DataFrame, at: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows that repeat at all their starts, rows to look at more closely) of rows with core and span; at: their distances.
+    """(byte spans of the rows that repeat at all their starts, rows to look at more closely) of rows with core and span; at: their distances.
 
-    The latter are lone spans of shared cores, and one row of each repeated span in a core of several spans.
+    The latter are lone spans of shared cores, and one row of each repeated span in a core of several spans. Both are
+    stored, and rows is deleted.
     """
     sets = rows.groupBy(*at, "core", "span").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "hash", "place", "low", "high")).alias("me"))
     sets = stored(sets, "span-sets")
     several = sets.groupBy(*at, "core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
-    unsure = sets.join(several, [*at, "core"], "left_semi").select(*at, "me.*")
-    equal = rows.join(sets.where("copies > 1").select(*at, "core", "span"), [*at, "core", "span"], "left_semi")
+    unsure = stored(sets.join(several, [*at, "core"], "left_semi").select(*at, "me.*"), "unsure")
+    equal = stored(_removed(rows.join(sets.where("copies > 1").select(*at, "core", "span"), [*at, "core", "span"], "left_semi")), "equal")
+    discard(rows, sets)
     return equal, unsure
 
 
@@ -180,18 +184,20 @@ def _removed(rows: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """key, hash, start, end: overlapping byte spans to remove, of docs with key, hash, text."""
+    """key, hash, gone: each text's overlapping byte spans (start, end) to remove, of docs with key, hash, text."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(_repeated_grams(docs))
-    rows = docs.mapInArrow(_blocks(shared), "key long, hash long, place long, low int, high int, core long, span long")
-    equal, unsure = _settle(stored(rows, "blocks"), [])
-    found = [_removed(equal)]
+    rows = stored(docs.mapInArrow(_blocks(shared), "key long, hash long, place long, low int, high int, core long, span long"), "blocks")
+    shared.destroy()
+    equal, unsure = _settle(rows, [])
+    found = [equal]
     wanted = stored(unsure.groupBy("key", "hash").agg(F.collect_list(F.struct("place", "low", "high")).alias("wanted")), "wanted")
     same = (F.col("hash") == F.col("h")) & F.col("key").eqNullSafe(F.col("k"))
     holds = bit_filter(wanted.select(F.xxhash64("key", "hash")))
     texts = docs.where(holds(F.xxhash64("key", "hash"))).join(wanted.select(F.col("key").alias("k"), F.col("hash").alias("h"), "wanted"), same)
     spans = texts.select("key", "hash", F.col("text").cast("binary").alias("text"), "wanted").mapInArrow(_spans, "key long, hash long, place long, low int, high int, near int, far int, bytes binary")
     spans = stored(spans, "spans")
+    discard(unsure, wanted)
 
     first = F.col("part") * FINE  # distances first to first + FINE - 1
     inner = lambda low, high: {"low": F.greatest(F.col(low), first), "high": F.least(F.col(high), first + (FINE - 1))}
@@ -201,15 +207,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     span = F.xxhash64(F.substring("bytes", left + 1, FAR - first + LENGTH - left), *inner("near", "far").values())
     fine = fine.select("key", "hash", "place", "part", *[c.alias(n) for n, c in inner("low", "high").items()], core.alias("core"), span.alias("span"))
     equal, unsure = _settle(stored(fine, "parts"), ["part"])
-    found.append(_removed(equal))
+    found.append(equal)
 
     single = unsure.join(spans.select("key", "hash", "place", "bytes").withColumnsRenamed({"key": "k", "hash": "h", "place": "p"}), same & (F.col("place") == F.col("p")))
     single = single.select("key", "hash", "place", F.explode(F.sequence("low", "high")).alias("low"), "bytes")
     string = F.substring("bytes", FAR - F.col("low") + 1, F.lit(LENGTH))
     single = stored(single.select("key", "hash", "place", "low", F.col("low").alias("high"), F.xxhash64(string).alias("core"), F.xxhash64(string, F.lit(1)).alias("span")), "starts")
+    discard(unsure, spans)
     twice = single.groupBy("low", "core", "span").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     found.append(_removed(single.join(twice, ["low", "core", "span"], "left_semi")))
-    return found[0].union(found[1]).union(found[2])
+    out = stored(found[0].union(found[1]).union(found[2]).groupBy("key", "hash").agg(F.collect_set(F.struct("start", "end")).alias("gone")), "gone")
+    discard(*found[:2], single)
+    return out
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,8 +250,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     again = stored(docs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "repeated-keys")
     repeated = bit_filter(again.select(F.xxhash64("key")))(F.xxhash64("key"))
     docs = docs.select("key", F.when(repeated, F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("hash"), "text")
-    gone = repeated_spans(docs).groupBy(F.col("key").alias("k"), F.col("hash").alias("h")).agg(F.collect_set(F.struct("start", "end")).alias("gone"))
-    gone = stored(gone, "gone")
+    gone = repeated_spans(docs).select(F.col("key").alias("k"), F.col("hash").alias("h"), "gone")
     touched = bit_filter(gone.select(F.xxhash64("k", "h")))(F.xxhash64("key", "hash"))
     joined = docs.where(touched).join(gone, (F.col("hash") == F.col("h")) & F.col("key").eqNullSafe(F.col("k")), "left")
     whole = docs.where(~touched).withColumn("gone", F.lit(None).cast(gone.schema["gone"].dataType))
