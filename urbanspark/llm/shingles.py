@@ -9,6 +9,8 @@ import pyarrow as pa
 
 SHINGLE = 5
 _PART_BYTES = 1 << 18
+#: rows that are copied at once
+_ROWS = 256
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -43,7 +45,13 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def parts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, row offsets) of groups of rows of about _PART_BYTES; a null is empty."""
-    column = column.cast(pa.large_string()).fill_null("")
+    for at in range(0, len(column), _ROWS):
+        for row, data, offsets in _parts(column.slice(at, _ROWS).cast(pa.large_string()).fill_null("")):
+            yield at + row, data, offsets
+    pa.default_memory_pool().release_unused()
+
+
+def _parts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     row = 0
