@@ -133,6 +133,24 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(table(spark, [])).count() == 0
 
 
+def test_line_dedup_by_brute_force(spark):
+    """Chunks from the operator; which of them go, and what is left, in plain Python."""
+    rng = random.Random(14)
+    blocks = ["\n".join(words(rng, 6) for _ in range(rng.randint(2, 12))) for _ in range(12)]
+    rows = [(i, "\n".join(rng.choice(blocks) if rng.random() < 0.5 else words(rng, 5) for _ in range(rng.randint(1, 8)))) for i in range(60)]
+    rows += [rows[3], (70, "\n".join(words(rng, 4) for _ in range(30_000)))]
+    df = table(spark, rows)
+    cut = {r.text: [(c.lines, c.body) for c in r.c] for r in df.select("text", line_dedup.chunks_of(F.col("text")).alias("c")).collect()}
+    first = {}
+    for i, t in sorted(rows):
+        for k, (lines, body) in enumerate(cut[t]):
+            if lines >= line_dedup.MIN_LINES:
+                first.setdefault(body, (i, k))
+    want = sorted((i, "\n".join(b for k, (n, b) in enumerate(cut[t]) if n < line_dedup.MIN_LINES or first[b] == (i, k))) for i, t in rows)
+    got = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(df).collect())
+    assert got == want and any(len(a[1]) < len(b[1]) for a, b in zip(got, sorted(rows), strict=True))
+
+
 def test_chunks_join_to_the_text(spark, corpus):
     df = table(spark, [(i, (t or "").replace(" ", "\n")) for i, t in corpus if t])
     joined = F.array_join(F.transform(line_dedup.chunks_of(F.col("text")), lambda c: c["body"]), "\n")
@@ -171,6 +189,44 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.identify(test, none).collect()} == {"und"}
 
 
+def test_language_id_by_brute_force(spark):
+    """Naive Bayes over the n-grams' buckets, counted and added up in plain Python."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(13)
+    rows = [(i, words(rng, 30) + (" ñandú él" if i % 2 else " the of"), "es" if i % 2 else "en") for i in range(30)]
+    rows += [rows[0], rows[0], (99, "", None), (98, None, "en"), (97, "e " * 20_000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    got = {(r.text or ""): (r.lang_pred, r.score) for r in language_id.identify(docs, model).collect()}
+    assert len(got) == 33
+    place = {n: i for i, n in enumerate(model.langs)}
+
+    def grams(text):
+        s = text.lower() + "\0\0"
+        for i in range(len(text)):
+            h = 0x811C9DC5
+            for c in s[i : i + 3]:
+                h = ((h ^ ord(c)) * 0x01000193) & 0xFFFFFFFF
+                yield ((((h ^ (h >> 15)) * 0x9E3779B1) & 0xFFFFFFFF) >> 16)
+
+    for name in model.langs:
+        counts = Counter(g for _, t, n in rows if n == name and t for g in grams(t))
+        want = [math.log((counts[b] + 0.5) / (counts.total() + 0.5 * language_id.BUCKETS)) for b in range(0, language_id.BUCKETS, 97)]
+        assert model.log_prob[place[name], ::97] == pytest.approx(want, abs=1e-4)
+    for text, (pred, score) in got.items():
+        if not any(c.isalpha() for c in text):
+            assert (pred, score) == ("und", 0.0)
+            continue
+        n = Counter(grams(text))
+        logs = [float(model.log_prior[k]) + sum(c * float(model.log_prob[k, b]) for b, c in n.items()) for k in range(len(model.langs))]
+        best = max(range(len(logs)), key=logs.__getitem__)
+        share = 1 / sum(math.exp(x - logs[best]) for x in logs)
+        assert pred == model.langs[best] and 0 <= score <= 1 and score == pytest.approx(share, abs=0.02)
+    assert language_id.identify(docs.where("false"), model).count() == 0
+
+
 def test_language_scores_do_not_depend_on_the_batch():
     model = language_id.LanguageModel(("a", "b"), np.log([0.5, 0.5]), np.log(np.random.default_rng(1).dirichlet(np.ones(language_id.BUCKETS), 2)).astype(np.float32))
     texts = ["", "x", "ab", "hello there", "z" * 50]
@@ -197,6 +253,38 @@ def test_quality_thresholds_adapt(spark):
     assert quality.filter_quality(empty).count() == 0
 
 
+def test_kernel_by_dynamic_programming():
+    def product(s, t, order=3, decay=toxicity.DECAY):
+        """Lodhi's recursion."""
+        prime = np.ones((len(s) + 1, len(t) + 1))
+        for _ in range(1, order):
+            new = np.zeros_like(prime)
+            for i in range(1, len(s) + 1):
+                run = 0.0
+                for j in range(1, len(t) + 1):
+                    run = decay * run + (decay**2 * prime[i - 1, j - 1] if s[i - 1] == t[j - 1] else 0.0)
+                    new[i, j] = decay * new[i - 1, j] + run
+            prime = new
+        return sum(decay**2 * prime[i, j] for i in range(len(s)) for j in range(len(t)) if s[i] == t[j])
+
+    strings = ["abc", "abcabc", "stupid", "stxupid", "straße", "aaaa", "abca"]
+    want = [[product(s, t) / np.sqrt(product(s, s) * product(t, t)) for t in strings] for s in strings]
+    assert toxicity.kernel(strings, strings) == pytest.approx(np.array(want), abs=1e-6)
+
+
+def test_two_toxicity_models_in_one_session(spark):
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(i, words(rng, 20) + (" zorgblat" if i % 3 == 0 else " quimpft" if i % 3 == 1 else "")) for i in range(120)], "doc_id long, text string")
+    label = lambda k: docs.select("doc_id", (F.col("doc_id") % 3 == k).cast("int").alias("toxic"))
+    one, two = toxicity.train(docs, label(0)), toxicity.train(docs, label(1))
+    for k, model in ((0, one), (1, two), (0, one)):
+        got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+        assert all((s >= 0.7) == (i % 3 == k) for i, s in got.items())
+    long = spark.createDataFrame([(1, words(rng, 100_000) + " zorgblat"), (1, "zorgblat"), (1, "zorgblat")], "doc_id long, text string")
+    assert len({r.score for r in toxicity.score(long, one).where("length(text) < 100").collect()}) == 1
+    assert toxicity.score(docs.where("false"), one).count() == 0 and toxicity.train(docs.where("false"), label(0)).bias == toxicity.FLOOR
+
+
 def test_kernel_tolerates_gaps():
     k = toxicity.kernel(["stupid", "stu-pid", "stxupid", "garden"], ["stupid"])[:, 0]
     assert k[0] == pytest.approx(1) and k[1] > 0.6 and k[2] > 0.6 and k[3] < 0.1
@@ -257,7 +345,8 @@ def test_packing_plan(seed):
     for s in sizes:
         histogram[s] = histogram.get(s, 0) + 1
     used, bins = {}, 0
-    for n, filling in packing.plan(histogram):
+    bins_of, _ = packing.plan(histogram)
+    for n, filling in bins_of:
         assert n > 0 and sum(x * k for x, k in filling.items()) <= 2048
         bins += n
         for x, k in filling.items():
@@ -274,6 +363,18 @@ def test_packing_plan(seed):
     assert bins <= len(loads)
 
 
+def test_packing_search_beats_best_fit():
+    """Largest first takes 4 sequences of 100 here, and 3 hold all; dominated fillings are told from others."""
+    histogram = {x: 0 for x in ()}
+    for x in (41, 36, 33, 30, 29, 27, 26, 24, 20, 18, 16):
+        histogram[x] = histogram.get(x, 0) + 1
+    found, proven = packing.plan(histogram, 100)
+    assert proven and sum(n for n, _ in found) == 3
+    counts = np.zeros(101, np.int64)
+    counts[[10, 20, 31]] = 1
+    assert packing.dominated({10: 1, 20: 1}, 31, counts, [10, 20, 31]) and not packing.dominated({31: 1}, 31, counts, [10, 20, 31])
+
+
 def test_decontamination(spark, corpus):
     rng = random.Random(11)
     items = [(1, words(rng, 40)), (2, words(rng, 13)), (3, words(rng, 4)), (4, ""), (5, None), (6, words(rng, 40)), (6, words(rng, 15)), (7, "Straße, straße!")]

@@ -1,11 +1,13 @@
 """Language identification by multinomial naive Bayes over hashed character n-grams.
 
 Training counts n-grams per language in the executors and adds them up in a shuffle; the driver gets one row for each
-language and bucket in use. The log-probability matrix (buckets x languages floats) is broadcast, its size checked
-first, and numpy scores a batch of texts at once.
+language and bucket in use, once the number of languages has been checked. The log-probability matrix (buckets x
+languages floats) is broadcast, and numpy scores a batch of texts at once.
 
 Edge cases: a null text, an empty text or a text without a letter gets `und` and score 0. A table without labelled
-rows learns nothing and everything is `und`. Texts of any length are scored whole. Columns named like the results are
+rows learns nothing and everything is `und`. Of equally probable languages the first by name is taken. Repeated rows
+count as often as they stand there, and are scored alike. An empty table gives an empty result. Texts of any length are
+scored whole. Columns named like the results are
 replaced; other columns stay.
 """
 
@@ -20,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
 #: Labelled rows to learn from, about; the sample is chosen by a hash of the row's key.
@@ -105,13 +109,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Learn from (text, lang) of a sample of about sample_rows rows; rows with a null text or lang teach nothing."""
     rows = labelled.select(F.col(key).alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    total = rows.count()
+    total, kinds = rows.agg(F.count(F.lit(1)), F.count_distinct("lang")).first()
+    if kinds * BUCKETS * 4 > MAX_BROADCAST_BYTES:
+        raise ValueError(f"{kinds} languages make the model larger than {MAX_BROADCAST_BYTES} bytes")
+    small_batches(labelled.sparkSession)
     if total > sample_rows:
         rows = rows.where(F.pmod(F.xxhash64("k", F.lit(6)), F.lit(1_000_000)) < int(1_000_000 * sample_rows / total))
     counts = rows.select("text", "lang").mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = tuple(sorted(counts["lang"].unique()))
-    if len(langs) * BUCKETS * 4 > MAX_BROADCAST_BYTES:
-        raise ValueError(f"{len(langs)} languages make the model larger than {MAX_BROADCAST_BYTES} bytes")
     table, docs = np.zeros((len(langs), BUCKETS)), np.ones(len(langs))
     at = counts["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int)
     gram = (counts["bucket"] >= 0).to_numpy()
@@ -143,6 +148,7 @@ def score_texts(model: LanguageModel, texts: list[str]) -> tuple[np.ndarray, np.
 
 def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """df with lang_pred (a learned language or `und`) and score (0 to 1)."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang_pred: string, score: double>")
@@ -154,6 +160,7 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
             scored = [score_texts(model, text.iloc[known[a : a + _ROWS]].tolist()) for a in range(0, len(known), _ROWS)]
             out.iloc[known, 0] = np.array(model.langs, dtype=object)[np.concatenate([best for best, _ in scored])]
             out.iloc[known, 1] = np.concatenate([p for _, p in scored])
+        pa.default_memory_pool().release_unused()
         return out
 
     letters = F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False))
