@@ -44,3 +44,55 @@ def valid_at(start: Column, end: Column, now: Column) -> Column:
 
 def cheapest_tier(*tiers: Column) -> Column:
     return F.coalesce(*tiers)
+
+
+#: tags of ways that are driven on, of services left out, and of tracks; fixed values
+DRIVABLE = ("motorway", "trunk", "primary", "secondary", "tertiary", "unclassified", "residential", "living_street", "service")
+MINOR_SERVICE = ("parking_aisle", "driveway", "drive-through", "emergency_access")
+TRACKS = ("tram", "rail", "light_rail")
+
+
+def wanted_way(tags: Column) -> Column:
+    """Whether a way (map of tags) is a road to drive on or a track."""
+    tag = lambda k: F.coalesce(F.try_element_at(tags, F.lit(k)), F.lit(""))
+    minor = (tag("highway") == "service") & tag("service").isin(*MINOR_SERVICE)
+    return F.when(tag("highway").isin(*DRIVABLE), (tag("area") != "yes") & ~minor).otherwise(tag("railway").isin(*TRACKS))
+
+
+def estimated_height(kind: Column, area: Column, levels: Column, roof_levels: Column, level_height: float = 3.0) -> Column:
+    """Height (m) by storeys where they are known, else by type and footprint."""
+    by_size = F.when(area < 40, 3.0).when(area < 180, 7.0).when(area < 450, 10.0).when(area < 1500, 14.0).otherwise(18.0)
+    fixed = F.create_map(*[F.lit(x) for x in ("minor", 3.0, "house", 7.5, "religious", 14.0, "industrial", 9.0, "civic", 12.0)])
+    commercial = F.when(kind == "commercial", F.when(area < 1500, 8.0).otherwise(12.0))
+    homes = F.when(kind == "residential", F.when(area < 200, 9.0).when(area < 700, 15.0).otherwise(21.0))
+    mapped = F.when(levels > 0, levels * level_height + F.coalesce(roof_levels, F.lit(0)) * 2.5 + 1.0)
+    return F.coalesce(mapped, F.try_element_at(fixed, kind), commercial, homes, by_size)
+
+
+def default_roof(kind: Column, area: Column, height: Column) -> Column:
+    return F.when(kind.isin("house", "other", "minor") & (area < 300) & (height <= 10), "gabled").otherwise("flat")
+
+
+def storeys(levels: Column, eave: Column, storey: float = 3.0) -> Column:
+    """Mapped levels, else the walls' height over a typical storey."""
+    return F.when(levels > 0, levels.cast("double")).otherwise(F.greatest(F.lit(1.0), F.bround(eave / storey)))
+
+
+def use_shares(kind: Column, land: Column, area: Column, eave: Column, centre: Column, centre_work: float = 0.3) -> tuple[Column, Column]:
+    """Shares of a building's floor area for living and for work."""
+    living, working, other = kind.isin("house", "residential"), kind.isin("commercial", "industrial", "civic"), kind == "other"
+    in_work = other & F.coalesce(land.isin("civic", "commercial", "industrial"), F.lit(False))
+    in_homes = other & F.coalesce(land == "residential", F.lit(False))
+    hall = other & ~in_work & ~in_homes & (area >= 2000) & (eave <= 15)
+    rest = other & ~in_work & ~in_homes & ~hall
+    home = F.when(living | in_homes, 1.0).when(rest, 0.8).otherwise(0.0)
+    work = F.when(working | in_work | hall, 1.0).when(rest, 0.2).otherwise(0.0)
+    mixed = (home > 0) & (centre | (living & F.coalesce(land == "commercial", F.lit(False))))
+    return F.when(mixed, F.least(home, F.lit(1 - centre_work))).otherwise(home), F.when(mixed, F.greatest(work, F.lit(centre_work))).otherwise(work)
+
+
+def planned_zone(plan: Column, storeys_around: Column) -> Column:
+    """Zone of a lot by its plan and, for homes, the storeys around it."""
+    homes = F.when(storeys_around == 0, "lowrise").when(storeys_around <= 2, "houses").when(storeys_around <= 6, "lowrise").otherwise("highrise")
+    named = F.create_map(*[F.lit(x) for x in ("mixed", "mixed", "commercial", "shops", "office", "offices", "industrial", "industry")])
+    return F.when(plan == "residential", homes).otherwise(F.coalesce(F.try_element_at(named, plan), F.lit("none")))

@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: letters with their plain forms; fixed values
-ACCENTS = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿčćđšžßø"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyccdszso"
+_PLAIN = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+@cache
+def _fold_table() -> tuple[str, str, dict[str, str]]:
+    """From Unicode's case folding and compatibility decomposition: characters and the plain ones they become (those
+    beyond the second string's end vanish), and the characters that become several."""
+    one, plain, gone, several = [], [], [], {}
+    for i in range(0x80, 0x30000):
+        c = chr(i)
+        if 0xD800 <= i < 0xE000:
+            continue
+        folded = "".join(x for x in unicodedata.normalize("NFKD", c.casefold()) if not unicodedata.combining(x)).replace("đ", "d")
+        folded = "".join(x if x in _PLAIN else " " for x in folded)
+        if not folded:
+            gone.append(c)
+        elif len(folded) > 1 and folded.strip():
+            several[c] = folded
+        elif folded != " " * len(folded):
+            one.append(c)
+            plain.append(folded)
+    return "".join(one + gone), "".join(plain), several
 
 
 def normal_name(s: Column) -> Column:
@@ -16,8 +38,14 @@ def normal_name(s: Column) -> Column:
 
 
 def fold(s: Column) -> Column:
-    """Lower case without accents, words joined by single spaces."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(s), ACCENTS, PLAIN), "[^a-z0-9]+", " "))
+    """Case folded, without accents (compatibility decomposition), words joined by single spaces."""
+    one, plain, several = _fold_table()
+    spelled = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    sharp = F.replace(s, F.lit("ß"), F.lit("ss"))  # by far the most frequent of them
+    apart = F.array_join(F.transform(F.split(sharp, ""), lambda c: F.coalesce(F.try_element_at(spelled, c), c)), "")
+    wide = F.when(F.length(F.translate(sharp, "".join(several), "")) < F.length(sharp), apart).otherwise(sharp)
+    letters = F.when(F.octet_length(s) == F.length(s), F.lower(s)).otherwise(F.lower(F.translate(wide, one, plain)))
+    return F.trim(F.regexp_replace(letters, "[^a-z0-9]+", " "))
 
 
 def word_set(s: Column) -> Column:
@@ -73,6 +101,30 @@ def cluster_id(ids: Column) -> Column:
     return F.concat_ws("_", F.transform(F.array_sort(ids), lambda x: x.cast("string")))
 
 
+#: words that stay in lower case inside a name; fixed values
+LOWER_WORDS = ("u", "i", "na", "za", "od", "do", "sa", "s", "pri", "škola", "ulica", "cesta")
+
+
 def title_case(s: Column) -> Column:
-    """Initial capitals for names written in capitals only."""
-    return F.when(s == F.upper(s), F.initcap(s)).otherwise(s)
+    """A name written in capitals: initial capitals, also after hyphens; Roman ordinals and "OŠ" in capitals; lower-case words inside."""
+
+    def tidy(w: Column, i: Column) -> Column:
+        parts = F.array_join(F.transform(F.split(w, "-"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))), "-")
+        capitals = w.rlike("^[ivxlc]+\\.$") | F.regexp_replace(w, "^[()]+|[()]+$", "").isin("oš", "pš")
+        return F.when(capitals, F.upper(w)).when((i > 0) & w.isin(*LOWER_WORDS), w).otherwise(parts)
+
+    words = F.filter(F.split(F.lower(s), "\\s+"), lambda w: w != "")
+    return F.when(s == F.upper(s), F.array_join(F.transform(words, tidy), " ")).otherwise(s)
+
+
+def lat_lon_points(s: Column) -> Column:
+    """'lat lon lat lon' -> array<struct<lat, lon>>."""
+    numbers = F.transform(F.filter(F.split(s, "\\s+"), lambda x: x != ""), lambda x: x.try_cast("double"))
+    pairs = F.transform(numbers, lambda x, i: F.struct(x.alias("lat"), F.get(numbers, i + 1).alias("lon"), i.alias("i")))
+    kept = F.filter(pairs, lambda p: (p["i"] % 2 == 0) & p["lat"].isNotNull() & p["lon"].isNotNull())
+    return F.transform(kept, lambda p: F.struct(p["lat"], p["lon"]))
+
+
+def junction_of(edge: Column) -> Column:
+    """Junction of an internal edge ':junction_n'; a junction's id may hold underscores."""
+    return F.regexp_extract(edge, "^:(.*)_[^_]*$", 1)

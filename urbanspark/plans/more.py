@@ -38,7 +38,7 @@ def first_description(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def stops_along_shape(spark: SparkSession, d: str) -> DataFrame:
     """Each trip's stops placed along its shape in order, at least cost."""
-    s = VIEWS["v_stop_time"](spark, d).where("trip % 20 = 3")
+    s = VIEWS["v_stop_time"](spark, d)
     shift = F.array(F.lit(-300.0), F.lit(0.0), F.lit(250.0))
     choices = F.transform(shift, lambda m: F.struct((F.col("seq") * 500.0 + F.col("stop") * 10.0 + m).alias("position"), F.abs(m).alias("cost")))
     return viterbi(s.select("trip", "seq", choices.alias("choices")), "trip")
@@ -77,15 +77,6 @@ def career_stage(spark: SparkSession, d: str) -> DataFrame:
     return t.select("id", "orders", stage.alias("stage"))
 
 
-@query("SELECT p_partkey AS id, CAST(CASE WHEN p_size <= 0 THEN 1 WHEN p_size % 3 = 0 THEN 3 ELSE greatest(1, p_size // 10) END AS BIGINT) AS storeys, round(CASE WHEN p_type LIKE '%ECONOMY%' THEN 0.8 WHEN p_size < 10 THEN 1.0 ELSE 0.7 END::DOUBLE, 2) AS home_share FROM part")
-def storeys_and_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Storeys and share of homes by rules; the first that holds decides."""
-    size = F.col("p_size")
-    storeys = F.when(size <= 0, 1).when(size % 3 == 0, 3).otherwise(F.greatest(F.lit(1), F.floor(size / 10)))
-    home = F.when(F.col("p_type").contains("ECONOMY"), 0.8).when(size < 10, 1.0).otherwise(0.7)
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), storeys.cast("long").alias("storeys"), F.round(home, 2).alias("home_share"))
-
-
 @query("SELECT route, round(sum(w * boards) / sum(w), 6) AS mean_boards, CAST(sum(boards) AS BIGINT) AS boards FROM (SELECT route, trip, count(*) AS boards, 1.0 + trip % 3 AS w FROM v_stop_time GROUP BY 1, 2) GROUP BY 1")
 def boardings_by_route(spark: SparkSession, d: str) -> DataFrame:
     t = VIEWS["v_stop_time"](spark, d).groupBy("route", "trip").agg(F.count(F.lit(1)).alias("boards")).withColumn("w", 1.0 + F.col("trip") % 3)
@@ -114,11 +105,6 @@ def scene_to_degrees(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", F.round(40 + F.degrees(F.atan(F.sinh(F.col("z") / 6_371_000.0))), 8).alias("lat"), F.round(16 + F.degrees(F.col("x") / 6_371_000.0), 8).alias("lon"))
 
 
-@query("SELECT vehicle, round(avg(CASE WHEN h BETWEEN 8 AND 16 THEN 1.0 ELSE 0.0 END), 6) AS daylight FROM (SELECT vehicle, hour(ts) AS h FROM v_pass) GROUP BY 1")
-def daylight_share(spark: SparkSession, d: str) -> DataFrame:
-    return VIEWS["v_pass"](spark, d).groupBy("vehicle").agg(F.round(F.avg(F.when(F.hour("ts").between(8, 16), 1.0).otherwise(0.0)), 6).alias("daylight"))
-
-
 _BOXES = "SELECT id, x, z, 100.0 + 20 * kind AS w, 80.0 + id % 50 AS h FROM v_point"
 _LAP = "greatest(least(a.x + a.w / 2, b.x + b.w / 2) - greatest(a.x - a.w / 2, b.x - b.w / 2), 0) * greatest(least(a.z + a.h / 2, b.z + b.h / 2) - greatest(a.z - a.h / 2, b.z - b.h / 2), 0)"
 
@@ -136,10 +122,10 @@ def box_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return pairs.where(shared("x", "w") * shared("z", "h") >= 0.3 * F.least(F.col("l_w") * F.col("l_h"), F.col("r_w") * F.col("r_h"))).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
 
 
-@query("SELECT edge_id, k, round((k * 25.0 + 12.5)::DOUBLE, 4) AS at FROM (SELECT edge_id, unnest(range(0, CAST(floor(length / 25.0) AS BIGINT))) AS k FROM v_edge WHERE edge_id % 10 = 0)")
+@query("SELECT edge_id, k, round((k * 25.0 + 12.5)::DOUBLE, 4) AS at FROM (SELECT edge_id, unnest(range(0, CAST(floor(length / 25.0) AS BIGINT))) AS k FROM v_edge)")
 def lots_along_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Lots of 25 m frontage along every tenth edge, at their middles."""
-    e = VIEWS["v_edge"](spark, d).where("edge_id % 10 = 0").withColumn("n", F.floor(F.col("length") / 25.0)).where("n > 0")
+    """Lots of 25 m frontage along every edge, at their middles."""
+    e = VIEWS["v_edge"](spark, d).withColumn("n", F.floor(F.col("length") / 25.0)).where("n > 0")
     lots = e.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     return lots.select("edge_id", "k", F.round(F.col("k") * 25.0 + 12.5, 4).alias("at"))
 

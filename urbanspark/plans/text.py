@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from urbanspark.functions.rules import first_rule, permission_mask, valid_at
-from urbanspark.functions.text import ACCENTS, PLAIN, clock_seconds, cluster_id, fold, metres, normal_name, road_refs, shape_points, street_key, title_case, tonnes, word_set
+from urbanspark.functions.rules import first_rule, permission_mask, valid_at, wanted_way
+from urbanspark.functions.text import clock_seconds, cluster_id, fold, junction_of, lat_lon_points, metres, normal_name, road_refs, shape_points, street_key, title_case, tonnes, word_set
 from urbanspark.registry import query
 from urbanspark.sources.tables import latest, pack_deltas, terrain_height, unpack_deltas
 from urbanspark.sources.views import VIEWS, table
 
-_FOLD = f"trim(regexp_replace(translate(lower({{c}}), '{ACCENTS}', '{PLAIN}'), '[^a-z0-9]+', ' ', 'g'))"
+_FOLD = "trim(regexp_replace(replace(replace(strip_accents(lower({c})), 'ß', 'ss'), 'đ', 'd'), '[^a-z0-9]+', ' ', 'g'))"
 
 
 @query("SELECT p_partkey AS id, trim(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS name, " + _FOLD.format(c="p_name") + " AS folded FROM part")
@@ -115,7 +115,36 @@ def search_texts(spark: SparkSession, d: str) -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.orderBy("kind", "doc_id")).cast("long"))  # 20 rows
 
 
-@query("SELECT c_custkey AS id, CASE WHEN n = upper(n) THEN 'Building' ELSE n END AS name FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'BUILDING' ELSE 'Old Town' END AS n FROM customer)")
+@query("SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'Osnovna škola Ivana Kovačića' WHEN 1 THEN 'IV. Gimnazija na Brdu' WHEN 2 THEN '(OŠ) Novi-Grad' ELSE 'Old Town' END AS name FROM customer")
 def title_names(spark: SparkSession, d: str) -> DataFrame:
-    name = F.when(F.col("c_custkey") % 2 == 0, "BUILDING").otherwise("Old Town")
+    """Names written in capitals, as people write them."""
+    k = F.col("c_custkey") % 4
+    name = F.when(k == 0, "OSNOVNA ŠKOLA IVANA KOVAČIĆA").when(k == 1, "IV. GIMNAZIJA NA BRDU").when(k == 2, "(OŠ) NOVI-GRAD").otherwise("Old Town")
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), title_case(name).alias("name"))
+
+
+@query("SELECT p_partkey AS id, 2 AS n, CAST(45 + p_size / 100.0 AS DOUBLE) AS lat, CAST(p_size AS DOUBLE) AS lon, 'j_' || p_size AS junction FROM part")
+def polylines_and_junctions(spark: SparkSession, d: str) -> DataFrame:
+    """Points of 'lat lon lat lon' texts, and junctions of internal edges."""
+    size = F.col("p_size").cast("string")
+    points = lat_lon_points(F.concat((45 + F.col("p_size") / 100.0).cast("string"), F.lit("  "), size, F.lit(" 1 2 3")))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.size(points).alias("n"), points[0]["lat"].alias("lat"), points[0]["lon"].alias("lon"), junction_of(F.concat(F.lit(":j_"), size, F.lit("_12"))).alias("junction"))
+
+
+@query("SELECT c_custkey AS id, 'New ' || lower(c_mktsegment) || ' ' || (count(*) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey ROWS UNBOUNDED PRECEDING)) AS name FROM customer")
+def next_free_names(spark: SparkSession, d: str) -> DataFrame:
+    """'New label n + 1' after n of the kind in the zone."""
+    before = F.count(F.lit(1)).over(Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey").rowsBetween(Window.unboundedPreceding, -1))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("New "), F.lower("c_mktsegment"), F.lit(" "), (before + 1).cast("string")).alias("name"))
+
+
+@query("SELECT p_partkey AS id FROM part WHERE (p_size % 5 IN (0, 1) AND p_size % 7 <> 0 AND NOT (p_size % 5 = 1 AND p_size % 3 = 0)) OR (p_size % 5 NOT IN (0, 1) AND p_size % 11 = 0)")
+def wanted_ways(spark: SparkSession, d: str) -> DataFrame:
+    """Ways by their tags: driven roads that are no areas or minor services, and tracks."""
+    size = F.col("p_size")
+    highway = F.when(size % 5 == 0, "primary").when(size % 5 == 1, "service").otherwise("footway")
+    tags = F.map_from_arrays(
+        F.array(F.lit("highway"), F.lit("area"), F.lit("service"), F.lit("railway")),
+        F.array(highway, F.when(size % 7 == 0, "yes"), F.when(size % 3 == 0, "parking_aisle"), F.when(size % 11 == 0, "tram")),
+    )
+    return table(spark, d, "part").where(wanted_way(F.map_filter(tags, lambda _, v: v.isNotNull()))).select(F.col("p_partkey").alias("id"))

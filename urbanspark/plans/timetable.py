@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from urbanspark.functions.formulas import expected_ride
 from urbanspark.functions.text import clock
 from urbanspark.operators.sequences import fill_gaps, thin
 from urbanspark.registry import query
@@ -20,13 +21,18 @@ def _trips(spark: SparkSession, d: str) -> DataFrame:
 _TRIPS = "SELECT trip, route, CAST(min(t_s) AS BIGINT) AS start, list(stop ORDER BY seq) AS stops FROM v_stop_time GROUP BY 1, 2"
 
 
-@query(f"SELECT route, pattern, n, round(share, 6) AS share FROM (SELECT *, n / sum(n) OVER (PARTITION BY route) AS share, row_number() OVER (PARTITION BY route ORDER BY n DESC, pattern) AS r FROM (SELECT route, array_to_string(stops, '-') AS pattern, count(*) AS n FROM ({_TRIPS}) WHERE len(stops) <= 1 GROUP BY 1, 2)) WHERE r <= 6 AND share >= 0.005")
+@query(
+    f"SELECT route, headsign, pattern, n, round(share, 6) AS share FROM (SELECT *, n / sum(n) OVER (PARTITION BY route) AS share, row_number() OVER (PARTITION BY route ORDER BY n DESC, headsign, pattern) AS r "
+    f"FROM (SELECT route, 'to ' || (stops[-1] % 2) AS headsign, array_to_string(list_transform(stops, lambda s: s % 2), '-') AS pattern, count(*) AS n FROM ({_TRIPS}) GROUP BY 1, 2, 3)) WHERE r <= 6 AND share >= 0.05"
+)
 def stop_patterns_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The six most frequent patterns of each route with half a percent of its trips."""
-    p = _trips(spark, d).where(F.size("stops") <= 1).groupBy("route", F.array_join("stops", "-").alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
+    """The six most frequent headsigns and whole stop sequences of each route with a twentieth of its trips (stops by district)."""
+    stops = F.transform("stops", lambda s: s % 2)
+    headsign = F.concat(F.lit("to "), F.element_at("stops", -1) % 2)
+    p = _trips(spark, d).groupBy("route", headsign.alias("headsign"), F.array_join(stops, "-").alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("route")
-    ranked = p.withColumns({"share": F.col("n") / F.sum("n").over(w), "r": F.row_number().over(w.orderBy(F.desc("n"), "pattern"))})
-    return ranked.where("r <= 6 and share >= 0.005").select("route", "pattern", "n", F.round("share", 6).alias("share"))
+    ranked = p.withColumns({"share": F.col("n") / F.sum("n").over(w), "r": F.row_number().over(w.orderBy(F.desc("n"), "headsign", "pattern"))})
+    return ranked.where("r <= 6 and share >= 0.05").select("route", "headsign", "pattern", "n", F.round("share", 6).alias("share"))
 
 
 @query(f"SELECT trip FROM (SELECT trip, row_number() OVER (PARTITION BY route ORDER BY start, trip) - 1 AS k, count(*) OVER (PARTITION BY route) AS n FROM ({_TRIPS})) WHERE floor((k + 1) * floor(n * 0.6) / n) > floor(k * floor(n * 0.6) / n)")
@@ -62,33 +68,50 @@ def trips_by_hour_zero_filled(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT route, from_stop, to_stop, arcs, round(7200.0 / arcs, 6) AS headway, round(seconds, 6) AS seconds FROM (SELECT route, stop AS from_stop, nxt AS to_stop, count(*) AS arcs, avg(nt - t_s) AS seconds FROM (SELECT route, stop, t_s, lead(stop) OVER w AS nxt, lead(t_s) OVER w AS nt FROM v_stop_time WINDOW w AS (PARTITION BY trip ORDER BY seq)) WHERE nxt IS NOT NULL AND nxt <> stop GROUP BY 1, 2, 3)")
 def journey_arcs(spark: SparkSession, d: str) -> DataFrame:
     """Ride arcs of the timetable graph with headway and time."""
+    return ride_arcs(spark, d).select("route", "from_stop", "to_stop", "arcs", F.round("headway", 6).alias("headway"), F.round("seconds", 6).alias("seconds"))
+
+
+def ride_arcs(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("trip").orderBy("seq")
     s = VIEWS["v_stop_time"](spark, d).select("route", "stop", "t_s", F.lead("stop").over(w).alias("to"), F.lead("t_s").over(w).alias("t2")).where("to is not null and to <> stop")
     arcs = s.groupBy("route", F.col("stop").alias("from_stop"), F.col("to").alias("to_stop")).agg(F.count(F.lit(1)).alias("arcs"), F.avg(F.col("t2") - F.col("t_s")).alias("seconds"))
-    return arcs.select("route", "from_stop", "to_stop", "arcs", F.round(7200.0 / F.col("arcs"), 6).alias("headway"), F.round("seconds", 6).alias("seconds"))
+    return arcs.withColumn("headway", 7200.0 / F.col("arcs"))
+
+
+_ARCS = "SELECT route, stop AS from_stop, nxt AS to_stop, count(*) / 7200.0::DOUBLE AS f, avg(nt - t_s) AS seconds FROM (SELECT route, stop, t_s, lead(stop) OVER w AS nxt, lead(t_s) OVER w AS nt FROM v_stop_time WINDOW w AS (PARTITION BY trip ORDER BY seq)) WHERE nxt IS NOT NULL AND nxt <> stop GROUP BY 1, 2, 3"
+_EXPECT = "(2 * least(0.5 / ({f}), 900) + 180 + ({r}) / ({f}))"
 
 
-@query()
+@query(
+    f"WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY from_stop, to_stop ORDER BY round(seconds, 6), route) AS k FROM ({_ARCS})), "
+    f"b AS (SELECT from_stop, to_stop, k, f, f * seconds AS r FROM l WHERE k = 1 UNION ALL SELECT l.from_stop, l.to_stop, l.k, b.f + l.f, b.r + l.f * l.seconds FROM b JOIN l ON l.from_stop = b.from_stop AND l.to_stop = b.to_stop AND l.k = b.k + 1 "
+    f"WHERE {_EXPECT.format(f='b.f + l.f', r='b.r + l.f * l.seconds')} < {_EXPECT.format(f='b.f', r='b.r')}) "
+    f"SELECT from_stop, to_stop, round(arg_max({_EXPECT.format(f='f', r='r')}, k), 4) AS expected, CAST(max(k) AS INTEGER) AS lines FROM b GROUP BY 1, 2 HAVING max(k) > 1"
+)
 def common_line_bundle(spark: SparkSession, d: str) -> DataFrame:
-    """Expected time between stop pairs over the bundle of lines worth boarding.
+    """Generalised time between stop pairs over the bundle of two or more lines worth boarding.
 
-    Lines (ride time, headway) in order of ride time join the bundle while the expected time falls.
+    The quickest lines join, one a route, while each lowers the expected time; the first that does not ends the bundle.
     """
-    arcs = journey_arcs(spark, d).groupBy("from_stop", "to_stop").agg(F.sort_array(F.collect_list(F.struct("seconds", "headway", "route"))).alias("lines"))
-    start = F.struct(F.lit(0.0).alias("f"), F.lit(1.0).alias("num"), F.lit(float("inf")).alias("best"), F.lit(0).alias("n"))
+    line = F.struct(F.round("seconds", 6).alias("order"), "route", "seconds", (1 / F.col("headway")).alias("f"))
+    arcs = ride_arcs(spark, d).groupBy("from_stop", "to_stop").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    start = F.struct(F.lit(0.0).alias("f"), F.lit(0.0).alias("r"), F.lit(0).alias("n"), F.lit(False).alias("over"))
 
-    def board(acc, line):
-        f, num = acc["f"] + 1 / line["headway"], acc["num"] + line["seconds"] / line["headway"]
-        return F.when((acc["n"] == 0) | (line["seconds"] < acc["best"]), F.struct(f.alias("f"), num.alias("num"), (num / f).alias("best"), (acc["n"] + 1).alias("n"))).otherwise(acc)
+    def board(acc, x):
+        f, r = acc["f"] + x["f"], acc["r"] + x["f"] * x["seconds"]
+        worth = (acc["n"] == 0) | (expected_ride(f, r) < expected_ride(F.nullif(acc["f"], F.lit(0.0)), acc["r"]))
+        taken = F.struct(f.alias("f"), r.alias("r"), (acc["n"] + 1).alias("n"), F.lit(False).alias("over"))
+        left = F.struct(acc["f"].alias("f"), acc["r"].alias("r"), acc["n"].alias("n"), F.lit(True).alias("over"))
+        return F.when(~acc["over"] & worth, taken).otherwise(left)
 
-    out = arcs.withColumn("b", F.aggregate("lines", start, board))
-    return out.select("from_stop", "to_stop", F.round("b.best", 6).alias("expected"), F.col("b.n").alias("lines"))
+    out = arcs.where("size(lines) > 1").withColumn("b", F.aggregate("lines", start, board)).where("b.n > 1")
+    return out.select("from_stop", "to_stop", F.round(expected_ride(F.col("b.f"), F.col("b.r")), 4).alias("expected"), F.col("b.n").alias("lines"))
 
 
-@query("SELECT o_orderkey AS trip, k, printf('%02d:%02d', CAST(((base + k * 900) // 3600) AS INTEGER), CAST(((base + k * 900) // 60) % 60 AS INTEGER)) AS departs FROM (SELECT o_orderkey, (o_orderkey * 7919) % 86400 AS base FROM orders WHERE o_orderkey % 10 = 0), (SELECT unnest(range(0, 4)) AS k)")
+@query("SELECT o_orderkey AS trip, k, printf('%02d:%02d', CAST(((base + k * 900) // 3600) AS INTEGER), CAST(((base + k * 900) // 60) % 60 AS INTEGER)) AS departs FROM (SELECT o_orderkey, (o_orderkey * 7919) % 86400 AS base FROM orders), (SELECT unnest(range(0, 4)) AS k)")
 def new_line_departures(spark: SparkSession, d: str) -> DataFrame:
-    """Four departures a quarter of an hour apart for every tenth order's line."""
-    o = table(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("trip"), ((F.col("o_orderkey") * 7919) % 86400).alias("base"))
+    """Four departures a quarter of an hour apart for every order's line."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("trip"), ((F.col("o_orderkey") * 7919) % 86400).alias("base"))
     k = o.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
     return k.select("trip", "k", clock(F.col("base") + F.col("k") * 900).alias("departs"))
 
