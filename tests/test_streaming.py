@@ -37,8 +37,46 @@ def test_sliding_counts_each_row_four_times(stream, tmp_path):
 
 
 def test_sessions(stream, tmp_path):
+    """Append mode gives the sessions that the watermark has closed: all but those of the last minutes."""
     live, batch = stream
-    assert sum(r.n for r in drain(passes.stuck(live), "append", tmp_path, "stuck").collect()) <= batch.count()
+    got = {(r.vehicle, r.start, r.n) for r in drain(passes.stuck(live, "1800 seconds"), "append", tmp_path, "stuck").collect()}
+    every = {(r.vehicle, r.start, r.n) for r in passes.stuck(batch, "1800 seconds").collect()}
+    assert got <= every
+    live_short = {(r.vehicle, r.start, r.n) for r in drain(passes.stuck(live, "600 seconds"), "append", tmp_path, "short").collect()}
+    short = {(r.vehicle, r.start, r.n) for r in passes.stuck(batch, "600 seconds").collect()}
+    assert live_short <= short and 0 < len(short) - len(live_short) <= 4
+
+
+def test_days_come_once(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1, 7)
+    rows = [(i, t + dt.timedelta(hours=i * 5), 1, 1, 30.0 + i) for i in range(15)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    got = sorted((r.start.day, r.n) for r in drain(passes.day_totals(live), "append", tmp_path, "days").collect())
+    assert got == [(1, 4), (2, 5), (3, 4)]  # the fourth day is not over
+
+
+def test_two_runs_in_step(stream, spark, tmp_path):
+    live, batch = stream
+    other = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")).withColumn("kmh", F.col("kmh") + 1)
+    got = drain(passes.in_step(live, other), "append", tmp_path, "step").collect()
+    assert len(got) == batch.count() and all(r.b_kmh == r.a_kmh + 1 for r in got)
+
+
+def test_clock_that_goes_back(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1, 7)
+    rows = [(i, t + dt.timedelta(minutes=m), 1, 1, 30.0) for i, m in enumerate([0, 5, 9, 2, 3])]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    assert [(r.vehicle, r.n) for r in drain(passes.since_restart(live), "update", tmp_path, "restart").collect()] == [(1, 2)]
+
+
+def test_snapshots_and_partial_sums(stream, spark, tmp_path):
+    live, batch = stream
+    for f, name in ((passes.snapshots, "snap"), (passes.partial_sums, "sums")):
+        f(live, str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-c")).trigger(availableNow=True).start().awaitTermination(120)
+    assert passes.latest_snapshot(spark, str(tmp_path / "snap"), SCHEMA).count() == batch.count()
+    assert {r.edge_id: r.n for r in passes.running_totals(spark, str(tmp_path / "sums")).collect()} == {r.edge_id: r["count"] for r in batch.groupBy("edge_id").count().collect()}
 
 
 def test_first_seen(stream, tmp_path):

@@ -127,3 +127,44 @@ def routing_arcs(links: DataFrame) -> DataFrame:
     onward = links.where("turn <> 'back'").select("src").distinct()
     usable = links.where("turn <> 'back'").unionByName(links.where("turn = 'back'").join(onward, "src", "left_anti"))
     return usable.groupBy("src", "dst").agg(F.bit_or("classes").alias("classes"), F.min(F.col("cost") + penalty).alias("cost"))
+
+
+def worst_approach(edges: DataFrame, before: DataFrame, starts: DataFrame, reach: float, slow: float) -> DataFrame:
+    """start, lost: seconds lost on the way upstream from each start, always onto the slow edge that loses most (the smaller
+    id of equals), until none is left or reach metres are walked.
+
+    edges: edge, loss, share, length; before: edge, prev. Each round adds an unseen edge to a walk, so the rounds end.
+    """
+    from urbanspark.sources.tables import checkpointed
+
+    e = checkpointed(edges.select("edge", "loss", "share", "length"))
+    first = starts.select(F.col("edge").alias("start")).distinct().join(e.select(F.col("edge").alias("start"), "loss", "length"), "start")
+    walk = checkpointed(first.select("start", F.col("start").alias("at"), F.col("loss").alias("lost"), F.col("length").alias("metres"), F.array("start").alias("seen")))
+    done = walk.limit(0).select("start", "lost")
+    options = before.select(F.col("edge").alias("at"), "prev").join(e.select(F.col("edge").alias("prev"), F.col("loss").alias("more"), "share", F.col("length").alias("step")), "prev").where(F.col("share") < slow)
+    options = checkpointed(options.select("at", "prev", "more", "step"))
+    while not walk.isEmpty():
+        going = walk.where(F.col("metres") < reach).join(options, "at").where(~F.array_contains("seen", F.col("prev")))
+        best = going.groupBy("start").agg(F.max_by(F.struct("lost", "metres", "seen", "prev", "more", "step"), F.struct(F.col("more"), -F.col("prev"))).alias("b")).select("start", "b.*")
+        best = checkpointed(best)
+        done = checkpointed(done.unionByName(walk.join(best.select("start"), "start", "left_anti").select("start", "lost")))
+        walk = checkpointed(best.select("start", F.col("prev").alias("at"), (F.col("lost") + F.col("more")).alias("lost"), (F.col("metres") + F.col("step")).alias("metres"), F.concat("seen", F.array("prev")).alias("seen")))
+    return done
+
+
+def inferred_lanes(ways: DataFrame, rounds: int = 4) -> DataFrame:
+    """way, lanes of ways without a count: the fewest lanes of ways joined to their ends with the same key and direction, in
+    rounds, so that counts spread along chains; only those above one lane each way.
+
+    ways: way, a, b (end nodes), key (name, class; NULL: none), oneway (boolean), lanes (NULL: unknown). The rounds are the
+    rule's own reach.
+    """
+    from urbanspark.sources.tables import checkpointed
+
+    w = checkpointed(ways.select("way", "a", "b", "key", "oneway", "lanes").withColumn("found", F.lit(False)))
+    for _ in range(rounds):
+        ends = w.select("way", F.explode(F.array("a", "b")).alias("node"), "key", "oneway", "lanes")
+        known = ends.where("lanes is not null").select(F.col("way").alias("other"), "node", "key", "oneway", F.col("lanes").alias("n"))
+        new = ends.where("lanes is null and key is not null").join(known, ["node", "key", "oneway"]).where("way <> other").groupBy("way").agg(F.min("n").alias("n"))
+        w = checkpointed(w.join(new, "way", "left").select("way", "a", "b", "key", "oneway", F.coalesce("lanes", "n").alias("lanes"), (F.col("found") | F.col("n").isNotNull()).alias("found")))
+    return w.where("found and lanes >= case when oneway then 2 else 3 end").select("way", "lanes")

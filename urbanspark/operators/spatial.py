@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from urbanspark.functions.formulas import heading_difference, inside
+from urbanspark.functions.formulas import distance_to_edge, heading_difference, inside
 
 
 def cell(value: Column, size: float) -> Column:
@@ -72,3 +72,30 @@ def catchment(services: DataFrame, homes: DataFrame, reach: float) -> DataFrame:
     ratio = pairs.groupBy("r_id").agg(F.try_divide(F.first("r_places"), F.sum("l_residents")).alias("ratio"))
     supply = pairs.join(ratio, "r_id").groupBy("l_id").agg(F.sum("ratio").alias("supply"))
     return homes.join(supply.withColumnRenamed("l_id", "id"), "id", "left").withColumn("supply", F.coalesce("supply", F.lit(0.0)))
+
+
+def point_in_nearest_polygon(points: DataFrame, polygons: DataFrame, size: float, cutoff: float) -> DataFrame:
+    """point_in_polygon(), and for points outside all of them the polygon with the nearest edge within cutoff."""
+    found = point_in_polygon(points, polygons, size)
+    spread = lambda c: F.sequence(cell(F.array_min(F.transform("ring", lambda p: p[c])) - cutoff, size), cell(F.array_max(F.transform("ring", lambda p: p[c])) + cutoff, size))
+    around = polygons.select("polygon", "ring").withColumn("_cx", F.explode(spread("x"))).withColumn("_cz", F.explode(spread("z")))
+    outside = found.where("polygon is null").select("id", "x", "z", cell(F.col("x"), size).alias("_cx"), cell(F.col("z"), size).alias("_cz"))
+    near = outside.join(around, ["_cx", "_cz"]).withColumn("d", distance_to_edge(F.col("x"), F.col("z"), F.col("ring"))).where(F.col("d") <= cutoff)
+    best = near.groupBy("id").agg(F.min(F.struct("d", "polygon")).alias("n"))
+    return found.join(best, "id", "left").withColumn("polygon", F.coalesce("polygon", "n.polygon")).drop("n")
+
+
+def deduplicate_places(places: DataFrame, radius: float = 60.0) -> DataFrame:
+    """One of each place mapped twice: of the same kind within radius, with the same name or unnamed; named ones stay.
+
+    places: id, kind, name, x, z. Named rows come first, then by kind, name and id; a row goes if one before it that stays
+    is its twin.
+    """
+    from urbanspark.operators.matching import independent
+
+    ranked = places.select("id", F.struct((F.coalesce("name", F.lit("")) == "").alias("unnamed"), "kind", F.coalesce("name", F.lit("")).alias("name"), "id").alias("rank"))
+    named = places.select("id", "kind", F.coalesce("name", F.lit("")).alias("name"), "x", "z").join(ranked, "id")
+    pairs = within(named, named, radius).where("l_kind = r_kind and r_rank < l_rank and (l_name = '' or l_name = r_name)").where(F.col("dist") < radius)
+    edges = pairs.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
+    kept = independent(edges.union(edges.select("b", "a")), ranked)
+    return places.join(kept.select("id"), "id", "left_semi")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -64,19 +70,78 @@ def latest(df: DataFrame, key: list[str], version: str) -> DataFrame:
 
 
 def pack_deltas(df: DataFrame, key: list[str], order: str, column: str, unit: float = 0.01, longest: int = 32_767) -> DataFrame:
-    """A coordinate as steps of whole units; steps beyond longest are an error."""
+    """A coordinate as steps of whole units. A step beyond longest becomes several rows (part of parts) that add up to it."""
     at = F.round(F.col(column) / unit).cast("long")
-    step = at - F.coalesce(F.lag(at).over(Window.partitionBy(*key).orderBy(order)), F.lit(0))
-    first = F.row_number().over(Window.partitionBy(*key).orderBy(order)) == 1
-    checked = F.when(~F.col("_first") & (F.abs("_step") > longest), F.raise_error(F.lit("step too long"))).otherwise(F.col("_step"))
-    return df.withColumns({"_step": step, "_first": first}).withColumn("step", checked).drop("_step", "_first")
+    w = Window.partitionBy(*key).orderBy(order)
+    step = at - F.coalesce(F.lag(at).over(w), F.lit(0))
+    parts = F.when((F.row_number().over(w) == 1) | F.col("_step").isNull(), 1).otherwise(F.greatest(F.ceil(F.abs("_step") / longest), F.lit(1))).cast("int")
+    cut = df.withColumn("_step", step).withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(1), "parts")))
+    until = lambda k: F.floor(F.col("_step") * k / F.col("parts"))
+    return cut.withColumn("step", F.when(F.col("parts") == 1, F.col("_step")).otherwise(until(F.col("part")) - until(F.col("part") - 1))).drop("_step")
 
 
 def unpack_deltas(df: DataFrame, key: list[str], order: str, unit: float = 0.01) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("value", F.sum("step").over(w) * unit)
+    """The rows of pack_deltas() put together again, with value."""
+    w = Window.partitionBy(*key).orderBy(order, "part").rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("value", F.sum("step").over(w) * unit).where("part = parts").drop("part", "parts")
 
 
 def terrain_height(r, g, b, scale: float = 0.1, offset: float = 10_000.0):
     """Height of an RGB-coded terrain pixel."""
     return (r * 65_536 + g * 256 + b) * scale - offset
+
+
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def read_sheets(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
+    """path, row (from 1) and cells (column letters -> text) of a worksheet of each workbook; a workbook is one task's work."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as book:
+                    shared = []
+                    if "xl/sharedStrings.xml" in book.namelist():
+                        shared = ["".join(t.text or "" for t in s.iter(f"{_SHEET}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si")]
+                    out = []
+                    for row in ElementTree.fromstring(book.read(f"xl/worksheets/sheet{sheet}.xml")).iter(f"{_SHEET}row"):
+                        cells = {}
+                        for c in row.iter(f"{_SHEET}c"):
+                            value = "".join(t.text or "" for t in c.iter(f"{_SHEET}t")) if c.get("t") == "inlineStr" else c.findtext(f"{_SHEET}v")
+                            if value is not None:
+                                cells[c.get("r").rstrip("0123456789")] = shared[int(value)] if c.get("t") == "s" else value
+                        out.append((name, int(row.get("r")), cells))
+                yield pd.DataFrame(out, columns=["path", "row", "cells"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "path string, row int, cells map<string, string>")
+
+
+def wkb_points(shape: Column) -> Column:
+    """Points of a well-known-binary point, line or polygon (its outer ring); NULL for other kinds."""
+
+    def decode(b: bytes | None):
+        if b is None or len(b) < 5:
+            return None
+        end = "<" if b[0] == 1 else ">"
+        kind = int(np.frombuffer(b, f"{end}u4", 1, 1)[0]) % 1000
+        if kind not in (1, 2, 3):
+            return None
+        at = {1: 5, 2: 9, 3: 13}[kind]
+        n = 1 if kind == 1 else int(np.frombuffer(b, f"{end}u4", 1, at - 4)[0]) if len(b) >= at else 0
+        return [{"x": x, "y": y} for x, y in np.frombuffer(b, f"{end}f8", 2 * n, at).reshape(n, 2).tolist()]
+
+    def points(shapes: pd.Series) -> pd.Series:
+        return shapes.map(decode)
+
+    return F.pandas_udf(points, "array<struct<x: double, y: double>>")(shape)
+
+
+def save_state(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
+def load_state(spark: SparkSession, path: str, schema: str, valid: Column, order: str, most: int) -> DataFrame:
+    """Saved rows that parse and are valid, the last `most` by order: what does not hold is left out, not trusted."""
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+    return rows.where(F.coalesce(valid, F.lit(False))).orderBy(F.desc(order)).limit(most)
