@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from urbanspark.functions.formulas import WEATHER, distance_to_edge, inside, roof_from_volume, segment_distance, sun_elevation, transverse_mercator
+from urbanspark.functions.formulas import ARCHETYPES, VEHICLES, WEATHER, distance_to_edge, inside, roof_from_volume, segment_distance, sun_elevation, transverse_mercator
 from urbanspark.functions.rules import default_roof, estimated_height, planned_zone, storeys, use_shares
 from urbanspark.operators.spatial import cell, within
 from urbanspark.registry import query
@@ -211,3 +211,67 @@ def mask_conflicts(spark: SparkSession, d: str) -> DataFrame:
     bit = lambda n: F.call_function("shiftleft", F.lit(1), (F.col("id") % n).cast("int"))
     a, b = p.where("kind < 5").select("id", "cx", "cz", bit(4).alias("m")), p.where("kind >= 5").select("cx", "cz", bit(3).alias("n"))
     return a.join(b, ["cx", "cz"]).where(F.col("m").bitwiseAND(F.col("n")) != 0).groupBy("id").agg(F.count(F.lit(1)).alias("conflicts"))
+
+
+@query(
+    "SELECT pass_id, CASE k WHEN 0 THEN 'car' WHEN 1 THEN 'lorry' WHEN 2 THEN 'bus' WHEN 3 THEN 'tram' WHEN 4 THEN 'train' WHEN 5 THEN 'bike' ELSE 'heavy lorry' END AS type, k IN (1, 6) AS is_lorry, "
+    "round(least(kmh, 3.6 * CASE k WHEN 0 THEN 50.0 WHEN 1 THEN 25.0 WHEN 2 THEN 22.0 WHEN 3 THEN 19.5 WHEN 4 THEN 44.0 WHEN 5 THEN 5.0 ELSE 25.0 END::DOUBLE), 6) AS kmh, CASE k WHEN 1 THEN 7.5 WHEN 6 THEN 40.0 ELSE 0.0 END::DOUBLE AS tonnes FROM (SELECT *, pass_id % 7 AS k FROM v_pass)"
+)
+def vehicle_types(spark: SparkSession, d: str) -> DataFrame:
+    """Passes with their vehicle type's name, weight and top speed."""
+    types = spark.createDataFrame([(i, name, top, tonnes) for i, (name, _, top, tonnes) in enumerate(VEHICLES)], "k long, type string, top double, tonnes double")
+    p = VIEWS["v_pass"](spark, d).withColumn("k", F.col("pass_id") % len(VEHICLES)).join(F.broadcast(types), "k")  # seven rows
+    return p.select("pass_id", "type", F.col("type").isin("lorry", "heavy lorry").alias("is_lorry"), F.round(F.least(F.col("kmh"), 3.6 * F.col("top")), 6).alias("kmh"), "tonnes")
+
+
+@query(
+    "SELECT id, round(CASE k WHEN 0 THEN 2.9 * s WHEN 1 THEN 3.0 * s WHEN 2 THEN 4.5 + (s - 1) * 3.1 ELSE 4.5 * s END::DOUBLE, 6) AS eaves, round(CASE k WHEN 0 THEN 2.9 * s + 3 WHEN 1 THEN 3.0 * s + 2.5 WHEN 2 THEN 4.5 + (s - 1) * 3.1 ELSE 4.5 * s END::DOUBLE, 6) AS ridge, "
+    "round(CASE k WHEN 2 THEN f * (s - 1) / 30 WHEN 3 THEN 0 ELSE f * s / 30 END::DOUBLE, 6) AS residents, round(CASE k WHEN 2 THEN f / 35 WHEN 3 THEN f * s / 35 ELSE 0 END::DOUBLE, 6) AS jobs, now >= done OR now < done - 100 AS finished "
+    "FROM (SELECT p_partkey AS id, p_partkey % 4 AS k, p_size % 6 + 1 AS s, p_retailprice / 10 * 0.8 AS f, p_partkey % 300 AS done, 150 AS now FROM part)"
+)
+def building_occupants(spark: SparkSession, d: str) -> DataFrame:
+    """Heights, residents and jobs of grown buildings by their archetype, and whether they are finished."""
+    rows = [(i, *a) for i, a in enumerate(ARCHETYPES.values())]
+    kinds = spark.createDataFrame(rows, "k long, storey double, ridge double, homes boolean, shops boolean, job_area double")
+    key, n = F.col("p_partkey"), F.col("p_size") % 6 + 1
+    b = table(spark, d, "part").select(key.alias("id"), (key % 4).alias("k"), n.alias("n"), (F.col("p_retailprice") / 10 * 0.8).alias("floor"), (key % 300).alias("done")).join(F.broadcast(kinds), "k")  # four rows
+    eaves = F.when(F.col("shops"), 4.5 + (F.col("n") - 1) * F.col("storey")).when(~F.col("homes"), F.col("n") * 4.5).otherwise(F.col("n") * F.col("storey"))
+    residents = F.when(F.col("homes"), F.col("floor") * (F.col("n") - F.col("shops").cast("int")) / 30).otherwise(0.0)
+    jobs = F.when(F.col("shops"), F.col("floor") / F.col("job_area")).when(~F.col("homes"), F.col("floor") * F.col("n") / F.col("job_area")).otherwise(0.0)
+    finished = (F.lit(150) >= F.col("done")) | (F.lit(150) < F.col("done") - 100)
+    return b.select("id", F.round(eaves, 6).alias("eaves"), F.round(eaves + F.col("ridge"), 6).alias("ridge"), F.round(residents, 6).alias("residents"), F.round(jobs, 6).alias("jobs"), finished.alias("finished"))
+
+
+@query("SELECT edge_id, count(*) FILTER (kind <> 'error') AS green_s, count(*) FILTER (kind = 'purchase') AS served, count(*) FILTER (kind = 'view') AS starved, count(*) FILTER (kind = 'click') AS blocked, round(3600.0 * count(*) FILTER (kind = 'purchase') / nullif(count(*) FILTER (kind <> 'error'), 0), 4) AS per_hour_of_green FROM v_pass GROUP BY 1")
+def green_audit(spark: SparkSession, d: str) -> DataFrame:
+    """What each approach did with its green: seconds, vehicles over the line, seconds without one or with one that stood."""
+    count = lambda cond: F.count(F.when(cond, 1))
+    kind = F.col("kind")
+    g = VIEWS["v_pass"](spark, d).groupBy("edge_id").agg(count(kind != "error").alias("green_s"), count(kind == "purchase").alias("served"), count(kind == "view").alias("starved"), count(kind == "click").alias("blocked"))
+    return g.withColumn("per_hour_of_green", F.round(3600.0 * F.col("served") / F.nullif(F.col("green_s"), F.lit(0)), 4))
+
+
+_RIDES = "SELECT route, stop AS a, nxt AS b, count(*) AS n, avg(nt - t_s) AS seconds FROM (SELECT route, stop, t_s, lead(stop) OVER w AS nxt, lead(t_s) OVER w AS nt FROM v_stop_time WINDOW w AS (PARTITION BY trip ORDER BY seq)) WHERE nxt IS NOT NULL AND nxt <> stop GROUP BY 1, 2, 3"
+
+
+@query(
+    f"WITH rides AS ({_RIDES}) SELECT 'ride' AS kind, route || ':' || a AS src, route || ':' || b AS dst, round(seconds, 4) AS cost FROM rides "
+    "UNION ALL SELECT 'board', 's:' || a, route || ':' || a, round(2 * least(0.5 / (sum(n) / 7200.0), 900) + 180, 4) FROM rides GROUP BY route, a "
+    "UNION ALL SELECT DISTINCT 'alight', route || ':' || b, 's:' || b, 0.0::DOUBLE FROM rides "
+    "UNION ALL SELECT 'transfer', 's:' || x.stop, 's:' || y.stop, 300.0::DOUBLE FROM (SELECT DISTINCT stop FROM v_stop_time) x JOIN (SELECT DISTINCT stop FROM v_stop_time) y ON y.stop = x.stop + 1 OR y.stop = x.stop - 1"
+)
+def journey_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The timetable as a graph: rides between a line's calls, boarding (half the headway weighs double), alighting, walks to the next stops."""
+    from urbanspark.plans.timetable import ride_arcs
+
+    rides = ride_arcs(spark, d)
+    at = lambda stop: F.concat(F.col("route"), F.lit(":"), F.col(stop).cast("string"))
+    place = lambda stop: F.concat(F.lit("s:"), F.col(stop).cast("string"))
+    arc = lambda df, kind, a, b, cost: df.select(F.lit(kind).alias("kind"), a.alias("src"), b.alias("dst"), F.round(cost, 4).cast("double").alias("cost"))
+    calls = rides.groupBy("route", "from_stop").agg((F.sum("arcs") / 7200.0).alias("f"))
+    stops = VIEWS["v_stop_time"](spark, d).select("stop").distinct()
+    walks = stops.withColumn("to", F.explode(F.array(F.col("stop") - 1, F.col("stop") + 1))).join(stops.select(F.col("stop").alias("to")), "to")
+    out = arc(rides, "ride", at("from_stop"), at("to_stop"), F.col("seconds"))
+    out = out.union(arc(calls, "board", place("from_stop"), at("from_stop"), 2 * F.least(0.5 / F.col("f"), F.lit(900.0)) + 180))
+    out = out.union(arc(rides.select("route", "to_stop").distinct(), "alight", at("to_stop"), place("to_stop"), F.lit(0.0)))
+    return out.union(arc(walks, "transfer", place("stop"), place("to"), F.lit(300.0)))
