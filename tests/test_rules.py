@@ -1,5 +1,8 @@
 """Rules, sources and walks on small exact cases."""
 
+import itertools
+import math
+import random
 import re
 import struct
 import unicodedata
@@ -9,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from urbanspark.functions import formulas, rules, text
-from urbanspark.operators import graph, spatial
+from urbanspark.operators import graph, matching, spatial
 from urbanspark.sources import tables
 
 
@@ -63,6 +66,27 @@ def test_worst_approach(spark):
     assert {r.start: r.lost for r in graph.worst_approach(edges, before, starts, 150.0, 0.5).collect()} == {1: 14.0, 4: 50.0}
 
 
+def test_stops_along_a_shape_by_brute_force(spark):
+    rng = random.Random(3)
+    trips = {k: [[(rng.randint(0, 1000) + 200.0 * i, float(rng.randint(0, 300))) for _ in range(3)] for i in range(rng.randint(1, 5))] for k in range(12)}
+
+    def cost(path):
+        steps = [b[0] - a[0] for a, b in zip(path, path[1:], strict=False)]
+        return sum(c for _, c in path) + sum(steps) if all(s >= 0 for s in steps) else math.inf
+
+    rows = [(k, i, c) for k, t in trips.items() for i, c in enumerate(t)]
+    got = {}
+    for r in matching.viterbi(spark.createDataFrame(rows, "trip long, seq int, choices array<struct<position: double, cost: double>>"), "trip").collect():
+        got.setdefault(r.trip, {})[r.seq] = r.position
+    for k, t in trips.items():
+        paths = sorted((cost(p), [x for x, _ in p]) for p in itertools.product(*t))
+        found = [got[k][i] for i in range(len(t))]
+        if math.isinf(paths[0][0]):
+            assert all(math.isnan(x) for x in found)
+        else:
+            assert found in [p for c, p in paths if c == paths[0][0]]
+
+
 def test_inferred_lanes(spark):
     rows = [(1, 0, 1, "A", False, 4), (2, 1, 2, "A", False, None), (3, 2, 3, "A", False, None), (4, 3, 4, "B", False, None), (5, 0, 5, "A", True, None), (6, 3, 9, "A", False, 3)]
     got = {r.way: r.lanes for r in graph.inferred_lanes(spark.createDataFrame(rows, "way long, a long, b long, key string, oneway boolean, lanes int")).collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -65,12 +66,11 @@ def viterbi(observed: DataFrame, key: str, weight: float = 1.0) -> DataFrame:
     than its length times weight. A key's observations are a trip's stops, tens of rows.
     """
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
+    def best_path(choices: list) -> list[float]:
         total, back, places = None, [], []
-        for choices in pdf["choices"]:
-            at = np.array([c["position"] for c in choices], float)
-            cost = np.array([c["cost"] for c in choices], float)
+        for row in choices:
+            at = np.array([c["position"] for c in row], float)
+            cost = np.array([c["cost"] for c in row], float)
             if total is None:
                 total = cost
             else:
@@ -79,14 +79,21 @@ def viterbi(observed: DataFrame, key: str, weight: float = 1.0) -> DataFrame:
                 back.append(move.argmin(axis=0))
                 total = move.min(axis=0) + cost
             places.append(at)
-        best = [int(total.argmin())] if np.isfinite(total).any() else None
-        if best is None:
-            return pd.DataFrame({key: pdf[key], "seq": pdf["seq"], "position": np.nan})
+        if not np.isfinite(total).any():
+            return [float("nan")] * len(choices)
+        best = [int(total.argmin())]
         for b in reversed(back):
             best.append(int(b[best[-1]]))
-        return pd.DataFrame({key: pdf[key].to_numpy(), "seq": pdf["seq"].to_numpy(), "position": [p[i] for p, i in zip(places, reversed(best), strict=True)]})
+        return [float(p[i]) for p, i in zip(places, reversed(best), strict=True)]
 
-    return observed.groupBy(key).applyInPandas(solve, f"{key} long, seq int, position double")
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, o["seq"], p) for k, seen in zip(batch[key], batch["seen"], strict=True) for o, p in zip(seen, best_path([o["choices"] for o in seen]), strict=True)]
+            yield pd.DataFrame(rows, columns=[key, "seq", "position"])
+
+    # one row a trip, many trips a batch
+    seen = observed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "choices"))).alias("seen"))
+    return seen.mapInPandas(solve, f"{key} long, seq int, position double")
 
 
 def back_trace(previous: DataFrame, starts: DataFrame | None = None) -> DataFrame:

@@ -23,12 +23,13 @@ _TRIPS = "SELECT trip, route, CAST(min(t_s) AS BIGINT) AS start, list(stop ORDER
 
 @query(
     f"SELECT route, headsign, pattern, n, round(share, 6) AS share FROM (SELECT *, n / sum(n) OVER (PARTITION BY route) AS share, row_number() OVER (PARTITION BY route ORDER BY n DESC, headsign, pattern) AS r "
-    f"FROM (SELECT route, 'to ' || (stops[-1] % 2) AS headsign, array_to_string(list_transform(stops, lambda s: s % 2), '-') AS pattern, count(*) AS n FROM ({_TRIPS}) GROUP BY 1, 2, 3)) WHERE r <= 6 AND share >= 0.05"
+    f"FROM (SELECT route, 'to ' || (stops[-1] // 40) AS headsign, array_to_string(list_transform(stops, lambda s: s // 40), '-') AS pattern, count(*) AS n FROM ({_TRIPS}) GROUP BY 1, 2, 3)) WHERE r <= 6 AND share >= 0.05"
 )
 def stop_patterns_topk(spark: SparkSession, d: str) -> DataFrame:
     """The six most frequent headsigns and whole stop sequences of each route with a twentieth of its trips (stops by district)."""
-    stops = F.transform("stops", lambda s: s % 2)
-    headsign = F.concat(F.lit("to "), F.element_at("stops", -1) % 2)
+    district = lambda s: F.floor(s / 40)
+    stops = F.transform("stops", district)
+    headsign = F.concat(F.lit("to "), district(F.element_at("stops", -1)))
     p = _trips(spark, d).groupBy("route", headsign.alias("headsign"), F.array_join(stops, "-").alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("route")
     ranked = p.withColumns({"share": F.col("n") / F.sum("n").over(w), "r": F.row_number().over(w.orderBy(F.desc("n"), "headsign", "pattern"))})
