@@ -1,13 +1,15 @@
-"""Benchmark decontamination with a distributed positional index of the training text.
+"""Benchmark decontamination with a distributed positional inverted index of the training text.
 
-Test items become windows of WINDOW words. Document frequencies of the test terms over the whole corpus rank each
-window's terms; a window with a term the corpus lacks is dropped, every other one is looked up under its rarest term.
-The index holds, per document, the postings of those terms: position and the words around it, so that the lists of the
-window's other terms, shifted by their offsets, are intersected beside the posting. A match is exact (phrase) or, with
-slop, a proximity match: all of a window's words within slop words of its place.
+The index is a table of postings: term and place of every training token that is a test term (of all tokens, if no terms
+are given). Test items become windows of WINDOW words. The lengths of the posting lists over the whole corpus rank each
+window's terms; a window with a term the corpus lacks is dropped. The rarest term's list, shifted by the term's offset,
+gives the places where a window may stand; they are intersected with the next rarest term's list first, and what is left
+with the lists of all terms. A match is exact (phrase) or, with slop, a proximity match: the rarest term at its place and
+all of the window's words within slop words of the window's place.
 
-Only terms that pass a bit table of fixed size (TABLE_BITS, whatever the benchmark's size) leave a document; the joins
-are on terms and on rows, and a hot term or passage is split like any skewed join.
+Lists meet by (row, term, place), a place being a block of places for proximity, so no list is gathered anywhere: a term
+however frequent is spread over rows. Before each join a bit table of fixed size (TABLE_BITS) drops the postings that no
+candidate asks for; the join decides. The rarest lists are joined by term, split like any skewed join where one is hot.
 
 Edge cases: null and empty texts have no words. Items without words match nothing. Items shorter than WINDOW are one
 window. Repeated items and repeated rows are all kept; rows that share an id are told apart. Texts are searched whole.
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, bit_filter, stored
 
 WINDOW = 13
-TABLE_BITS = 1 << 18
+#: of the tables of terms, and of those of asked places
+TERM_BITS, TABLE_BITS = 1 << 18, 1 << 21
 _SPLIT = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -38,60 +41,68 @@ def windows_of(items: DataFrame, item: str = "item_id", text: str = "text", wind
     return items.select(F.col(item).alias("item"), terms_of(F.col(text)).alias("w")).where(F.size("w") > 0).select("item", F.explode(cut(F.col("w"))).alias("words")).distinct()
 
 
-def _term_filter(terms: DataFrame):
-    holds = bit_filter(terms.select(F.xxhash64("term")), TABLE_BITS)
-    return lambda term: holds(F.xxhash64(term))
+def positional_index(docs: DataFrame, terms: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """row, key, n_words and the postings (term, pos) of every document's tokens, or of those that may be in terms."""
+    words = docs.select(F.col(key), terms_of(F.col(text)).alias("w"))
+    holds = bit_filter(terms.select(F.xxhash64("term")), TERM_BITS) if terms is not None else None
+    posting = lambda t, i: F.struct(t.alias("term"), i.alias("pos"))
+    kept = F.transform("w", posting) if holds is None else F.filter(F.transform("w", lambda t, i: F.when(holds(F.xxhash64(t)), posting(t, i))), lambda p: p.isNotNull())
+    return stored(words.select(F.monotonically_increasing_id().alias("row"), key, F.size("w").cast("long").alias("n_words"), kept.alias("postings")), "postings")
 
 
-def corpus_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, df: in how many documents each of the terms stands."""
-    holds = _term_filter(terms)
-    found = docs.select(F.explode(F.filter(F.array_distinct(terms_of(F.col("text"))), holds)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return found.join(terms, "term", "left_semi")
+def _postings(index: DataFrame) -> DataFrame:
+    return index.select("row", F.explode("postings").alias("p")).select("row", "p.term", "p.pos")
 
 
-def anchored(windows: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """Windows whose words all occur in the corpus, with their rarest term and its place."""
-    spread = windows.select("item", "words", F.posexplode("words").alias("place", "term"))
-    ranked = spread.join(frequencies, "term", "left").groupBy("item", "words").agg(F.min(F.struct("df", "term", "place")).alias("a"), F.count("df").alias("known"))
-    return ranked.where(F.col("known") == F.size("words")).select("item", "words", F.col("a.term").alias("term"), F.col("a.place").alias("place"))
+def ranked_lists(windows: DataFrame, index: DataFrame) -> DataFrame:
+    """window, item, size and lists (n, term, places) from the rarest term on, of windows whose words all have postings."""
+    lengths = _postings(index).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    terms = windows.select("window", F.posexplode("words").alias("place", "term")).groupBy("window", "term").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    known = terms.join(lengths, "term", "left").groupBy("window").agg(F.sort_array(F.collect_list(F.struct("n", "term", "places"))).alias("lists"), F.count(F.when(F.col("n").isNull(), 1)).alias("lacking"))
+    return known.where("lacking = 0").join(windows, "window").select("window", "item", F.size("words").alias("size"), "lists")
 
 
-def positional_index(docs: DataFrame, anchors: DataFrame, radius: int, key: str = "doc_id") -> DataFrame:
-    """row, key, n_words and the postings (pos, term, at, around) of the anchor terms; around[at] is the term."""
-    holds = _term_filter(anchors.select("term").distinct())
+def _meet(index: DataFrame, asked: DataFrame, width: int, slop: int) -> DataFrame:
+    """The postings that candidates ask for: window, row, start, size, n_terms, term, exact.
 
-    def postings(w: Column) -> Column:
-        def posting(term: Column, i: Column) -> Column:
-            start = F.greatest(i - radius, F.lit(0))
-            return F.when(holds(term), F.struct(i.alias("pos"), term.alias("term"), (i - start).alias("at"), F.slice(w, start + 1, F.lit(2 * radius + 1)).alias("around")))
+    asked: candidates with a term of their window and its places in it.
+    """
+    block = 1 if not slop else width + 2 * slop
+    blocks = F.transform("places", lambda p: (F.col("start") + p).cast("long"))
+    if slop:
+        blocks = F.sequence(F.floor((F.col("start") - slop) / block), F.floor((F.col("start") + F.col("size") - 1 + slop) / block))
+    asked = stored(asked.withColumn("block", F.explode(blocks)), "asked")
+    holds = bit_filter(asked.select(F.xxhash64("row", "term", "block")), TABLE_BITS)
+    lists = _postings(index).withColumn("block", F.floor(F.col("pos") / block) if slop else F.col("pos").cast("long"))
+    met = lists.where(holds(F.xxhash64("row", "term", "block"))).join(asked, ["row", "term", "block"])
+    met = met.where(F.col("pos").between(F.col("start") - slop, F.col("start") + F.col("size") - 1 + slop))
+    return met.select("window", "row", "start", "size", "n_terms", "term", F.array_contains("places", F.col("pos") - F.col("start")).alias("exact"))
 
-        return F.filter(F.transform(w, posting), lambda p: p.isNotNull())
 
-    indexed = docs.select(F.col(key), terms_of(F.col("text")).alias("w")).select(F.col(key), F.size("w").cast("long").alias("n_words"), postings(F.col("w")).alias("postings"))
-    return stored(indexed.withColumn("row", F.monotonically_increasing_id()), "postings")
-
-
-def find_matches(index: DataFrame, anchors: DataFrame, slop: int = 0) -> DataFrame:
+def find_matches(index: DataFrame, ranked: DataFrame, width: int = WINDOW, slop: int = 0) -> DataFrame:
     """row, item, start, length, kind ('exact' or 'proximity')."""
-    spread = index.select("row", F.explode("postings").alias("p")).select("row", "p.pos", "p.term", "p.at", "p.around")
-    size, begin = F.size("words"), F.col("at") - F.col("place")
-    exact = F.coalesce((begin >= 0) & (F.slice("around", F.greatest(begin, F.lit(0)) + 1, size) == F.col("words")), F.lit(False))
-    left = F.greatest(begin - slop, F.lit(0))
-    near = F.size(F.array_except("words", F.slice("around", left + 1, F.greatest(begin + size + slop - left, F.lit(0))))) == 0
-    joined = spread.join(anchors, "term")
-    joined = joined.where(exact) if not slop else joined.where(exact | near)
-    return joined.select("row", "item", (F.col("pos") - F.col("place")).alias("start"), size.alias("length"), F.when(exact, "exact").otherwise("proximity").alias("kind"))
+    rarest = ranked.select("window", "size", F.size("lists").alias("n_terms"), F.col("lists")[0]["term"].alias("term"), F.col("lists")[0]["places"][0].alias("place"))
+    holds = bit_filter(rarest.select(F.xxhash64("term")), TERM_BITS)
+    found = _postings(index).where(holds(F.xxhash64("term"))).join(rarest, "term")
+    found = stored(found.select("window", "row", (F.col("pos") - F.col("place")).alias("start"), "size", "n_terms").where(f"{slop} > 0 or start >= 0"), "candidates")
+    spread = ranked.select("window", F.posexplode("lists").alias("rank", "l")).select("window", "rank", "l.term", "l.places")
+    second = _meet(index, found.join(spread.where("rank = 1"), "window"), width, slop)
+    # one meeting with the second list is enough here; the last step asks for every term at every place
+    found = second.select("window", "row", "start", "size", "n_terms").distinct().union(found.where("n_terms = 1"))
+    all_lists = _meet(index, found.join(spread, "window"), width, slop)
+    counts = [F.count(F.when(F.col("exact"), 1)).alias("n_exact"), F.count_distinct("term").alias("n_met") if slop else F.lit(0).alias("n_met")]
+    counted = all_lists.groupBy("window", "row", "start", "size", "n_terms").agg(*counts)
+    exact = F.col("n_exact") == F.col("size")
+    kept = counted.where(exact | (F.col("n_met") == F.col("n_terms"))).withColumn("kind", F.when(exact, "exact").otherwise("proximity"))
+    return kept.join(ranked.select("window", "item"), "window").select("row", "item", "start", F.col("size").alias("length"), "kind")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, slop: int = 0) -> tuple[DataFrame, DataFrame]:
     """(per document: row, key, n_words, n_hit, item_ids, matches; the index). Only exact matches count as hits."""
-    docs = docs.select(F.col(key), F.col(text).alias("text"))
-    windows = stored(windows_of(items, window=window), "windows")
-    frequencies = corpus_frequencies(docs, windows.select(F.explode("words").alias("term")).distinct())
-    anchors = stored(anchored(windows, frequencies), "anchors")
-    index = positional_index(docs, anchors, window - 1 + slop, key)
-    found = find_matches(index, anchors, slop).groupBy("row").agg(
+    windows = stored(windows_of(items, window=window).withColumn("window", F.monotonically_increasing_id()), "windows")
+    index = positional_index(docs, windows.select(F.explode("words").alias("term")).distinct(), key, text)
+    ranked = stored(ranked_lists(windows, index), "ranked-lists")
+    found = find_matches(index, ranked, window, slop).groupBy("row").agg(
         F.sort_array(F.collect_set(F.when(F.col("kind") == "exact", F.struct("start", (F.col("start") + F.col("length")).alias("end"))))).alias("spans"),
         F.collect_set(F.when(F.col("kind") == "exact", F.col("item"))).alias("item_ids"),
         F.collect_set(F.struct("item", "start", "length", "kind")).alias("matches"),
@@ -102,4 +113,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     return out.select("row", key, "n_words", F.coalesce(covered, F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.array().cast(found.schema["item_ids"].dataType)).alias("item_ids"), "matches"), index
 
 
-__all__ = ["anchored", "corpus_frequencies", "decontaminate", "find_matches", "positional_index", "terms_of", "windows_of"]
+__all__ = ["decontaminate", "find_matches", "positional_index", "ranked_lists", "terms_of", "windows_of"]
