@@ -3,13 +3,14 @@
 The index is a table of postings: term and place of every training token that is a test term (of all tokens, if no terms
 are given). Test items become windows of WINDOW words. The lengths of the posting lists over the whole corpus rank each
 window's terms; a window with a term the corpus lacks is dropped. The rarest term's list, shifted by the term's offset,
-gives the places where a window may stand; they are intersected with the next rarest term's list first, and what is left
-with the lists of all terms. A match is exact (phrase) or, with slop, a proximity match: the rarest term at its place and
-all of the window's words within slop words of the window's place.
+gives the places where a window may stand; there it is intersected with the lists of the window's other terms, each
+shifted by its offset, from the next rarest on, until one lacks the place. A match is exact (phrase) or, with slop, a
+proximity match: the rarest term at its place and all of the window's words within slop words of the window's place.
 
-Lists meet by (row, term, place), a place being a block of places for proximity, so no list is gathered anywhere: a term
-however frequent is spread over rows. Before each join a bit table of fixed size (TABLE_BITS) drops the postings that no
-candidate asks for; the join decides. The rarest lists are joined by term, split like any skewed join where one is hot.
+A row of the index holds the lists of one document, by place, so lists of a row meet where they are stored: only the
+rarest terms' postings leave it, each with the stretch of the lists that a window reaches, to meet the windows by term.
+Spark broadcasts the windows while they are under its own limit; beyond, a hot term is split like any skewed join. The
+bit table of terms has a fixed size (TERM_BITS); what it lets through is dropped by the joins.
 
 Edge cases: null and empty texts have no words. Items without words match nothing. Items shorter than WINDOW are one
 window. Repeated items and repeated rows are all kept; rows that share an id are told apart. Texts are searched whole.
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, bit_filter, stored
 
 WINDOW = 13
-#: of the tables of terms, and of those of asked places
-TERM_BITS, TABLE_BITS = 1 << 18, 1 << 21
+#: of the tables of test terms and of rarest terms
+TERM_BITS = 1 << 18
 _SPLIT = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -62,39 +63,24 @@ def ranked_lists(windows: DataFrame, index: DataFrame) -> DataFrame:
     return known.where("lacking = 0").join(windows, "window").select("window", "item", F.size("words").alias("size"), "lists")
 
 
-def _meet(index: DataFrame, asked: DataFrame, width: int, slop: int) -> DataFrame:
-    """The postings that candidates ask for: window, row, start, size, n_terms, term, exact.
-
-    asked: candidates with a term of their window and its places in it.
-    """
-    block = 1 if not slop else width + 2 * slop
-    blocks = F.transform("places", lambda p: (F.col("start") + p).cast("long"))
-    if slop:
-        blocks = F.sequence(F.floor((F.col("start") - slop) / block), F.floor((F.col("start") + F.col("size") - 1 + slop) / block))
-    asked = stored(asked.withColumn("block", F.explode(blocks)), "asked")
-    holds = bit_filter(asked.select(F.xxhash64("row", "term", "block")), TABLE_BITS)
-    lists = _postings(index).withColumn("block", F.floor(F.col("pos") / block) if slop else F.col("pos").cast("long"))
-    met = lists.where(holds(F.xxhash64("row", "term", "block"))).join(asked, ["row", "term", "block"])
-    met = met.where(F.col("pos").between(F.col("start") - slop, F.col("start") + F.col("size") - 1 + slop))
-    return met.select("window", "row", "start", "size", "n_terms", "term", F.array_contains("places", F.col("pos") - F.col("start")).alias("exact"))
-
-
 def find_matches(index: DataFrame, ranked: DataFrame, width: int = WINDOW, slop: int = 0) -> DataFrame:
     """row, item, start, length, kind ('exact' or 'proximity')."""
-    rarest = ranked.select("window", "size", F.size("lists").alias("n_terms"), F.col("lists")[0]["term"].alias("term"), F.col("lists")[0]["places"][0].alias("place"))
+    rarest = ranked.select("item", "size", "lists", F.col("lists")[0]["term"].alias("term"), F.col("lists")[0]["places"][0].alias("place"))
     holds = bit_filter(rarest.select(F.xxhash64("term")), TERM_BITS)
-    found = _postings(index).where(holds(F.xxhash64("term"))).join(rarest, "term")
-    found = stored(found.select("window", "row", (F.col("pos") - F.col("place")).alias("start"), "size", "n_terms").where(f"{slop} > 0 or start >= 0"), "candidates")
-    spread = ranked.select("window", F.posexplode("lists").alias("rank", "l")).select("window", "rank", "l.term", "l.places")
-    second = _meet(index, found.join(spread.where("rank = 1"), "window"), width, slop)
-    # one meeting with the second list is enough here; the last step asks for every term at every place
-    found = second.select("window", "row", "start", "size", "n_terms").distinct().union(found.where("n_terms = 1"))
-    all_lists = _meet(index, found.join(spread, "window"), width, slop)
-    counts = [F.count(F.when(F.col("exact"), 1)).alias("n_exact"), F.count_distinct("term").alias("n_met") if slop else F.lit(0).alias("n_met")]
-    counted = all_lists.groupBy("window", "row", "start", "size", "n_terms").agg(*counts)
-    exact = F.col("n_exact") == F.col("size")
-    kept = counted.where(exact | (F.col("n_met") == F.col("n_terms"))).withColumn("kind", F.when(exact, "exact").otherwise("proximity"))
-    return kept.join(ranked.select("window", "item"), "window").select("row", "item", "start", F.col("size").alias("length"), "kind")
+    reach = width - 1 + slop
+
+    def anchor(p: Column, i: Column) -> Column:
+        """A posting of a rarest term, with the stretch of the row's lists that its windows reach."""
+        stretch = F.slice("postings", F.greatest(i - reach, F.lit(0)) + 1, F.lit(2 * reach + 1))
+        return F.when(holds(F.xxhash64(p["term"])), F.struct(p["term"].alias("term"), p["pos"].alias("pos"), stretch.alias("stretch")))
+
+    anchors = index.select("row", F.explode(F.filter(F.transform("postings", anchor), lambda p: p.isNotNull())).alias("p"))
+    found = anchors.select("row", "p.*").join(rarest, "term").withColumn("start", F.col("pos") - F.col("place"))
+    stands = lambda term, low, high: F.exists("stretch", lambda x: (x["pos"] >= low) & (x["pos"] <= high) & (x["term"] == term))
+    exact = F.forall("lists", lambda l: F.forall(l["places"], lambda p: stands(l["term"], F.col("start") + p, F.col("start") + p)))
+    near = F.forall("lists", lambda l: stands(l["term"], F.col("start") - slop, F.col("start") + F.col("size") - 1 + slop))
+    kept = found.where(near).withColumn("exact", exact) if slop else found.where(exact).withColumn("exact", F.lit(True))
+    return kept.select("row", "item", "start", F.col("size").alias("length"), F.when(F.col("exact"), "exact").otherwise("proximity").alias("kind"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, slop: int = 0) -> tuple[DataFrame, DataFrame]:
