@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bit_filter, stored
@@ -105,6 +105,12 @@ def _open_pairs(labelled: DataFrame, sets: DataFrame) -> DataFrame:
     counted exactly by joining on the shingles. So a pair is found by a shared shingle outside the pivot, or its parts in
     the pivot are large enough by themselves; members whose parts in the pivot and shared shingles are too few together
     are in no pair. One side of every pair is outside the largest component.
+
+    The join on shingles takes prefixes only. A pair needs SIMILARITY * (na + nb) / (100 + SIMILARITY) common shingles, of
+    which the pivot holds at most c of either side. So outside it the larger member needs SIMILARITY / 100 * n - c of its own
+    shingles, the smaller one 2 * SIMILARITY / (100 + SIMILARITY) * n - c, and two members with that many in common meet in
+    one that is left when each side, in one order by rareness, gives up the commonest it can spare. The pairs that meet are
+    then counted over all their shingles outside.
     """
     labels = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
     main = labels.groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("pivot"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
@@ -128,10 +134,21 @@ def _open_pairs(labelled: DataFrame, sets: DataFrame) -> DataFrame:
     rows = stored(shared.join(able.select("pivot", "rep", "n", "c"), ["pivot", "rep"]), "able-shingles")
     # shingles with the same members (an edit changes several) count as one with a weight
     alike = rows.groupBy("pivot", "x").agg(F.count(F.lit(1)).alias("f"), F.bit_xor(F.xxhash64("rep")).alias("u"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("v"))
-    alike = alike.where("f > 1").groupBy("pivot", "f", "u", "v").agg(F.min("x").alias("x"), F.count(F.lit(1)).alias("w")).select("pivot", "x", "w")
+    alike = alike.where("f > 1").groupBy("pivot", "f", "u", "v").agg(F.min("x").alias("x"), F.count(F.lit(1)).alias("w")).select("pivot", "x", "w", "f")
     rows = stored(rows.join(alike, ["pivot", "x"]), "weighted-shingles")
-    met = side(rows.where("label <> pivot"), "a", "x", "w").join(side(rows, "b", "x"), ["pivot", "x"]).where(differ & (100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")))
-    met = met.groupBy("pivot", "a", "b").agg(F.sum("w").alias("k"), *[F.first(c).alias(c) for c in ("na", "nb", "ca", "cb")]).where(fit(least + F.col("k")))
+    # prefix filter: a member's rarest kinds, but for the last whose weight is less than what a pair needs outside the pivot
+    left = F.sum("w").over(Window.partitionBy("pivot", "rep").orderBy(F.desc("f"), F.desc("x"))) + F.col("c")
+    rare = stored(rows.withColumn("left", left).where(100 * F.col("left") >= SIMILARITY * F.col("n")), "prefixes")
+    larger = side(rare, "b", "x")
+    smaller = side(rare.where((100 + SIMILARITY) * F.col("left") >= 2 * SIMILARITY * F.col("n")), "a", "x")
+    order = F.struct("na", "a") < F.struct("nb", "b")
+    main_a, main_b = F.col("labela") == F.col("pivot"), F.col("labelb") == F.col("pivot")
+    met = smaller.where(~main_a).join(larger, ["pivot", "x"]).union(smaller.where(main_a).join(larger.where(~main_b), ["pivot", "x"]))
+    met = stored(met.where(order & differ & _sizes_fit("na", "nb")).select("pivot", "a", "b", "na", "nb", "ca", "cb").distinct(), "met")
+    kinds = stored(rows.groupBy("pivot", "rep").agg(F.collect_list(F.struct("x", "w")).alias("k")), "kinds")
+    both = met.join(kinds.select("pivot", F.col("rep").alias("a"), F.col("k").alias("sa")), ["pivot", "a"]).join(kinds.select("pivot", F.col("rep").alias("b"), F.col("k").alias("sb")), ["pivot", "b"])
+    weight = F.aggregate(F.array_intersect("sa", "sb"), F.lit(0).cast("long"), lambda t, k: t + k["w"])
+    met = both.where(fit(least + weight))
     large = able.where(100 * F.col("c") >= SIMILARITY * F.col("n"))
     inside = side(large.where("label <> pivot"), "a").join(side(large, "b"), "pivot").where(differ & fit(least))
     return met.select("a", "b").union(inside.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
