@@ -9,6 +9,7 @@ a special token) are encoded whole.
 
 from __future__ import annotations
 
+import os
 from array import array
 from functools import cache
 
@@ -18,7 +19,7 @@ import numpy as np
 CACHE_WORDS = 1_400_000
 _ODD_ASCII = ("  ", " \n", "\n ", "\n\n", "<|", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
 _ODD = tuple(chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))
-_PART_CHARS = 1 << 20
+_PART_CHARS = 1 << 18
 _MARKS = ".,;:!?"
 _TOGETHER = 256
 
@@ -27,6 +28,8 @@ class WordEncoder:
     """spaced: a word's ids depend on the space before it (byte-level BPE); else white space is dropped."""
 
     def __init__(self, path: str):
+        # a task has one core; the library's own threads would each keep memory
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
