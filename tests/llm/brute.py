@@ -1,7 +1,9 @@
 """Plain Python versions of the operators' contracts, for small tables."""
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 sha = lambda s: hashlib.sha256(s if isinstance(s, bytes) else s.encode()).hexdigest()
@@ -101,3 +103,48 @@ def contaminated(docs, items, n=13):
                     found |= got
         out.append((d, len(w), len(hit), len(found), sha(",".join(sorted(map(str, found)))), bool(hit) and 20 * len(hit) >= len(w)))
     return out
+
+
+def negatives(rows, n_pos=5, n_neg=5):
+    """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) of rows (id, label, vector, is_anchor)."""
+    good = [(i, y, [math.floor(256 * float(x)) for x in v], a) for i, y, v, a in rows if y is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    last = lambda i: 2**63 if i is None else i
+    out = []
+    for ai, ay, av, _ in {(i, y, tuple(v), a) for i, y, v, a in good if a and i is not None}:
+        scored = sorted(((sum(p * q for p, q in zip(av, v, strict=False)), i, y) for i, y, v, _ in good), key=lambda r: (-r[0], last(r[1])))
+        for p, pi, _ in [r for r in scored if r[2] == ay and r[1] != ai][:n_pos]:
+            fits = [r for r in scored if r[2] != ay and 80 * p <= 100 * r[0] <= 100 * p]
+            out += [(ai, pi, k, ni, p, n) for k, (n, ni, _) in enumerate(fits[:n_neg], 1)]
+    return sorted(out, key=str)
+
+
+def edited(word, letters):
+    """Words one edit away."""
+    cuts = [(word[:i], word[i:]) for i in range(len(word) + 1)]
+    return ({a + b[1:] for a, b in cuts if b} | {a + c + b[1:] for a, b in cuts if b for c in letters} | {a + c + b for a, b in cuts for c in letters}) - {word}
+
+
+def spelling_counts(docs):
+    n = Counter()
+    for i, t in docs:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", t or ""):
+            w = lower(run)
+            h = zlib.crc32(f"{'' if i is None else i}:{w}".encode())
+            n[w[: h % len(w)] + w[h % len(w) + 1 :] if h % 97 == 0 else w] += 1
+    return {w: c for w, c in n.items() if len(w) >= 5 and c >= 3}
+
+
+def spelling_variants(counts):
+    """word -> (form, root, n, n_near, form_n)."""
+    letters, form, near = {c for w in counts for c in w}, {}, {}
+    for w in counts:
+        near[w] = edited(w, letters) & counts.keys()
+        best = min(near[w], key=lambda x: (-counts[x], x), default=None)
+        form[w] = best if best and counts[best] >= 2 * counts[w] else None
+    out = {}
+    for w in counts:
+        root = w
+        while form[root]:
+            root = form[root]
+        out[w] = (form[w], root, counts[w], len(near[w]), counts.get(form[w]))
+    return out

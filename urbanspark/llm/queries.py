@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_id, line_dedup, minhash, packing, quality, suffix_dedup, token_files, toxicity
+from . import chat, decontaminate, hard_negatives, language_id, line_dedup, minhash, packing, pieces, quality, spelling, suffix_dedup, token_files, toxicity
 from .common import read
 
 
@@ -96,6 +96,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.encode_pieces(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
+    written = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", label.cast("long").alias("label"), F.col("embedding").alias("vector"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.count_words(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_dedup, op2_suffix_dedup, op3_chat_format, op4_line_dedup, op5_token_files, op6_language_id, op7_quality_rules, op8_toxicity, op9_best_fit_packing, op10_decontaminate)
+    f.__name__: f for f in (op1_minhash_dedup, op2_suffix_dedup, op3_chat_format, op4_line_dedup, op5_token_files, op6_language_id, op7_quality_rules, op8_toxicity, op9_best_fit_packing, op10_decontaminate, op11_sentencepiece, op12_hard_negatives, op13_spelling_variants)
 }
