@@ -2,104 +2,25 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: arcs a broadcast graph may have; larger ones go through relax()
-MAX_ARCS = 5_000_000
+from urbanspark.operators.journeys import paths, search
 
 
 def relax(arcs: DataFrame, sources: DataFrame, most: float) -> DataFrame:
-    """source, node, cost: least costs up to most, by rounds of joins on whole frontiers (Bellman-Ford).
-
-    Each round extends only what the last one improved and is written to the shared checkpoint folder, so the plan stays
-    short; the arcs are joined on src and never leave the executors. Rounds go on until none improves a cost; costs are
-    never negative, so they end.
-    """
-    from urbanspark.sources.tables import checkpointed
-
-    best = checkpointed(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost")))
-    frontier = best
-    while True:
-        step = frontier.join(arcs.withColumnRenamed("cost", "w"), F.col("node") == F.col("src"))
-        step = step.select("source", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost")).where(F.col("cost") <= most)
-        found = step.groupBy("source", "node").agg(F.min("cost").alias("new"))
-        merged = checkpointed(best.join(found, ["source", "node"], "full").select("source", "node", F.least("cost", "new").alias("cost"), (F.col("new").isNotNull() & (F.col("cost").isNull() | (F.col("new") < F.col("cost")))).alias("better")))
-        best, frontier = merged.drop("better"), merged.where("better").drop("better")
-        if frontier.isEmpty():
-            break
-    return best
-
-
-def _broadcast_graph(arcs: DataFrame):
-    """node -> its arcs' places, heads, costs."""
-    table = arcs.select("src", "dst", "cost").toPandas().sort_values(["src", "dst"])
-    ids, start = np.unique(table["src"].to_numpy(), return_index=True)
-    spans = zip(start.tolist(), [*start[1:].tolist(), len(table)], strict=True)
-    return arcs.sparkSession.sparkContext.broadcast((dict(zip(ids.tolist(), spans, strict=True)), table["dst"].to_numpy(), table["cost"].to_numpy(float)))
-
-
-def _search(graph: tuple, source: int, most: float, target: int | None = None) -> tuple[dict[int, float], dict[int, int]]:
-    """Least costs from source up to most (or until target), and the node before each."""
-    at, dst, cost = graph
-    done: dict[int, float] = {}
-    before: dict[int, int] = {}
-    heap = [(0.0, source, source)]
-    while heap:
-        c, node, prev = heapq.heappop(heap)
-        if node in done:
-            continue
-        done[node], before[node] = c, prev
-        if node == target:
-            break
-        a, b = at.get(node, (0, 0))
-        for i in range(a, b):
-            if c + cost[i] <= most and int(dst[i]) not in done:
-                heapq.heappush(heap, (c + cost[i], int(dst[i]), node))
-    return done, before
-
-
-def reach(arcs: DataFrame, sources: DataFrame, most: float) -> DataFrame:
-    """source, node, cost within most: a heap search per source on a broadcast graph; relax() beyond MAX_ARCS."""
-    if arcs.limit(MAX_ARCS + 1).count() > MAX_ARCS:
-        return relax(arcs, sources, most)
-    graph = _broadcast_graph(arcs)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for source in batch["node"]:
-                done, _ = _search(graph.value, int(source), most)
-                yield pd.DataFrame({"source": source, "node": list(done), "cost": list(done.values())})
-
-    return sources.select(F.col("node").cast("long").alias("node")).mapInPandas(search, "source long, node long, cost double")
+    """source, node, cost: least costs up to most, by rounds of joins on the frontiers that the last round improved."""
+    starts = sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost"), F.lit(0.0).alias("plain"))
+    return search(arcs.select("src", "dst", "cost", F.lit(0.0).alias("plain")), starts, most).select("source", "node", "cost")
 
 
 def fastest_paths(arcs: DataFrame, queries: DataFrame, most: float = float("inf")) -> DataFrame:
-    """source, target, cost, path of each query (source, target); NULLs where the target is out of reach.
-
-    For graphs of at most MAX_ARCS arcs, which are broadcast.
-    """
-    if arcs.limit(MAX_ARCS + 1).count() > MAX_ARCS:
-        raise ValueError(f"more than {MAX_ARCS} arcs; use relax() for costs")
-    graph = _broadcast_graph(arcs)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for source, target in zip(batch["source"].tolist(), batch["target"].tolist(), strict=True):
-                done, before = _search(graph.value, source, most, target)
-                path = [target] if target in done else []
-                while path and path[-1] != source:
-                    path.append(before[path[-1]])
-                rows.append((source, target, done.get(target), path[::-1] or None))
-            yield pd.DataFrame(rows, columns=["source", "target", "cost", "path"])
-
-    return queries.select(F.col("source").cast("long"), F.col("target").cast("long")).mapInPandas(search, "source long, target long, cost double, path array<long>")
+    """source, target, cost, path of each query (source, target); NULLs where the target is out of reach."""
+    starts = queries.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("plain")).distinct()
+    labels = search(arcs.select("src", "dst", "cost", F.lit(0.0).alias("plain")), starts, most)
+    ways = paths(labels, queries.select("source", F.col("target").alias("node")))
+    costs = labels.select("source", F.col("node").alias("target"), "cost")
+    return queries.join(costs, ["source", "target"], "left").join(ways.withColumnRenamed("node", "target"), ["source", "target"], "left").select("source", "target", "cost", "path")
 
 
 def components(edges: DataFrame) -> DataFrame:

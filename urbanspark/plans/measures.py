@@ -249,29 +249,3 @@ def green_audit(spark: SparkSession, d: str) -> DataFrame:
     kind = F.col("kind")
     g = VIEWS["v_pass"](spark, d).groupBy("edge_id").agg(count(kind != "error").alias("green_s"), count(kind == "purchase").alias("served"), count(kind == "view").alias("starved"), count(kind == "click").alias("blocked"))
     return g.withColumn("per_hour_of_green", F.round(3600.0 * F.col("served") / F.nullif(F.col("green_s"), F.lit(0)), 4))
-
-
-_RIDES = "SELECT route, stop AS a, nxt AS b, count(*) AS n, avg(nt - t_s) AS seconds FROM (SELECT route, stop, t_s, lead(stop) OVER w AS nxt, lead(t_s) OVER w AS nt FROM v_stop_time WINDOW w AS (PARTITION BY trip ORDER BY seq)) WHERE nxt IS NOT NULL AND nxt <> stop GROUP BY 1, 2, 3"
-
-
-@query(
-    f"WITH rides AS ({_RIDES}) SELECT 'ride' AS kind, route || ':' || a AS src, route || ':' || b AS dst, round(seconds, 4) AS cost FROM rides "
-    "UNION ALL SELECT 'board', 's:' || a, route || ':' || a, round(2 * least(0.5 / (sum(n) / 7200.0), 900) + 180, 4) FROM rides GROUP BY route, a "
-    "UNION ALL SELECT DISTINCT 'alight', route || ':' || b, 's:' || b, 0.0::DOUBLE FROM rides "
-    "UNION ALL SELECT 'transfer', 's:' || x.stop, 's:' || y.stop, 300.0::DOUBLE FROM (SELECT DISTINCT stop FROM v_stop_time) x JOIN (SELECT DISTINCT stop FROM v_stop_time) y ON y.stop = x.stop + 1 OR y.stop = x.stop - 1"
-)
-def journey_graph(spark: SparkSession, d: str) -> DataFrame:
-    """The timetable as a graph: rides between a line's calls, boarding (half the headway weighs double), alighting, walks to the next stops."""
-    from urbanspark.plans.timetable import ride_arcs
-
-    rides = ride_arcs(spark, d)
-    at = lambda stop: F.concat(F.col("route"), F.lit(":"), F.col(stop).cast("string"))
-    place = lambda stop: F.concat(F.lit("s:"), F.col(stop).cast("string"))
-    arc = lambda df, kind, a, b, cost: df.select(F.lit(kind).alias("kind"), a.alias("src"), b.alias("dst"), F.round(cost, 4).cast("double").alias("cost"))
-    calls = rides.groupBy("route", "from_stop").agg((F.sum("arcs") / 7200.0).alias("f"))
-    stops = VIEWS["v_stop_time"](spark, d).select("stop").distinct()
-    walks = stops.withColumn("to", F.explode(F.array(F.col("stop") - 1, F.col("stop") + 1))).join(stops.select(F.col("stop").alias("to")), "to")
-    out = arc(rides, "ride", at("from_stop"), at("to_stop"), F.col("seconds"))
-    out = out.union(arc(calls, "board", place("from_stop"), at("from_stop"), 2 * F.least(0.5 / F.col("f"), F.lit(900.0)) + 180))
-    out = out.union(arc(rides.select("route", "to_stop").distinct(), "alight", at("to_stop"), place("to_stop"), F.lit(0.0)))
-    return out.union(arc(walks, "transfer", place("stop"), place("to"), F.lit(300.0)))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from urbanspark.operators.aggregates import weighted_mean
 from urbanspark.operators.matching import back_trace, first_spec, greedy_pairs, independent, viterbi
 from urbanspark.operators.spatial import within
 from urbanspark.registry import query
@@ -77,12 +76,6 @@ def career_stage(spark: SparkSession, d: str) -> DataFrame:
     return t.select("id", "orders", stage.alias("stage"))
 
 
-@query("SELECT route, round(sum(w * boards) / sum(w), 6) AS mean_boards, CAST(sum(boards) AS BIGINT) AS boards FROM (SELECT route, trip, count(*) AS boards, 1.0 + trip % 3 AS w FROM v_stop_time GROUP BY 1, 2) GROUP BY 1")
-def boardings_by_route(spark: SparkSession, d: str) -> DataFrame:
-    t = VIEWS["v_stop_time"](spark, d).groupBy("route", "trip").agg(F.count(F.lit(1)).alias("boards")).withColumn("w", 1.0 + F.col("trip") % 3)
-    return t.groupBy("route").agg(F.round(weighted_mean(F.col("boards"), F.col("w")), 6).alias("mean_boards"), F.sum("boards").alias("boards"))
-
-
 @query("SELECT edge_id, CAST(min(t) AS INTEGER) AS limit_t FROM (SELECT l_partkey AS edge_id, CASE WHEN l_quantity < 10 THEN 8 WHEN l_quantity < 30 THEN 20 ELSE 40 END AS t FROM lineitem) GROUP BY 1")
 def weight_limits(spark: SparkSession, d: str) -> DataFrame:
     """The least weight limit over an edge's ways."""
@@ -146,14 +139,3 @@ def edit_list_codec(spark: SparkSession, d: str) -> DataFrame:
     record = F.to_json(F.struct("doc_id", "lang", F.col("n_chars").alias("size")))
     back = F.from_json(record, "doc_id long, lang string, size long")
     return table(spark, d, "documents").select(back.alias("r")).select("r.*")
-
-
-@query()
-def fastest_routes(spark: SparkSession, d: str) -> DataFrame:
-    """The fastest route between some pairs of zones."""
-    from urbanspark.operators.graph import fastest_paths
-
-    arcs = VIEWS["v_arc"](spark, d).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "cost")
-    pairs = VIEWS["v_zone"](spark, d).select(F.col("zone").alias("source"), ((F.col("zone") * 7 + 3) % 25).alias("target"))
-    out = fastest_paths(arcs, pairs)
-    return out.select("source", "target", F.round("cost", 4).alias("cost"), F.array_join("path", ">").alias("path"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanspark.functions.formulas import arc_cost
-from urbanspark.operators.graph import components, reach, relax, routing_arcs
+from urbanspark.operators.graph import components, relax, routing_arcs
 from urbanspark.registry import query
 from urbanspark.sources.views import VIEWS
 
@@ -19,7 +19,7 @@ def _arcs(spark: SparkSession, d: str) -> DataFrame:
 
 def _reached(spark: SparkSession, d: str) -> DataFrame:
     arcs = _arcs(spark, d)
-    return reach(arcs, arcs.select(F.col("src").alias("node")).distinct(), 6000.0)
+    return relax(arcs, arcs.select(F.col("src").alias("node")).distinct(), 6000.0)
 
 
 @query(f"{_REACH} SELECT CAST(source AS BIGINT) AS source, CAST(node AS BIGINT) AS node, round(min(cost), 4) AS cost FROM walk GROUP BY ALL")
@@ -47,7 +47,7 @@ def response_time_multi_source(spark: SparkSession, d: str) -> DataFrame:
     """Least cost from any of the stations (every fifth zone)."""
     arcs = _arcs(spark, d)
     stations = arcs.where("src % 5 = 0").select(F.col("src").alias("node")).distinct()
-    return reach(arcs, stations, 6000.0).groupBy(F.col("node").alias("zone")).agg(F.round(F.min("cost"), 4).alias("response"))
+    return relax(arcs, stations, 6000.0).groupBy(F.col("node").alias("zone")).agg(F.round(F.min("cost"), 4).alias("response"))
 
 
 _LINKS = "SELECT CAST(l_suppkey % 40 AS BIGINT) AS src, CAST(l_partkey % 40 AS BIGINT) AS dst, CAST(1 << (l_linenumber % 4) AS BIGINT) AS classes, l_quantity AS cost, CASE l_returnflag WHEN 'A' THEN 'left' WHEN 'N' THEN 'straight' ELSE 'back' END AS turn FROM lineitem"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -145,3 +146,26 @@ def load_state(spark: SparkSession, path: str, schema: str, valid: Column, order
     """Saved rows that parse and are valid, the last `most` by order: what does not hold is left out, not trusted."""
     rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
     return rows.where(F.coalesce(valid, F.lit(False))).orderBy(F.desc(order)).limit(most)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet under spark.checkpoint.dir and read back, to be dropped by discard() when it is used up."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="urbanspark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables made by stored() that no later plan reads."""
+    for df in frames:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

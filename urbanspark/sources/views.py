@@ -47,6 +47,19 @@ def v_point(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (5000.0 * F.col("embedding")[0].cast("double")).alias("x"), (5000.0 * F.col("embedding")[1].cast("double")).alias("z"), F.col("label").alias("kind"))
 
 
+def v_stop(spark: SparkSession, d: str) -> DataFrame:
+    return v_point(spark, d).where("id < 50").select(F.col("id").alias("stop"), (2000 + 2 * F.col("x")).alias("x"), (2000 + 2 * F.col("z")).alias("z"))
+
+
+def v_shape(spark: SparkSession, d: str) -> DataFrame:
+    """Edges between places: through the middle, bent to one side, to the next place but one."""
+    p = v_point(spark, d)
+    a, b = p.select("id", "kind", F.struct("x", "z").alias("a")), p.select((F.col("id") - 2).alias("id"), F.struct("x", "z").alias("b"))
+    middle = F.struct((F.col("a.x") / 2 + F.col("b.x") / 2 + F.col("kind")).alias("x"), (F.col("a.z") / 2 + F.col("b.z") / 2 - F.col("kind")).alias("z"))
+    brand = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name"))
+    return a.join(b, "id").join(brand, "id", "left").select(F.col("id").alias("edge"), "name", F.array("a", middle, "b").alias("points"))
+
+
 def v_home(spark: SparkSession, d: str) -> DataFrame:
     z = v_zone(spark, d)
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("int").alias("zone"), F.greatest(F.col("c_acctbal"), F.lit(0.0)).alias("residents"))
@@ -84,7 +97,7 @@ def v_run(spark: SparkSession, d: str) -> DataFrame:
     return v_pass(spark, d).select(F.when(F.col("vehicle") % 2 == 0, "before").otherwise("after").alias("run"), "edge_id", minute.alias("minute"), "kmh")
 
 
-VIEWS: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (v_edge, v_pass, v_zone, v_trip, v_od, v_point, v_home, v_service, v_count, v_stop_time, v_arc, v_run)}
+VIEWS: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (v_edge, v_pass, v_zone, v_trip, v_od, v_point, v_stop, v_shape, v_home, v_service, v_count, v_stop_time, v_arc, v_run)}
 
 SQL: dict[str, str] = {
     "v_edge": "SELECT p_partkey AS edge_id, p_brand AS road, p_type AS type, p_retailprice AS length, CAST(20 + 2 * p_size AS INTEGER) AS limit_kmh FROM part",
@@ -93,6 +106,8 @@ SQL: dict[str, str] = {
     "v_trip": "SELECT CAST(c_nationkey AS INTEGER) AS o_zone, CAST(s_nationkey AS INTEGER) AS d_zone, o_orderdate AS depart, CAST(l_quantity AS DOUBLE) AS weight, CAST(l_extendedprice AS DOUBLE) AS euros, l_returnflag AS kind FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey",
     "v_od": "SELECT o_zone, d_zone, sum(weight) AS trips FROM v_trip GROUP BY ALL",
     "v_point": "SELECT vec_id AS id, 5000.0::DOUBLE * embedding[1]::DOUBLE AS x, 5000.0::DOUBLE * embedding[2]::DOUBLE AS z, label AS kind FROM embeddings",
+    "v_stop": "SELECT id AS stop, 2000 + 2 * x AS x, 2000 + 2 * z AS z FROM v_point WHERE id < 50",
+    "v_shape": "SELECT a.id AS edge, p_brand AS name, [{'x': a.x, 'z': a.z}, {'x': a.x / 2 + b.x / 2 + a.kind, 'z': a.z / 2 + b.z / 2 - a.kind}, {'x': b.x, 'z': b.z}] AS points FROM v_point a JOIN v_point b ON b.id = a.id + 2 LEFT JOIN part ON p_partkey = a.id",
     "v_home": "SELECT c_custkey AS id, zone, x, z, greatest(c_acctbal, 0.0) AS residents FROM customer JOIN v_zone ON c_nationkey = zone",
     "v_service": "SELECT s_suppkey AS id, zone, x, z, greatest(s_acctbal, 0.0) AS places FROM supplier JOIN v_zone ON s_nationkey = zone",
     "v_count": "SELECT l_suppkey AS station, CAST(coalesce(sum(l_quantity) FILTER (l_linestatus = 'F'), 0) AS DOUBLE) AS counted, CAST(coalesce(sum(l_quantity) FILTER (l_linestatus = 'O'), 0) AS DOUBLE) AS model FROM lineitem GROUP BY 1",
