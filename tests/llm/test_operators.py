@@ -51,6 +51,14 @@ def test_near_duplicates_repeated_rows_and_keys(spark):
     a, b = words(rng, 50), words(rng, 50)
     got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(table(spark, [(5, a), (5, b), (7, a), (8, b), (7, a)])).collect())
     assert got == [(5, 5, True), (5, 5, True), (7, 5, False), (7, 5, False), (8, 5, False)]
+    rng = random.Random(9)
+    first, second = ([f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(2))
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(5, " ".join(first)), (5, " ".join(second)), (7, near(first)), (8, near(second)), (5, "lone text"), (9, "lone text"), (9, " ".join(first[:30]))]
+    for turn in range(4):
+        rng.shuffle(rows)
+        got = minhash.near_duplicates(table(spark, rows).repartition(1 + turn)).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == [(5, 5)] * 3 + [(7, 5), (8, 5)] + [(9, 5)] * 2
     assert minhash.near_duplicates(table(spark, [])).count() == 0
 
 

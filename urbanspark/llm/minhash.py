@@ -12,7 +12,8 @@ from repeated minimum labels with pointer jumping, all on tables in the shared f
 A pair at similarity s meets in no table with probability 1 - (1 - (1 - s^ROWS)^HALVES)^2: 1e-4 at 0.75.
 
 Edge cases: null, empty and blank texts have the empty set and no links. Texts shorter than a shingle are one shingle.
-Repeated rows are all returned; rows that share a key are one node. Rows with a null key get no links. Texts are read
+Repeated rows are all returned; rows that share a key are one node, with the links of all their texts. Keys are whole
+numbers below 2^62. Rows with a null key get no links. Texts are read
 whole. An empty table gives an empty result. Other columns are not read.
 """
 
@@ -35,18 +36,26 @@ _FACTORS = constants(2 * HALVES * ROWS, 3)
 _SET_SALT = constants(2, 4)
 
 
+def _prints(sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """Two 64-bit fingerprints of each set."""
+    full, out = np.flatnonzero(sizes), np.zeros((2, len(sets)), np.uint64)
+    if len(full):
+        flat, starts = np.concatenate(sets), (np.cumsum(sizes) - sizes)[full]
+        out[0, full] = np.add.reduceat(mix(flat ^ _SET_SALT[0]), starts)
+        out[1, full] = np.bitwise_xor.reduceat(mix(flat ^ _SET_SALT[1]), starts)
+    return out
+
+
 def _signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, sets in shingle_sets(batch.column(1)):
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
             keys = np.zeros((len(sets), 2 * HALVES), np.uint64)
-            prints = np.zeros((2, len(sets)), np.uint64)
+            prints = _prints(sets, sizes)
             if len(full):
                 flat = np.concatenate(sets)
                 starts = (np.cumsum(sizes) - sizes)[full]
-                prints[0, full] = np.add.reduceat(mix(flat ^ _SET_SALT[0]), starts)
-                prints[1, full] = np.bitwise_xor.reduceat(mix(flat ^ _SET_SALT[1]), starts)
                 for k in range(2 * HALVES):
                     low = [np.minimum.reduceat(flat * _FACTORS[k * ROWS + r], starts) for r in range(ROWS)]
                     keys[full, k] = mix(sum(mix(x + np.uint64(r)) for r, x in enumerate(low)) + np.uint64(k))
@@ -60,8 +69,22 @@ def _signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, sets in shingle_sets(batch.column(1)):
-            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))], ["key", "shingles"])
+            sizes = np.array([len(s) for s in sets], np.int64)
+            offsets = np.cumsum([0, *sizes]).astype(np.int32)
+            prints = [pa.array(p.view(np.int64)) for p in _prints(sets, sizes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), *prints, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))], ["key", "f1", "f2", "shingles"])
+
+
+def _nodes_of(by_set: DataFrame) -> DataFrame:
+    """by_set (f1, f2, n, key: the least key with the set) with rep, one number a class: its key, where no other class has it,
+    else a number above all keys for all classes of that key but one."""
+    more = by_set.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("f1", "f2", "n")).alias("first")).where("c > 1").select("key", "first")
+    others = stored(by_set.join(more, "key").where(F.struct("f1", "f2", "n") != F.col("first")).select("f1", "f2", "n"), "other-classes")
+    if others.isEmpty():
+        return by_set.withColumn("rep", F.col("key"))
+    most = by_set.agg(F.max("key")).first()[0]
+    numbered = stored(others.withColumn("rep", F.lit(most) + 1 + F.monotonically_increasing_id()), "numbered-classes")
+    return stored(by_set.join(numbered, ["f1", "f2", "n"], "left").withColumn("rep", F.coalesce("rep", "key")), "class-nodes")
 
 
 def _bucket_members(classes: DataFrame) -> DataFrame:
@@ -83,10 +106,11 @@ def _sizes_fit(a: str, b: str):
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """key, shingles of the documents with the keys in ids."""
+    """key, shingles of the classes in ids (rep, key, f1, f2), read from a row with their key and fingerprints; key: the class."""
     ids = stored(ids, "set-keys")
     wanted = docs.where(bit_filter(ids.select(F.xxhash64("key")))(F.xxhash64("key"))).join(ids, "key", "left_semi")
-    return stored(wanted.mapInArrow(_sets, "key long, shingles array<long>").dropDuplicates(["key"]), "sets")
+    found = wanted.mapInArrow(_sets, "key long, f1 long, f2 long, shingles array<long>").join(ids, ["key", "f1", "f2"])
+    return stored(found.select(F.col("rep").alias("key"), "shingles").dropDuplicates(["key"]), "sets")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -173,19 +197,20 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     signed = stored(docs.mapInArrow(_signature, "key long, n long, f1 long, f2 long, halves array<long>"), "signatures")
     nodes = signed.where("n > 0 and key is not null")
-    by_set = stored(nodes.groupBy("f1", "f2", "n").agg(F.min("key").alias("rep")), "classes")
-    classes = nodes.join(by_set.select("f1", "f2", "n", F.col("rep").alias("key")), ["f1", "f2", "n", "key"], "left_semi").dropDuplicates(["f1", "f2", "n"]).withColumnRenamed("key", "rep")
+    by_set = _nodes_of(stored(nodes.groupBy("f1", "f2", "n").agg(F.min("key").alias("key")), "classes"))
+    classes = nodes.join(by_set, ["f1", "f2", "n", "key"]).dropDuplicates(["f1", "f2", "n"])
+    by_set = by_set.drop("key")
     members = _bucket_members(classes)
     sizes = members.select(F.col("rep").alias("least"), F.col("n").alias("m")).distinct()
     stars = members.where("rep <> least").select("rep", "n", "least").distinct().join(sizes, "least").where(_sizes_fit("n", "m"))
     stars = stored(stars.select(F.col("least").alias("a"), F.col("rep").alias("b")), "pairs")
-    sets = _sets_of(docs, members.select(F.col("rep").alias("key")).distinct())
+    sets = _sets_of(docs, classes.select("rep", "key", "f1", "f2").join(members.select("rep").distinct(), "rep", "left_semi"))
     links = _confirm(stars, sets)
     found = components(links)
     labelled = members.join(found.select(F.col("node").alias("rep"), "label"), "rep", "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
     rest = stored(_open_pairs(stored(labelled, "members"), sets).join(stars, ["a", "b"], "left_anti"), "pairs")
     links = links.union(_confirm(rest, sets))
-    # rows that share a key are one node: it joins their classes
+    # rows that share a key are one node: it joins their classes, so numbers above all keys are never the least
     again = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     same = nodes.join(again, "key", "left_semi").join(by_set, ["f1", "f2", "n"]).where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
     found = components(links.union(same))
