@@ -405,13 +405,47 @@ def test_packing_plan(seed):
     assert bins <= len(loads)
 
 
-def test_packing_search_beats_best_fit():
-    """Largest first takes 4 sequences of 100 here, and 3 hold all; dominated fillings are told from others."""
-    histogram = {x: 0 for x in ()}
-    for x in (41, 36, 33, 30, 29, 27, 26, 24, 20, 18, 16):
-        histogram[x] = histogram.get(x, 0) + 1
+@pytest.mark.parametrize("times", [1, 50, 200, 1000, 1003])
+def test_packing_search_beats_best_fit(times):
+    """Largest first takes 4 sequences of 100 here, and 3 hold all, however often each piece stands there."""
+    histogram = dict.fromkeys((41, 36, 33, 30, 29, 27, 26, 24, 20, 18, 16), times)
     found, proven = packing.plan(histogram, 100)
-    assert proven and sum(n for n, _ in found) == 3
+    assert proven and sum(n for n, _ in found) == 3 * times
+    used = {x: sum(n * f.get(x, 0) for n, f in found) for x in histogram}
+    assert used == histogram
+
+
+def fewest_bins(sizes, capacity):
+    """The least number of bins, by trying every place of every piece."""
+    best = len(sizes)
+
+    def fill(i, loads):
+        nonlocal best
+        if len(loads) >= best:
+            return
+        if i == len(sizes):
+            best = len(loads)
+            return
+        for k in {load: k for k, load in enumerate(loads)}.values():
+            if loads[k] + sizes[i] <= capacity:
+                fill(i + 1, [*loads[:k], loads[k] + sizes[i], *loads[k + 1 :]])
+        fill(i + 1, [*loads, sizes[i]])
+
+    fill(0, [])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_packing_against_every_plan(seed):
+    rng = random.Random(seed)
+    sizes = sorted((rng.randint(8, 60) for _ in range(rng.randint(1, 10))), reverse=True)
+    histogram = {s: sizes.count(s) for s in sizes}
+    found, proven = packing.plan(histogram, 100)
+    assert sum(n for n, _ in found) == fewest_bins(sizes, 100)
+    assert proven or len(sizes) > 6
+
+
+def test_dominated_fillings():
     counts = np.zeros(101, np.int64)
     counts[[10, 20, 31]] = 1
     assert packing.dominated({10: 1, 20: 1}, 31, counts, [10, 20, 31]) and not packing.dominated({31: 1}, 31, counts, [10, 20, 31])

@@ -6,8 +6,11 @@ left, the fillings of the remaining room are enumerated, largest piece first; a
 of its pieces or a pair of them could give way to a single larger piece that is left. Best-fit solutions are the
 incumbents: the first one takes the fullest filling each time and uses it as often as the counts allow. If it takes more
 sequences than ceil(tokens / CAPACITY), the search branches over the undominated fillings, and a branch whose sequences
-so far and whose waste bound reach the incumbent is cut. NODES bounds the work on one filling and BRANCHES the work on
-the proof: beyond, the incumbent stands (`plan` says whether it is proven), and every piece is packed all the same. Spark
+so far and whose waste bound reach the incumbent is cut. A branch takes a filling as often as the counts allow; a second
+search takes fillings once as well. If that proves nothing, the histogram is divided by factors, and the patterns of the
+smaller plan are repeated. NODES bounds the work on one filling, WIDTH the fillings of a branch and BRANCHES the steps of
+a search, at every size: beyond, the incumbent stands and every piece is packed all the same. The column `proven` says
+whether the plan meets ceil(tokens / CAPACITY) or a search tried all undominated fillings. Spark
 ranks the pieces of each length in salted groups, as many as the most frequent length needs, and looks each rank up.
 
 Edge cases: null and empty texts are one end id. Repeated rows are packed as often as they stand there; null keys too.
@@ -16,6 +19,7 @@ Texts of any length are cut whole. An empty table gives an empty result. Other c
 
 from __future__ import annotations
 
+import math
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -55,8 +59,8 @@ def dominated(filling: dict[int, int], room: int, counts: np.ndarray, lengths: l
     return False
 
 
-def completions(room: int, counts: np.ndarray, lengths: list[int], width: int = 1, nodes: int = NODES) -> list[dict[int, int]]:
-    """Up to width undominated fillings of room, the fullest first; lengths: ascending, those with a count."""
+def completions(room: int, counts: np.ndarray, lengths: list[int], width: int = 1, nodes: int = NODES) -> tuple[list[dict[int, int]], bool]:
+    """Up to width undominated fillings of room, the fullest first, and whether there are no others; lengths: ascending, with a count."""
     found: list[tuple[int, int, dict[int, int]]] = []
     stack: list[tuple[int, int]] = []  # (length, how many) chosen so far
     left = nodes
@@ -92,38 +96,38 @@ def completions(room: int, counts: np.ndarray, lengths: list[int], width: int =
 
     reach = np.cumsum([x * int(counts[x]) for x in lengths]).tolist()
     search(room, room, 0)
-    return [f for _, _, f in found]
+    return [f for _, _, f in found], left > 0 and len(found) < width
 
 
-def _branch(counts: np.ndarray, lengths: list[int], capacity: int, width: int) -> list[tuple[int, dict[int, int]]]:
-    """The fillings around the largest piece left, with how often the counts allow each."""
+def _branch(counts: np.ndarray, lengths: list[int], capacity: int, width: int) -> tuple[list[tuple[int, dict[int, int]]], bool]:
+    """The fillings around the largest piece left, with how often the counts allow each, and whether there are no others."""
     top = lengths[-1]
     counts[top] -= 1
-    found = completions(capacity - top, counts, lengths if counts[top] else lengths[:-1], width)
+    found, all_of_them = completions(capacity - top, counts, lengths if counts[top] else lengths[:-1], width)
     counts[top] += 1
     out = []
     for filling in found:
         filling[top] = filling.get(top, 0) + 1
         out.append((min(int(counts[x]) // n for x, n in filling.items()), filling))
-    return out
+    return out, all_of_them
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, dict[int, int]]], bool]:
-    """([(sequences, {length: pieces in each})] that use every piece of the histogram once; whether no plan has fewer)."""
+def _plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, dict[int, int]]], bool]:
+    """The best-fit plan, or what the searches find beyond it; whether it is proven."""
     counts = np.zeros(capacity + 1, np.int64)
     for x, n in histogram.items():
         counts[x] = n
     total = int((counts * np.arange(capacity + 1)).sum())
     left = BRANCHES
     best: list[tuple[int, dict[int, int]]] | None = None
-    fewest = 0
+    fewest, every = 0, True
 
     def dive(counts: np.ndarray, done: list[tuple[int, dict[int, int]]]) -> list[tuple[int, dict[int, int]]]:
         """The best-fit solution from here on."""
         counts, done = counts.copy(), list(done)
         lengths = [int(x) for x in np.flatnonzero(counts)]
         while lengths:
-            n, filling = _branch(counts, lengths, capacity, 1)[0]
+            (n, filling), *_ = _branch(counts, lengths, capacity, 1)[0]
             for x, k in filling.items():
                 counts[x] -= n * k
             done.append((n, filling))
@@ -131,16 +135,18 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
                 lengths = [x for x in lengths if counts[x]]
         return done
 
-    def search(counts: np.ndarray, rest: int, used: int, done: list[tuple[int, dict[int, int]]]) -> bool:
-        """False when the work is at its bound."""
-        nonlocal best, fewest, left
+    def search(counts: np.ndarray, rest: int, used: int, done: list[tuple[int, dict[int, int]]], single: bool) -> bool:
+        """False when the work is at its bound. A filling is used as often as the counts allow, or once too if single."""
+        nonlocal best, fewest, left, every
         if not rest:
             if used < fewest:
                 best, fewest = list(done), used
             return True
-        for n, filling in _branch(counts, [int(x) for x in np.flatnonzero(counts)], capacity, WIDTH):
+        branches, all_of_them = _branch(counts, [int(x) for x in np.flatnonzero(counts)], capacity, WIDTH)
+        every = every and all_of_them
+        for n, filling in branches:
             size = sum(x * k for x, k in filling.items())
-            for times in {n, 1}:
+            for times in (n, 1) if single and n > 1 else (n,):
                 if used + times + -(-(rest - times * size) // capacity) >= fewest:
                     continue
                 if left <= 0:
@@ -149,14 +155,39 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
                 after = counts.copy()
                 for x, k in filling.items():
                     after[x] -= times * k
-                if not search(after, rest - times * size, used + times, [*done, (times, filling)]):
+                if not search(after, rest - times * size, used + times, [*done, (times, filling)], single):
                     return False
         return True
 
     best = dive(counts, [])
-    fewest = sum(n for n, _ in best)
-    proven = fewest == -(-total // capacity) or (fewest < 400 and search(counts, total, 0, []))
-    return best, proven or fewest == -(-total // capacity)
+    fewest, least, whole = sum(n for n, _ in best), -(-total // capacity), False
+    # whole patterns first: their tree is as deep as there are lengths, however often each length stands there
+    for single in (False, True):
+        if fewest > least:
+            left, every = BRANCHES, True
+            whole = search(counts, total, 0, [], single) and every
+    return best, whole or fewest == least
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, dict[int, int]]], bool]:
+    """([(sequences, {length: pieces in each})] that use every piece of the histogram once; whether no plan has fewer).
+
+    Where the plan for the histogram itself is not proven, the histogram is divided by factors (what its counts have in
+    common, and powers of two), the smaller one is planned, its patterns repeated, and what is left over planned too.
+    """
+    histogram = {x: n for x, n in histogram.items() if n}
+    best, proven = _plan(histogram, capacity)
+    fewest, least = sum(n for n, _ in best), -(-sum(x * n for x, n in histogram.items()) // capacity)
+    most = max(histogram.values(), default=0)
+    for factor in dict.fromkeys([math.gcd(*histogram.values()), *(1 << k for k in range(most.bit_length() - 1, 0, -1))]):
+        if proven or factor < 2:
+            continue
+        part = {x: n // factor for x, n in histogram.items() if n >= factor}
+        rest = {x: n % factor for x, n in histogram.items() if n % factor}
+        found = [(factor * n, filling) for n, filling in _plan(part, capacity)[0]] + _plan(rest, capacity)[0]
+        if (used := sum(n for n, _ in found)) < fewest:
+            best, fewest, proven = found, used, used == least
+    return best, proven
 
 
 def _runs(bins: list[tuple[int, dict[int, int]]], capacity: int) -> dict[str, np.ndarray]:
@@ -192,10 +223,11 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id",
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (a stored table with key, piece, length) with sequence_id and offset."""
+    """pieces (a stored table with key, piece, length) with sequence_id, offset and proven."""
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    runs = spark.sparkContext.broadcast(_runs(plan(histogram, capacity)[0], capacity))
+    bins, proven = plan(histogram, capacity)
+    runs = spark.sparkContext.broadcast(_runs(bins, capacity))
     groups = -(-max(histogram.values(), default=1) // RANKED)
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("key", "piece", "ids_crc32", F.monotonically_increasing_id() % 1024), F.lit(16 * groups)))
     sizes = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
@@ -210,9 +242,9 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         nth = rank.to_numpy() - r["rank"][at]
         return pd.DataFrame({"sequence_id": r["first"][at] + nth // r["each"][at], "offset": r["offset"][at] + nth % r["each"][at] * length.to_numpy()})
 
-    return ranked.withColumn("_at", find("length", F.col("rank") + F.col("before"))).select("key", "piece", "start", "length", "ids_crc32", "_at.sequence_id", "_at.offset")
+    return ranked.withColumn("_at", find("length", F.col("rank") + F.col("before"))).select("key", "piece", "start", "length", "ids_crc32", "_at.sequence_id", "_at.offset", F.lit(proven).alias("proven"))
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """One row a piece: key, piece, start, length, ids_crc32, sequence_id, offset."""
+    """One row a piece: key, piece, start, length, ids_crc32, sequence_id, offset, proven."""
     return place(stored(pieces_of(docs, tokenizer, end_id, key, text, capacity), "pieces"), capacity).withColumnRenamed("key", key)
