@@ -59,18 +59,66 @@ def wanted_way(tags: Column) -> Column:
     return F.when(tag("highway").isin(*DRIVABLE), (tag("area") != "yes") & ~minor).otherwise(tag("railway").isin(*TRACKS))
 
 
+#: kind -> (least footprint m2, height m), "" for other kinds; fixed values
+HEIGHTS = {
+    "minor": ((0, 3.0),),
+    "house": ((0, 7.5),),
+    "religious": ((0, 14.0),),
+    "industrial": ((0, 9.0),),
+    "civic": ((0, 12.0),),
+    "commercial": ((0, 8.0), (1500, 12.0)),
+    "residential": ((0, 9.0), (200, 15.0), (700, 21.0)),
+    "": ((0, 3.0), (40, 7.0), (180, 10.0), (450, 14.0), (1500, 18.0)),
+}
+#: plan -> (least storeys around, zone); fixed values
+ZONES = {
+    "residential": ((0, "lowrise"), (1, "houses"), (3, "lowrise"), (7, "highrise")),
+    "mixed": ((0, "mixed"),),
+    "commercial": ((0, "shops"),),
+    "office": ((0, "offices"),),
+    "industrial": ((0, "industry"),),
+    "": ((0, "none"),),
+}
+#: kind, or kind and land ("hall": large and low) -> shares of the floors for living, for work; fixed values
+USES = {
+    "house": (1.0, 0.0),
+    "residential": (1.0, 0.0),
+    "commercial": (0.0, 1.0),
+    "industrial": (0.0, 1.0),
+    "civic": (0.0, 1.0),
+    "other residential": (1.0, 0.0),
+    "other commercial": (0.0, 1.0),
+    "other industrial": (0.0, 1.0),
+    "other civic": (0.0, 1.0),
+    "other hall": (0.0, 1.0),
+    "other": (0.8, 0.2),
+    "": (0.0, 0.0),
+}
+
+
+def stepped(key: Column, amount: Column, table: dict[str, tuple]) -> Column:
+    """The value of the last step of the key's row (or the row "") that amount reaches."""
+    steps = {k: F.array(*(F.struct(F.lit(float(least)).alias("least"), F.lit(v).alias("value")) for least, v in row)) for k, row in table.items()}
+    known = F.create_map(*(x for k, row in steps.items() for x in (F.lit(k), row)))
+    return F.try_element_at(F.filter(F.coalesce(F.try_element_at(known, key), steps[""]), lambda step: step["least"] <= amount), F.lit(-1))["value"]
+
+
+def first_found(table: dict[str, tuple[float, ...]], *keys: Column) -> Column:
+    """The row of the first key that the table has, else the row "": an array."""
+    known = F.create_map(*(x for k, row in table.items() for x in (F.lit(k), F.array(*map(F.lit, row)))))
+    return F.coalesce(*(F.try_element_at(known, k) for k in keys), F.array(*map(F.lit, table[""])))
+
+
 def estimated_height(kind: Column, area: Column, levels: Column, roof_levels: Column, level_height: float = 3.0) -> Column:
-    """Height (m) by storeys where they are known, else by type and footprint."""
-    by_size = F.when(area < 40, 3.0).when(area < 180, 7.0).when(area < 450, 10.0).when(area < 1500, 14.0).otherwise(18.0)
-    fixed = F.create_map(*[F.lit(x) for x in ("minor", 3.0, "house", 7.5, "religious", 14.0, "industrial", 9.0, "civic", 12.0)])
-    commercial = F.when(kind == "commercial", F.when(area < 1500, 8.0).otherwise(12.0))
-    homes = F.when(kind == "residential", F.when(area < 200, 9.0).when(area < 700, 15.0).otherwise(21.0))
-    mapped = F.when(levels > 0, levels * level_height + F.coalesce(roof_levels, F.lit(0)) * 2.5 + 1.0)
-    return F.coalesce(mapped, F.try_element_at(fixed, kind), commercial, homes, by_size)
+    """Height (m): of the mapped storeys, roof storeys and a metre of roof, else by kind and footprint."""
+    mapped = levels * level_height + F.coalesce(roof_levels, F.lit(0)) * 2.5 + 1.0
+    return F.coalesce(F.when(levels > 0, mapped), stepped(kind, area, HEIGHTS))
 
 
 def default_roof(kind: Column, area: Column, height: Column) -> Column:
-    return F.when(kind.isin("house", "other", "minor") & (area < 300) & (height <= 10), "gabled").otherwise("flat")
+    """Small low buildings that people live in or keep things in have a gable."""
+    gabled = F.array_contains(F.array(F.lit("house"), F.lit("other"), F.lit("minor")), kind) & (area < 300) & (height <= 10)
+    return F.when(gabled, "gabled").otherwise("flat")
 
 
 def storeys(levels: Column, eave: Column, storey: float = 3.0) -> Column:
@@ -79,20 +127,15 @@ def storeys(levels: Column, eave: Column, storey: float = 3.0) -> Column:
 
 
 def use_shares(kind: Column, land: Column, area: Column, eave: Column, centre: Column, centre_work: float = 0.3) -> tuple[Column, Column]:
-    """Shares of a building's floor area for living and for work."""
-    living, working, other = kind.isin("house", "residential"), kind.isin("commercial", "industrial", "civic"), kind == "other"
-    in_work = other & F.coalesce(land.isin("civic", "commercial", "industrial"), F.lit(False))
-    in_homes = other & F.coalesce(land == "residential", F.lit(False))
-    hall = other & ~in_work & ~in_homes & (area >= 2000) & (eave <= 15)
-    rest = other & ~in_work & ~in_homes & ~hall
-    home = F.when(living | in_homes, 1.0).when(rest, 0.8).otherwise(0.0)
-    work = F.when(working | in_work | hall, 1.0).when(rest, 0.2).otherwise(0.0)
-    mixed = (home > 0) & (centre | (living & F.coalesce(land == "commercial", F.lit(False))))
-    return F.when(mixed, F.least(home, F.lit(1 - centre_work))).otherwise(home), F.when(mixed, F.greatest(work, F.lit(centre_work))).otherwise(work)
+    """Shares of a building's floor area for living and for work: by kind and land; homes in the centre, and houses and flats
+    on commercial land, give up what is missing to centre_work."""
+    size = F.when((area >= 2000) & (eave <= 15), F.concat(kind, F.lit(" hall")))
+    home, work = (first_found(USES, F.concat(kind, F.lit(" "), land), size, kind)[i] for i in (0, 1))
+    dwelling = F.concat_ws("/", kind, land).isin("house/commercial", "residential/commercial")
+    moved = F.when((centre | dwelling) & (home > 0), F.greatest(centre_work - work, F.lit(0.0))).otherwise(0.0)
+    return F.least(home, 1 - moved - work), work + moved
 
 
 def planned_zone(plan: Column, storeys_around: Column) -> Column:
     """Zone of a lot by its plan and, for homes, the storeys around it."""
-    homes = F.when(storeys_around == 0, "lowrise").when(storeys_around <= 2, "houses").when(storeys_around <= 6, "lowrise").otherwise("highrise")
-    named = F.create_map(*[F.lit(x) for x in ("mixed", "mixed", "commercial", "shops", "office", "offices", "industrial", "industry")])
-    return F.when(plan == "residential", homes).otherwise(F.coalesce(F.try_element_at(named, plan), F.lit("none")))
+    return stepped(plan, storeys_around, ZONES)

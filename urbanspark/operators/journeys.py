@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from urbanspark.sources.tables import discard, stored
@@ -85,3 +85,52 @@ def paths(labels: DataFrame, ends: DataFrame) -> DataFrame:
         if rest.isEmpty():
             return reduce(DataFrame.unionAll, done)
         going = rest.select("source", "node", F.col("prev").alias("at"), F.concat(F.array("prev"), "path").alias("path"))
+
+
+def between_fractions(pairs: DataFrame, edges: DataFrame, links: DataFrame) -> DataFrame:
+    """pairs (id, a, fa, b, fb) with seconds from the share fa along edge a to the share fb along edge b; NULL without a way.
+
+    edges: edge, time; links: a, b, via (seconds between two edges). On one edge the way leads straight on, or, back to a
+    place passed already, around by the shortest circle.
+    """
+    time = edges.select("edge", "time")
+    arcs = links.join(time.withColumnRenamed("edge", "b"), "b").select(F.col("a").alias("src"), F.col("b").alias("dst"), (F.col("via") + F.col("time")).alias("cost"), F.lit(0.0).alias("plain"))
+    away = pairs.where("a <> b or fb < fa").select(F.col("a").alias("source")).distinct()
+    # the first link is taken before the search, so that the label of the source itself is its shortest circle
+    starts = away.join(arcs, F.col("source") == F.col("src")).select("source", F.col("dst").alias("node"), "cost", "plain")
+    labels = search(arcs, starts).select(F.col("source").alias("a"), F.col("node").alias("b"), "cost")
+    timed = pairs.join(time.withColumnsRenamed({"edge": "a", "time": "ta"}), "a").join(time.withColumnsRenamed({"edge": "b", "time": "tb"}), "b").join(labels, ["a", "b"], "left")
+    ahead = (F.col("a") == F.col("b")) & (F.col("fb") >= F.col("fa"))
+    around = (1 - F.col("fa")) * F.col("ta") + F.col("cost") - (1 - F.col("fb")) * F.col("tb")
+    return timed.select("id", "a", "fa", "b", "fb", F.when(ahead, (F.col("fb") - F.col("fa")) * F.col("ta")).otherwise(around).alias("seconds"))
+
+
+def traced_boundary(streets: DataFrame, digits: int = 2) -> DataFrame:
+    """seq, x, z: the ring along streets in turn, each from where the one before comes nearest to where the next does.
+
+    streets: ord (0, 1, ...), points (one row a line of the street). Points equal to digits decimals are one; where two
+    streets meet is the closest pair of their points (the first by x, z of equals); along a street the shortest way over
+    its lines is taken, or straight across where they do not join. Fewer than three streets give no ring.
+    """
+    n = F.size("points")
+    at = lambda p: F.struct(F.round(p["x"], digits).alias("x"), F.round(p["z"], digits).alias("z"))
+    lines = streets.select("ord", F.transform("points", at).alias("points"))
+    spots = lines.select("ord", F.explode("points").alias("p")).distinct()
+    count = streets.agg((F.max("ord") + 1).alias("n")).first().n or 0
+    if count < 3:
+        return spots.limit(0).select(F.lit(0).cast("long").alias("seq"), "p.x", "p.z")
+    after = spots.select(F.pmod(F.col("ord") - 1, F.lit(count)).alias("ord"), F.col("p").alias("q"))
+    gap = F.hypot(F.col("p.x") - F.col("q.x"), F.col("p.z") - F.col("q.z"))
+    meet = stored(spots.join(after, "ord").groupBy("ord").agg(F.min(F.struct(gap.alias("d"), "p", "q")).alias("m")).select("ord", "m.p", "m.q"), "meetings")
+    ends = meet.select("ord", F.col("p").alias("end")).join(meet.select(F.pmod(F.col("ord") + 1, F.lit(count)).alias("ord"), F.col("q").alias("start")), "ord")
+    name = lambda p: F.struct("ord", p.alias("p"))
+    sides = lines.where(n > 1).select("ord", F.inline(F.zip_with(F.slice("points", 1, n - 1), F.slice("points", 2, n - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))))
+    both = sides.unionAll(sides.select("ord", F.col("q").alias("p"), F.col("p").alias("q")))
+    arcs = both.select(name(F.col("p")).alias("src"), name(F.col("q")).alias("dst"), F.hypot(F.col("p.x") - F.col("q.x"), F.col("p.z") - F.col("q.z")).alias("cost"), F.lit(0.0).alias("plain"))
+    labels = search(arcs, ends.select(F.col("ord").alias("source"), name(F.col("start")).alias("node"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("plain")))
+    ways = paths(labels, ends.select(F.col("ord").alias("source"), name(F.col("end")).alias("node"))).select(F.col("source").alias("ord"), F.transform("path", lambda k: k["p"]).alias("way"))
+    ring = ends.join(ways, "ord", "left").select("ord", F.posexplode(F.coalesce("way", F.array("start", "end"))).alias("k", "p"))
+    order = Window.orderBy("ord", "k")  # one ring
+    following = F.coalesce(F.lead("p").over(order), F.first("p").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = ring.withColumn("next", following).where(~F.col("p").eqNullSafe(F.col("next")))
+    return kept.select((F.row_number().over(order) - 1).cast("long").alias("seq"), "p.x", "p.z")

@@ -144,17 +144,6 @@ def zone_demand(spark: SparkSession, d: str) -> DataFrame:
     return r.select("zone", F.round(F.greatest(F.least(0.4 + (F.col("r") - 300_000) / 2_000_000, F.lit(1.0)), F.lit(-1.0)), 6).alias("demand"))
 
 
-@query("SELECT id, round(pow(access / avg(access) OVER (), 0.75) * (1 + 0.1 * (id % 10) / 10.0) * (1 - least(greatest((50 + id % 20 - 55) * 0.006, 0), 0.25)), 6) AS value FROM (SELECT h.id, coalesce(s.access, 0) + 1 AS access FROM v_home h LEFT JOIN (SELECT zone, sum(places) AS access FROM v_service GROUP BY 1) s USING (zone))")
-def land_value_index(spark: SparkSession, d: str) -> DataFrame:
-    """Land value of homes from access, green and noise."""
-    access = VIEWS["v_service"](spark, d).groupBy("zone").agg(F.sum("places").alias("a"))
-    h = VIEWS["v_home"](spark, d).join(access, "zone", "left").select("id", (F.coalesce("a", F.lit(0.0)) + 1).alias("access"))
-    mean = h.agg(F.avg("access").alias("mean"))
-    loss = F.least(F.greatest((50 + F.col("id") % 20 - 55) * 0.006, F.lit(0.0)), F.lit(0.25))
-    v = F.pow(F.col("access") / F.col("mean"), F.lit(0.75)) * (1 + 0.1 * (F.col("id") % 10) / 10.0) * (1 - loss)
-    return h.crossJoin(F.broadcast(mean)).select("id", F.round(v, 6).alias("value"))  # mean is one row
-
-
 @query("SELECT w.state, e.road, round(avg(p.kmh * w.f), 6) AS kmh FROM v_pass p JOIN v_edge e USING (edge_id) CROSS JOIN (VALUES ('clear', 1.0), ('rain', 0.9), ('snow', 0.7)) w(state, f) GROUP BY 1, 2")
 def weather_speeds(spark: SparkSession, d: str) -> DataFrame:
     """Mean speed of each road under each state of the weather."""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from urbanspark.functions.formulas import noise_loss, road_noise, shoelace
-from urbanspark.operators.spatial import catchment, cell, kernel_allocation, nearest, nearest_heading, point_in_polygon, within
+from urbanspark.functions.formulas import noise_loss, road_noise
+from urbanspark.operators.sequences import beside
+from urbanspark.operators.spatial import catchment, cell, deduplicate_places, kernel_allocation, nearest, nearest_heading, point_in_polygon, within
 from urbanspark.registry import query
 from urbanspark.sources.views import VIEWS
 
@@ -57,8 +58,11 @@ def point_in_polygon_zone(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT kind, round(abs(sum(a.x * b.z - b.x * a.z)) / 2, 4) AS area FROM (SELECT kind, x, z, row_number() OVER (PARTITION BY kind ORDER BY id) AS r, count(*) OVER (PARTITION BY kind) AS n FROM v_point) a JOIN (SELECT kind AS k2, x, z, row_number() OVER (PARTITION BY kind ORDER BY id) AS r FROM v_point) b ON kind = k2 AND b.r = a.r % n + 1 GROUP BY 1")
 def ring_area(spark: SparkSession, d: str) -> DataFrame:
     """Shoelace area of the ring through each kind's points."""
-    rings = VIEWS["v_point"](spark, d).groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("id", "x", "z"))).alias("ring"))
-    return rings.select("kind", F.round(shoelace(F.col("ring")), 4).alias("area"))
+    p = beside(VIEWS["v_point"](spark, d), ["kind"], ["id"], F.floor(F.col("id") / 4096), ["x", "z"], ahead=True)
+    spot = F.struct("x", "z")
+    rings = p.groupBy("kind").agg(F.sum(F.col("x") * F.col("other_z") - F.col("other_x") * F.col("z")).alias("twice"), F.min_by(spot, "id").alias("a"), F.max_by(spot, "id").alias("b"))
+    closed = F.coalesce("twice", F.lit(0.0)) + F.col("b.x") * F.col("a.z") - F.col("a.x") * F.col("b.z")
+    return rings.select("kind", F.round(F.abs(closed) / 2, 4).alias("area"))
 
 
 @query("SELECT CAST(floor(x / 500) AS BIGINT) AS cx, CAST(floor(z / 500) AS BIGINT) AS cz, round(sum(x * (1 + kind)) / sum(1 + kind), 4) AS x, round(sum(z * (1 + kind)) / sum(1 + kind), 4) AS z, arg_max(id, row(kind, -id)) AS busiest FROM v_point GROUP BY 1, 2")
@@ -97,24 +101,16 @@ def coverage_shortfall(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("kind").agg(F.round(F.sum(F.col("residents") * F.greatest(0.2 - F.col("supply"), F.lit(0.0))), 4).alias("shortfall"), F.round(F.avg(F.when(F.col("supply") >= 0.2, 1.0).otherwise(0.0)), 6).alias("served"))
 
 
-_BOX = "SELECT CAST(floor(x / 200) AS BIGINT) AS cx, CAST(floor(z / 200) AS BIGINT) AS cz, count(*) AS n FROM v_point GROUP BY 1, 2"
-
-
-@query(f"SELECT a.cx, a.cz, CAST(sum(b.n) AS BIGINT) AS n FROM ({_BOX}) a JOIN ({_BOX}) b ON abs(a.cx - b.cx) <= 1 AND abs(a.cz - b.cz) <= 1 GROUP BY 1, 2")
-def sliding_box_sum(spark: SparkSession, d: str) -> DataFrame:
-    """Points in the three by three cells around each occupied cell."""
-    p = VIEWS["v_point"](spark, d)
-    n = p.groupBy(cell(F.col("x"), 200).alias("cx"), cell(F.col("z"), 200).alias("cz")).agg(F.count(F.lit(1)).alias("n"))
-    step = F.sequence(F.lit(-1), F.lit(1))
-    spread = n.withColumn("dx", F.explode(step)).withColumn("dz", F.explode(step)).groupBy((F.col("cx") + F.col("dx")).alias("cx"), (F.col("cz") + F.col("dz")).alias("cz")).agg(F.sum("n").alias("n"))
-    return spread.join(n.select("cx", "cz"), ["cx", "cz"])
-
-
-@query("SELECT kind, count(*) AS kept FROM (SELECT kind, floor(x / 100) AS cx, floor(z / 100) AS cz FROM v_point GROUP BY ALL) GROUP BY 1")
+@query(
+    "WITH RECURSIVE places AS MATERIALIZED (SELECT id, kind, CASE WHEN id % 3 = 0 THEN '' ELSE 'n' || (id % 2) END AS name, x, z FROM v_point), ordered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY name = '', kind, name, id) AS k FROM places), "
+    "twins AS MATERIALIZED (SELECT a.k, list(b.k) AS before FROM ordered a JOIN ordered b ON a.kind = b.kind AND b.k < a.k AND (a.name = '' OR a.name = b.name) AND pow(a.x - b.x, 2) + pow(a.z - b.z, 2) < 90000 GROUP BY 1), "
+    "pick(k, stays, kept) AS (SELECT 0::BIGINT, false, []::BIGINT[] UNION ALL SELECT k, free, CASE WHEN free THEN list_append(kept, k) ELSE kept END FROM (SELECT o.k, p.kept, NOT list_has_any(coalesce(t.before, []), p.kept) AS free FROM pick p JOIN ordered o ON o.k = p.k + 1 LEFT JOIN twins t ON t.k = o.k)) "
+    "SELECT id, kind FROM pick JOIN ordered USING (k) WHERE stays"
+)
 def dedupe_by_cell(spark: SparkSession, d: str) -> DataFrame:
-    """Points left when each 100 m cell keeps one of a kind."""
-    p = VIEWS["v_point"](spark, d)
-    return p.groupBy("kind", cell(F.col("x"), 100).alias("cx"), cell(F.col("z"), 100).alias("cz")).agg(F.min("id").alias("id")).groupBy("kind").agg(F.count(F.lit(1)).alias("kept"))
+    """Places that stay of those mapped twice: of one kind, less than 300 m apart, of one name or unnamed; across cell borders."""
+    name = F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("n"), (F.col("id") % 2).cast("string")))
+    return deduplicate_places(VIEWS["v_point"](spark, d).withColumn("name", name), 300.0).select("id", "kind")
 
 
 @query("SELECT b.id, CAST(arg_max(s.kind, row(s.id)) AS INTEGER) AS painted FROM v_point b JOIN v_point s ON b.kind = 6 AND s.kind IN (7, 8) AND pow(s.x - b.x, 2) + pow(s.z - b.z, 2) <= 62500 GROUP BY 1")
@@ -134,6 +130,6 @@ def road_noise_loss(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT id, n1, round(h, 4) AS heading FROM (SELECT id, lead(id) OVER (PARTITION BY kind ORDER BY id) AS n1, degrees(atan2(lead(z) OVER (PARTITION BY kind ORDER BY id) - z, lead(x) OVER (PARTITION BY kind ORDER BY id) - x)) AS h FROM v_point) WHERE n1 IS NOT NULL")
 def neighbour_heading(spark: SparkSession, d: str) -> DataFrame:
     """The next point of the same line and the way to it."""
-    w = Window.partitionBy("kind").orderBy("id")
-    p = VIEWS["v_point"](spark, d).select("id", F.lead("id").over(w).alias("n1"), F.degrees(F.atan2(F.lead("z").over(w) - F.col("z"), F.lead("x").over(w) - F.col("x"))).alias("h"))
-    return p.where("n1 is not null").select("id", "n1", F.round("h", 4).alias("heading"))
+    p = beside(VIEWS["v_point"](spark, d), ["kind"], ["id"], F.floor(F.col("id") / 4096), ["id", "x", "z"], ahead=True)
+    h = F.degrees(F.atan2(F.col("other_z") - F.col("z"), F.col("other_x") - F.col("x")))
+    return p.where("other_id is not null").select("id", F.col("other_id").alias("n1"), F.round(h, 4).alias("heading"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from urbanspark.functions.formulas import ARCHETYPES, VEHICLES, WEATHER, distance_to_edge, inside, roof_from_volume, segment_distance, sun_elevation, transverse_mercator
-from urbanspark.functions.rules import default_roof, estimated_height, planned_zone, storeys, use_shares
+from urbanspark.functions.formulas import ARCHETYPES, VEHICLES, WEATHER, distance_to_edge, inside, roof_shape, segment_distance, sun_elevation, transverse_mercator
+from urbanspark.functions.rules import HEIGHTS, USES, ZONES, default_roof, estimated_height, planned_zone, storeys, use_shares
 from urbanspark.operators.spatial import cell, within
 from urbanspark.registry import query
 from urbanspark.sources.views import VIEWS, table
@@ -26,13 +26,19 @@ def _buildings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(key.alias("id"), kind.alias("kind"), land.alias("land"), (F.col("p_retailprice") * 1.5).alias("area"), (size * F.lit(0.7)).alias("eave"), levels.alias("levels"), (key % 11 == 0).alias("centre"))
 
 
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x}::DOUBLE" for x in row) + ")" for row in rows)
+
+
+def _steps(table: dict) -> str:
+    return _values((k, least, v) for k, row in table.items() for least, v in row)
+
+
 @query(
-    "SELECT id, CASE WHEN levels > 0 THEN levels ELSE greatest(1, round_even((eave / 3.0)::DOUBLE, 0)) END::DOUBLE AS storeys, "
-    "round(CASE WHEN centre OR (kind IN ('house', 'residential') AND land = 'commercial') THEN least(h, 0.7) ELSE h END::DOUBLE, 4) AS home, "
-    "round(CASE WHEN h > 0 AND (centre OR (kind IN ('house', 'residential') AND land = 'commercial')) THEN greatest(w, 0.3) ELSE w END::DOUBLE, 4) AS work FROM "
-    "(SELECT *, CASE WHEN kind IN ('house', 'residential') THEN 1 WHEN kind <> 'other' THEN 0 WHEN land = 'residential' THEN 1 WHEN land IS NOT NULL OR (area >= 2000 AND eave <= 15) THEN 0 ELSE 0.8 END AS h, "
-    "CASE WHEN kind IN ('commercial', 'industrial', 'civic') THEN 1 WHEN kind <> 'other' THEN 0 WHEN land IN ('civic', 'commercial', 'industrial') THEN 1 WHEN land = 'residential' THEN 0 WHEN area >= 2000 AND eave <= 15 THEN 1 ELSE 0.2 END AS w "
-    f"FROM ({_BUILDINGS}))"
+    f"WITH uses(k, h, w) AS (VALUES {_values((k, *v) for k, v in USES.items())}), b AS (SELECT *, CASE WHEN area >= 2000 AND eave <= 15 THEN ' hall' END AS hall FROM ({_BUILDINGS})), "
+    "found AS (SELECT b.*, h, w FROM b JOIN uses ON k IN (kind || ' ' || land, kind || hall, kind, '') QUALIFY row_number() OVER (PARTITION BY id ORDER BY list_position([kind || ' ' || land, kind || hall, kind, ''], k)) = 1), "
+    "mixed AS (SELECT *, h > 0 AND (centre OR (kind IN ('house', 'residential') AND coalesce(land = 'commercial', false))) AS m FROM found) "
+    "SELECT id, CASE WHEN levels > 0 THEN levels ELSE greatest(1, round_even((eave / 3.0)::DOUBLE, 0)) END::DOUBLE AS storeys, round(CASE WHEN m THEN least(h, 0.7) ELSE h END, 4) AS home, round(CASE WHEN m THEN greatest(w, 0.3) ELSE w END, 4) AS work FROM mixed"
 )
 def storeys_and_shares(spark: SparkSession, d: str) -> DataFrame:
     """Storeys of buildings, and the shares of their floors for living and for work."""
@@ -41,10 +47,9 @@ def storeys_and_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT id, round(height, 4) AS height, CASE WHEN kind IN ('house', 'other', 'minor') AND area < 300 AND height <= 10 THEN 'gabled' ELSE 'flat' END AS roof FROM (SELECT *, CASE WHEN levels > 0 THEN levels * 3.0 + 1.0 "
-    "WHEN kind = 'minor' THEN 3 WHEN kind = 'house' THEN 7.5 WHEN kind = 'religious' THEN 14 WHEN kind = 'industrial' THEN 9 WHEN kind = 'civic' THEN 12 WHEN kind = 'commercial' AND area < 1500 THEN 8 WHEN kind = 'commercial' THEN 12 "
-    "WHEN kind = 'residential' THEN CASE WHEN area < 200 THEN 9 WHEN area < 700 THEN 15 ELSE 21 END WHEN area < 40 THEN 3 WHEN area < 180 THEN 7 WHEN area < 450 THEN 10 WHEN area < 1500 THEN 14 ELSE 18 END::DOUBLE AS height "
-    f"FROM (SELECT * REPLACE (area / 8 AS area) FROM ({_BUILDINGS})))"
+    f"WITH heights(k, least_area, h) AS (VALUES {_steps(HEIGHTS)}), b AS (SELECT * REPLACE (area / 8 AS area) FROM ({_BUILDINGS})), "
+    "sized AS (SELECT b.*, CASE WHEN levels > 0 THEN levels * 3.0 + 1.0 ELSE h END::DOUBLE AS height FROM b JOIN heights ON k = CASE WHEN kind IN (SELECT k FROM heights) THEN kind ELSE '' END AND least_area <= area QUALIFY row_number() OVER (PARTITION BY id ORDER BY least_area DESC) = 1) "
+    "SELECT id, round(height, 4) AS height, CASE WHEN kind IN ('house', 'other', 'minor') AND area < 300 AND height <= 10 THEN 'gabled' ELSE 'flat' END AS roof FROM sized"
 )
 def imputed_heights(spark: SparkSession, d: str) -> DataFrame:
     """Heights and roofs of buildings that nobody measured."""
@@ -59,12 +64,13 @@ def imputed_heights(spark: SparkSession, d: str) -> DataFrame:
 )
 def roofs_from_volume(spark: SparkSession, d: str) -> DataFrame:
     """Roof and wall tops from peak and mean heights."""
-    top, wall, pitched = roof_from_volume(F.col("p_size").cast("double"), F.col("p_size") * (F.col("p_partkey") % 100) / 99.0)
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.round(top, 6).alias("top"), F.round(wall, 6).alias("wall"), pitched.alias("pitched"))
+    shape = roof_shape(F.col("p_size").cast("double"), F.col("p_size") * (F.col("p_partkey") % 100) / 99.0)
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.round(shape["top"], 6).alias("top"), F.round(shape["wall"], 6).alias("wall"), shape["pitched"].alias("pitched"))
 
 
 @query(
-    "SELECT p_partkey AS id, CASE p_size % 6 WHEN 0 THEN CASE WHEN s = 0 THEN 'lowrise' WHEN s <= 2 THEN 'houses' WHEN s <= 6 THEN 'lowrise' ELSE 'highrise' END WHEN 1 THEN 'mixed' WHEN 2 THEN 'shops' WHEN 3 THEN 'offices' WHEN 4 THEN 'industry' ELSE 'none' END AS zone FROM (SELECT *, p_partkey % 10 AS s FROM part)"
+    f"WITH zones(k, least_storeys, zone) AS (VALUES {_steps(ZONES)}), lots AS (SELECT p_partkey AS id, p_partkey % 10 AS around, ['residential', 'mixed', 'commercial', 'office', 'industrial', ''][p_size % 6 + 1] AS plan FROM part) "
+    "SELECT id, zone FROM lots JOIN zones ON k = plan AND least_storeys <= around QUALIFY row_number() OVER (PARTITION BY id ORDER BY least_storeys DESC) = 1"
 )
 def lot_zones(spark: SparkSession, d: str) -> DataFrame:
     """Zones of lots by plan and storeys around."""

@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from urbanspark.functions.formulas import degrees_of, transverse_mercator
 from urbanspark.operators.matching import back_trace, first_spec, greedy_pairs, independent, viterbi
 from urbanspark.operators.spatial import within
 from urbanspark.registry import query
 from urbanspark.sources.views import VIEWS, table
 
 
-@query()
+@query(
+    "WITH RECURSIVE pairs AS MATERIALIZED (SELECT a.id AS a, b.id AS b, round(sqrt(pow(a.x - b.x, 2) + pow(a.z - b.z, 2)), 6) AS dist FROM v_point a JOIN v_point b ON a.kind = 0 AND b.kind = 1 AND pow(a.x - b.x, 2) + pow(a.z - b.z, 2) <= 160000), "
+    "ordered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY dist, a, b) AS k FROM pairs), "
+    "pick(k, a, b, dist, taken, used_a, used_b) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE, false, []::BIGINT[], []::BIGINT[] UNION ALL SELECT o.k, o.a, o.b, o.dist, free, CASE WHEN free THEN list_append(used_a, o.a) ELSE used_a END, CASE WHEN free THEN list_append(used_b, o.b) ELSE used_b END "
+    "FROM (SELECT p.used_a, p.used_b, o.*, NOT list_contains(p.used_a, o.a) AND NOT list_contains(p.used_b, o.b) AS free FROM pick p JOIN ordered o ON o.k = p.k + 1) o) SELECT a, b, dist FROM pick WHERE taken"
+)
 def greedy_matching(spark: SparkSession, d: str) -> DataFrame:
     """One-to-one pairs of points of two kinds, nearest first."""
     p = VIEWS["v_point"](spark, d)
@@ -19,10 +25,15 @@ def greedy_matching(spark: SparkSession, d: str) -> DataFrame:
     return greedy_pairs(pairs)
 
 
-@query()
+@query(
+    "WITH RECURSIVE near AS MATERIALIZED (SELECT a.id, list(b.id) AS ids FROM v_point a JOIN v_point b ON a.id <> b.id AND pow(a.x - b.x, 2) + pow(a.z - b.z, 2) <= 22500 GROUP BY 1), "
+    "ordered AS MATERIALIZED (SELECT p.id, (p.id * 7919) % 1000 AS rank, coalesce(ids, []) AS ids, row_number() OVER (ORDER BY (p.id * 7919) % 1000, p.id) AS k FROM v_point p LEFT JOIN near USING (id)), "
+    "pick(k, id, rank, stays, kept) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, false, []::BIGINT[] UNION ALL SELECT k, id, rank, free, CASE WHEN free THEN list_append(kept, id) ELSE kept END FROM (SELECT o.*, p.kept, NOT list_has_any(o.ids, p.kept) AS free FROM pick p JOIN ordered o ON o.k = p.k + 1)) "
+    "SELECT id, rank FROM pick WHERE stays"
+)
 def conflict_elimination(spark: SparkSession, d: str) -> DataFrame:
     """Points that stay when of two within 150 m the one with the smaller rank wins."""
-    p = VIEWS["v_point"](spark, d).where("kind in (2, 3)")
+    p = VIEWS["v_point"](spark, d)
     edges = within(p, p, 150.0).where("l_id <> r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
     return independent(edges, p.select("id", ((F.col("id") * 7919) % 1000).alias("rank")))
 
@@ -43,7 +54,7 @@ def stops_along_shape(spark: SparkSession, d: str) -> DataFrame:
     return viterbi(s.select("trip", "seq", choices.alias("choices")), "trip")
 
 
-@query()
+@query("WITH RECURSIVE back(start, node, path, hops) AS (SELECT p_partkey, p_partkey, CAST(p_partkey AS VARCHAR), 1 FROM part UNION ALL SELECT start, node // 2, path || '>' || (node // 2), hops + 1 FROM back WHERE node > 1) SELECT start, path, hops FROM back WHERE node <= 1")
 def path_back_trace(spark: SparkSession, d: str) -> DataFrame:
     """Paths of parts to the root of a tree of keys."""
     p = table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 2)).alias("prev"))
@@ -91,11 +102,12 @@ def od_imbalance(spark: SparkSession, d: str) -> DataFrame:
     return od.join(back, ["o_zone", "d_zone"]).where("o_zone < d_zone").select("o_zone", "d_zone", F.round(F.col("trips") - F.col("back"), 4).alias("imbalance"))
 
 
-@query("SELECT id, round(40 + degrees(atan(sinh(z / 6371000.0))), 8) AS lat, round(16 + degrees(x / 6371000.0), 8) AS lon FROM v_point")
+@query("SELECT id, round(45.8 + z / 111320.0, 8) AS lat, round(16 + x / 77600.0, 8) AS lon FROM v_point")
 def scene_to_degrees(spark: SparkSession, d: str) -> DataFrame:
-    """Scene metres to degrees around an origin."""
+    """Degrees to easting and northing, and back to degrees."""
     p = VIEWS["v_point"](spark, d)
-    return p.select("id", F.round(40 + F.degrees(F.atan(F.sinh(F.col("z") / 6_371_000.0))), 8).alias("lat"), F.round(16 + F.degrees(F.col("x") / 6_371_000.0), 8).alias("lon"))
+    lon, lat = degrees_of(*transverse_mercator(16 + F.col("x") / 77_600.0, 45.8 + F.col("z") / 111_320.0))
+    return p.select("id", F.round(lat, 8).alias("lat"), F.round(lon, 8).alias("lon"))
 
 
 _BOXES = "SELECT id, x, z, 100.0 + 20 * kind AS w, 80.0 + id % 50 AS h FROM v_point"

@@ -97,8 +97,9 @@ def latest_layer(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT id, kind, round(x * 100) / 100 AS x FROM v_point")
 def delta_codec(spark: SparkSession, d: str) -> DataFrame:
     """Coordinates through whole steps and back."""
-    packed = pack_deltas(VIEWS["v_point"](spark, d), ["kind"], "id", "x")
-    return unpack_deltas(packed.select("id", "kind", "step", "part", "parts"), ["kind"], "id").select("id", "kind", F.round("value", 2).alias("x"))
+    blocks = VIEWS["v_point"](spark, d).withColumn("block", F.floor(F.col("id") / 4096))  # each begins with its own first value
+    packed = pack_deltas(blocks, ["kind", "block"], "id", "x")
+    return unpack_deltas(packed.select("id", "kind", "block", "step", "part", "parts"), ["kind", "block"], "id").select("id", "kind", F.round("value", 2).alias("x"))
 
 
 @query("SELECT p_partkey AS id, round(((p_partkey % 3) * 65536 + (p_size * 5) * 256 + p_partkey % 256) * 0.1::DOUBLE - 10000, 4) AS height FROM part")

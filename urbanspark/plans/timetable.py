@@ -40,14 +40,14 @@ def stop_patterns_topk(spark: SparkSession, d: str) -> DataFrame:
 def thin_service(spark: SparkSession, d: str) -> DataFrame:
     """Six tenths of each route's trips, evenly."""
     t = _trips(spark, d).select("trip", "route", "start")
-    return thin(t, ["route"], ["start", "trip"], F.floor(F.count(F.lit(1)).over(Window.partitionBy("route")) * 0.6)).select("trip")
+    return thin(t, ["route"], ["start", "trip"], F.floor(F.col("_n") * 0.6), F.floor(F.col("start") / 60)).select("trip")
 
 
 @query(f"SELECT trip, added, start FROM (SELECT trip, CAST(k AS INTEGER) AS added, CAST(start + CASE WHEN k > 0 THEN floor(gap * k / 3.0) ELSE 0 END AS BIGINT) AS start FROM (SELECT trip, start, lead(start) OVER (PARTITION BY route ORDER BY start, trip) - start AS gap FROM ({_TRIPS})), (SELECT unnest([0, 1, 2]) AS k) WHERE k = 0 OR gap BETWEEN 1 AND 7200)")
 def densify_service(spark: SparkSession, d: str) -> DataFrame:
     """Two more departures in each gap of at most two hours."""
     t = _trips(spark, d).select("trip", "route", "start")
-    return fill_gaps(t, ["route"], "start", 2, 7200, ["trip"]).select("trip", "added", "start")
+    return fill_gaps(t, ["route"], "start", 2, 7200, ["trip"], F.floor(F.col("start") / 60)).select("trip", "added", "start")
 
 
 @query("SELECT stop, trip, wait FROM (SELECT stop, trip, CAST(((t_s - 82800) % 86400 + 86400) % 86400 AS BIGINT) AS wait, row_number() OVER (PARTITION BY stop ORDER BY ((t_s - 82800) % 86400 + 86400) % 86400, trip, seq) AS r FROM v_stop_time) WHERE r <= 3")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from urbanspark.operators.sequences import collapse, counter_deltas, islands, sessions, smooth
+from urbanspark.operators.sequences import beside, collapse, counter_deltas, islands, sessions, trailing
 from urbanspark.registry import query
 from urbanspark.sources.views import VIEWS, table
 
@@ -14,7 +14,7 @@ from urbanspark.sources.views import VIEWS, table
 def hourly_counter_deltas(spark: SparkSession, d: str) -> DataFrame:
     """Increases of a counter that resets."""
     p = VIEWS["v_pass"](spark, d).select("pass_id", "edge_id", "ts", ((F.col("pass_id") * 37) % 1000).alias("counter"))
-    return counter_deltas(p, ["edge_id"], ["ts", "pass_id"], "counter").select("pass_id", "edge_id", "counter", "delta")
+    return counter_deltas(p, ["edge_id"], ["ts", "pass_id"], "counter", F.date_trunc("hour", "ts")).select("pass_id", "edge_id", "counter", "delta")
 
 
 @query("SELECT trip, seq, CAST(sum(stop - 25) OVER (PARTITION BY trip ORDER BY seq) AS BIGINT) AS x FROM v_stop_time")
@@ -33,17 +33,10 @@ def next_with_wrap(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT pass_id, edge_id, count(*) OVER w AS n, round(avg(kmh) OVER w, 6) AS kmh FROM v_pass WINDOW w AS (PARTITION BY edge_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)")
 def rolling_last_hour(spark: SparkSession, d: str) -> DataFrame:
     """Passes and mean speed of an edge in the hour up to each pass."""
-    p = VIEWS["v_pass"](spark, d).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
-    w = Window.partitionBy("edge_id").orderBy("at").rangeBetween(-3_600_000_000, 0)
-    return p.select("pass_id", "edge_id", F.count(F.lit(1)).over(w).alias("n"), F.round(F.avg("kmh").over(w), 6).alias("kmh"))
-
-
-@query("SELECT edge_id, round(list_reduce(list(kmh ORDER BY ts, pass_id), lambda a, x: a * 0.5 + x * 0.5), 4) AS smoothed FROM v_pass GROUP BY 1")
-def edge_time_ewma(spark: SparkSession, d: str) -> DataFrame:
-    """Exponentially smoothed speed of each edge after its last pass."""
-    seq = F.sort_array(F.collect_list(F.struct("ts", "pass_id", "kmh")))
-    out = VIEWS["v_pass"](spark, d).groupBy("edge_id").agg(F.transform(seq, lambda r: r["kmh"]).alias("v"))
-    return out.select("edge_id", F.round(smooth(F.col("v"), 0.5), 4).alias("smoothed"))
+    hour = 3_600_000_000
+    p = trailing(VIEWS["v_pass"](spark, d).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))), ["edge_id"], F.col("at"), hour)
+    w = Window.partitionBy("edge_id", "_slot").orderBy("at").rangeBetween(-hour, 0)
+    return p.select("pass_id", "edge_id", "_own", F.count(F.lit(1)).over(w).alias("n"), F.round(F.avg("kmh").over(w), 6).alias("kmh")).where("_own").drop("_own")
 
 
 @query("SELECT vehicle, CAST(min(d) AS BIGINT) AS first, CAST(max(d) AS BIGINT) AS last, count(*) AS days FROM (SELECT vehicle, d, d - row_number() OVER (PARTITION BY vehicle ORDER BY d) AS g FROM (SELECT DISTINCT vehicle, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS d FROM v_pass)) GROUP BY vehicle, g")
@@ -118,8 +111,8 @@ def downsample(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT pass_id, edge_id, lead(vehicle) OVER (PARTITION BY edge_id ORDER BY ts, pass_id) AS leader, round(lead(kmh) OVER (PARTITION BY edge_id ORDER BY ts, pass_id) - kmh, 6) AS gap FROM v_pass")
 def leader_follower(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("edge_id").orderBy("ts", "pass_id")
-    return VIEWS["v_pass"](spark, d).select("pass_id", "edge_id", F.lead("vehicle").over(w).alias("leader"), F.round(F.lead("kmh").over(w) - F.col("kmh"), 6).alias("gap"))
+    p = beside(VIEWS["v_pass"](spark, d), ["edge_id"], ["ts", "pass_id"], F.date_trunc("hour", "ts"), ["vehicle", "kmh"], ahead=True)
+    return p.select("pass_id", "edge_id", F.col("other_vehicle").alias("leader"), F.round(F.col("other_kmh") - F.col("kmh"), 6).alias("gap"))
 
 
 @query("SELECT vehicle, pass_id FROM (SELECT *, row_number() OVER (PARTITION BY vehicle ORDER BY ts DESC, pass_id DESC) AS r FROM v_pass) WHERE r <= 10")

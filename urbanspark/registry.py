@@ -27,4 +27,4 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from urbanspark.plans import economy, fit, geo, joins, journeys, lines, measures, more, network, text, timetable, windows  # noqa: F401
+    from urbanspark.plans import economy, fit, geo, grids, joins, journeys, lines, measures, more, network, text, timetable, windows  # noqa: F401
