@@ -5,12 +5,12 @@ is planned on the number of pieces of each length: CAPACITY numbers, whatever th
 left, the fillings of the remaining room are enumerated, largest piece first; a filling is dominated, and dropped, if one
 of its pieces or a pair of them could give way to a single larger piece that is left. Best-fit solutions are the
 incumbents: the first one takes the fullest filling each time and uses it as often as the counts allow. If it takes more
-sequences than ceil(tokens / CAPACITY), the search branches over the undominated fillings, and a branch whose sequences
+sequences than a lower bound (by tokens, and by pieces over half a sequence), the search branches over the undominated fillings, and a branch whose sequences
 so far and whose waste bound reach the incumbent is cut. A branch takes a filling as often as the counts allow; a second
 search takes fillings once as well. If that proves nothing, the histogram is divided by factors, and the patterns of the
 smaller plan are repeated. NODES bounds the work on one filling, WIDTH the fillings of a branch and BRANCHES the steps of
 a search, at every size: beyond, the incumbent stands and every piece is packed all the same. The column `proven` says
-whether the plan meets ceil(tokens / CAPACITY) or a search tried all undominated fillings. Spark
+whether the plan meets that bound or a search tried all undominated fillings. Spark
 ranks the pieces of each length in salted groups, as many as the most frequent length needs, and looks each rank up.
 
 Edge cases: null and empty texts are one end id. Repeated rows are packed as often as they stand there; null keys too.
@@ -37,7 +37,7 @@ CAPACITY = 2048
 #: branches tried for one filling before the incumbent is taken
 NODES = 4000
 #: steps of the search over sequences beyond the first incumbent
-BRANCHES = 2000
+BRANCHES = 300
 #: fillings tried for one largest piece
 WIDTH = 6
 #: pieces of one length that one task ranks, about
@@ -112,13 +112,27 @@ def _branch(counts: np.ndarray, lengths: list[int], capacity: int, width: int) -
     return out, all_of_them
 
 
-def _plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, dict[int, int]]], bool]:
-    """The best-fit plan, or what the searches find beyond it; whether it is proven."""
+def least_sequences(histogram: dict[int, int], capacity: int) -> int:
+    """A bound under every plan: for each k, pieces over half a sequence stand in sequences of their own, and pieces from k to
+    half a sequence fill what those of at most capacity - k leave, or more sequences."""
+    counts = np.zeros(capacity + 2, np.int64)
+    for x, n in histogram.items():
+        counts[x] = n
+    many, tokens = np.cumsum(counts), np.cumsum(counts * np.arange(capacity + 2))
+    half, k = capacity // 2, np.arange(1, capacity // 2 + 1)
+    large = many[capacity] - many[half]
+    room = capacity * (many[capacity - k] - many[half]) - (tokens[capacity - k] - tokens[half])
+    over = np.maximum(tokens[half] - tokens[k - 1] - room, 0)
+    return int(max(large + (-(-over // capacity)).max(initial=0), -(-int(tokens[capacity]) // capacity)))
+
+
+def _plan(histogram: dict[int, int], capacity: int, whole_tree: bool = True) -> tuple[list[tuple[int, dict[int, int]]], bool]:
+    """The best-fit plan, or what the searches (that over whole patterns only, and shorter, without whole_tree) find beyond it;
+    whether it is proven."""
     counts = np.zeros(capacity + 1, np.int64)
     for x, n in histogram.items():
         counts[x] = n
     total = int((counts * np.arange(capacity + 1)).sum())
-    left = BRANCHES
     best: list[tuple[int, dict[int, int]]] | None = None
     fewest, every = 0, True
 
@@ -135,37 +149,49 @@ def _plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, dic
                 lengths = [x for x in lengths if counts[x]]
         return done
 
-    def search(counts: np.ndarray, rest: int, used: int, done: list[tuple[int, dict[int, int]]], single: bool) -> bool:
-        """False when the work is at its bound. A filling is used as often as the counts allow, or once too if single."""
-        nonlocal best, fewest, left, every
-        if not rest:
-            if used < fewest:
-                best, fewest = list(done), used
-            return True
+    def steps(counts: np.ndarray, rest: int, used: int, single: bool) -> Iterator[tuple]:
+        """The branches worth trying: counts, rest and sequences after, and the move. A filling is used as often as the counts
+        allow, and once too if single."""
+        nonlocal every
         branches, all_of_them = _branch(counts, [int(x) for x in np.flatnonzero(counts)], capacity, WIDTH)
         every = every and all_of_them
         for n, filling in branches:
             size = sum(x * k for x, k in filling.items())
             for times in (n, 1) if single and n > 1 else (n,):
-                if used + times + -(-(rest - times * size) // capacity) >= fewest:
-                    continue
-                if left <= 0:
-                    return False
-                left -= 1
-                after = counts.copy()
-                for x, k in filling.items():
-                    after[x] -= times * k
-                if not search(after, rest - times * size, used + times, [*done, (times, filling)], single):
-                    return False
+                if used + times + -(-(rest - times * size) // capacity) < fewest:
+                    after = counts.copy()
+                    for x, k in filling.items():
+                        after[x] -= times * k
+                    yield after, rest - times * size, used + times, (times, filling)
+
+    def search(single: bool, left: int) -> bool:
+        """Depth first, left steps at most; False when that ended it."""
+        nonlocal best, fewest
+        open_steps, moves = [steps(counts, total, 0, single)], []
+        while open_steps:
+            step = next(open_steps[-1], None)
+            if step is None:
+                open_steps.pop()
+                moves = moves[: len(open_steps) - 1] if open_steps else []
+                continue
+            if left <= 0:
+                return False
+            left -= 1
+            after, rest, used, move = step
+            moves = [*moves[: len(open_steps) - 1], move]
+            if rest:
+                open_steps.append(steps(after, rest, used, single))
+            else:
+                best, fewest = moves, used
         return True
 
     best = dive(counts, [])
-    fewest, least, whole = sum(n for n, _ in best), -(-total // capacity), False
+    fewest, least, whole = sum(n for n, _ in best), least_sequences(histogram, capacity), False
     # whole patterns first: their tree is as deep as there are lengths, however often each length stands there
-    for single in (False, True):
+    for single in (False, True)[: 1 + whole_tree]:
         if fewest > least:
-            left, every = BRANCHES, True
-            whole = search(counts, total, 0, [], single) and every
+            every = True
+            whole = search(single, BRANCHES if whole_tree else BRANCHES // 10) and every and single
     return best, whole or fewest == least
 
 
@@ -173,18 +199,18 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
     """([(sequences, {length: pieces in each})] that use every piece of the histogram once; whether no plan has fewer).
 
     Where the plan for the histogram itself is not proven, the histogram is divided by factors (what its counts have in
-    common, and powers of two), the smaller one is planned, its patterns repeated, and what is left over planned too.
+    common, and powers of two that keep nine tenths of the tokens), the smaller one is planned, its patterns repeated, and what is left over planned too.
     """
     histogram = {x: n for x, n in histogram.items() if n}
     best, proven = _plan(histogram, capacity)
-    fewest, least = sum(n for n, _ in best), -(-sum(x * n for x, n in histogram.items()) // capacity)
+    fewest, least, total = sum(n for n, _ in best), least_sequences(histogram, capacity), sum(x * n for x, n in histogram.items())
     most = max(histogram.values(), default=0)
     for factor in dict.fromkeys([math.gcd(*histogram.values()), *(1 << k for k in range(most.bit_length() - 1, 0, -1))]):
-        if proven or factor < 2:
-            continue
         part = {x: n // factor for x, n in histogram.items() if n >= factor}
+        if proven or factor < 2 or 10 * factor * sum(x * n for x, n in part.items()) < 9 * total:
+            continue
         rest = {x: n % factor for x, n in histogram.items() if n % factor}
-        found = [(factor * n, filling) for n, filling in _plan(part, capacity)[0]] + _plan(rest, capacity)[0]
+        found = [(factor * n, filling) for n, filling in _plan(part, capacity, False)[0]] + _plan(rest, capacity, False)[0]
         if (used := sum(n for n, _ in found)) < fewest:
             best, fewest, proven = found, used, used == least
     return best, proven
