@@ -2,7 +2,10 @@
 
 import random
 
-from urbanspark.llm import quality
+import numpy as np
+import pandas as pd
+
+from urbanspark.llm import quality, toxicity
 
 
 def prose(rng, n):
@@ -18,3 +21,28 @@ def test_quality_drops_junk_that_is_common_in_its_source(spark):
     out = quality.filter_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
     assert not any(r.base_failed for r in out)
     assert {r.doc_id for r in out if r.kept} == {i for i, *_ in rows if i < 450 or (i > 3000 and i % 2)}
+
+
+def test_toxicity_scores_are_the_landmark_sum():
+    """The collapsed weights give what the kernel with every landmark gives."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdeß") for _ in range(rng.randint(3, 22)))
+    suspects = pd.DataFrame({"unit": sorted({word() for _ in range(80)})}).assign(g=lambda d: np.arange(len(d), dtype=float), t=3)
+    clean = pd.DataFrame({"unit": sorted({word() for _ in range(90)})}).assign(c=lambda d: 1 + np.arange(len(d)))
+    machine = toxicity._Machine(suspects, clean)
+    w = np.random.default_rng(0).normal(size=len(machine.marks) + 1)
+    tried = [u for u in (word() for _ in range(300)) if len(u) <= toxicity.LONGEST]
+    plain = toxicity.kernel(tried, machine.marks) @ machine.root @ w[:-1] + w[-1]
+    assert np.allclose(machine.model(w).units(tried), np.maximum(plain, toxicity.FLOOR), atol=1e-4)
+
+
+def test_toxicity_labels_that_contradict_each_other_teach_nothing(spark):
+    rng = random.Random(3)
+    docs = [(i, prose(rng, 40) + (" zorgblat" if i % 4 == 0 else ""), 1) for i in range(200)]
+    labels = [(i, int(i % 4 == 0)) for i in range(200)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, toxic int")
+    texts = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    doubled = labels + [(i, 1 - y) for i, y in labels if i % 10 == 1]
+    without = [(i, y) for i, y in labels if i % 10 != 1]
+    scores = lambda rows: {r.doc_id: round(r.score, 9) for r in toxicity.score(texts, toxicity.train(texts, frame(rows))).collect()}
+    assert scores(doubled) == scores(without) == scores(doubled[::-1])

@@ -12,10 +12,10 @@ with more than ODDS times their share of toxic sentences, as positive instances;
 sentences, the most frequent and those that the machine takes for toxic. A squared-hinge SVM is fitted on the Nyström
 features of LANDMARKS units. As the kernel is a sum over subsequences, the landmarks' weights collapse into one weight a
 subsequence, so a unit is scored by looking its own subsequences up. A document's score is a logistic curve, fitted on the
-sample at its true class shares, of its two highest values and the density and sum of high ones.
+sample at its true class shares (a toxic document weighing MISS_COST times), of its two highest values and the density and sum of high ones.
 
-Edge cases: a null, empty or blank text has no units and gets the curve's value for none (low). Labels that are null
-teach nothing; with one class only, every score is that of no units. Texts are scored whole. Repeated rows are scored
+Edge cases: a null, empty or blank text has no units and gets the curve's value for none (low). Labels that are null,
+or that contradict each other under one key, teach nothing; with one class only, every score is that of no units. Texts are scored whole. Repeated rows are scored
 alike. Ties between units are broken by the unit's text, so a table gives the same model again. An empty table gives an
 empty result. Other columns stay; score is replaced.
 """
@@ -49,6 +49,8 @@ WITNESSES = 5
 #: weight of the positive instances together, against the negative ones
 BALANCE = 0.1
 RIDGE = 0.3
+#: a missed toxic document costs the score's curve as much as so many clean ones flagged
+MISS_COST = 5.0
 ROUNDS = 5
 LONGEST = 16
 #: words whose values a Python worker keeps
@@ -285,13 +287,19 @@ def _spread(words: list[str], weight: np.ndarray, n: int) -> list[str]:
     return [words[i] for i in chosen]
 
 
+def _cut_up(units: pd.Series, weight: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """All pieces of the units, each with its unit's weight."""
+    pieces = [(p, w) for u, w in zip(units, weight, strict=True) for p in _pieces(u)]
+    return [p for p, _ in pieces], np.array([w for _, w in pieces])
+
+
 class _Machine:
     """The Nyström features, and the latent SVM fitted on them."""
 
     def __init__(self, suspects: pd.DataFrame, clean: pd.DataFrame):
-        bad, good = suspects["unit"].str[:LONGEST].tolist()[:3000], clean["unit"].str[:LONGEST].tolist()[:3000]
-        heavy = np.sqrt(np.maximum(suspects["g"].to_numpy()[:3000], 0.0))
-        marks = _spread(bad, heavy, LANDMARKS // 2) + _spread(good, np.log1p(clean["c"].to_numpy(float)[:3000]), LANDMARKS // 2)
+        bad, heavy = _cut_up(suspects["unit"], np.sqrt(np.maximum(suspects["g"].to_numpy(), 0.0)))
+        good, common = _cut_up(clean["unit"], np.log1p(clean["c"].to_numpy(float)))
+        marks = _spread(bad, heavy, LANDMARKS // 2) + _spread(good, common, LANDMARKS // 2)
         self.marks = list(dict.fromkeys(marks))
         value, vector = np.linalg.eigh(kernel(self.marks, self.marks))
         self.root = vector / np.sqrt(np.maximum(value, 1e-3))
@@ -368,7 +376,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Learn from the labelled rows given; pass only rows that may teach."""
     spark = docs.sparkSession
     none = ToxicityModel(np.zeros(1, np.int64), np.zeros(1), FLOOR)
-    y = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).where("key is not null and y in (0, 1)").dropDuplicates(["key"])
+    y = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).where("key is not null and y in (0, 1)")
+    y = y.groupBy("key").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
     total = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(total) < 2:
         return none
@@ -405,7 +414,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         w = machine.fit(suspects, bags, hard, w)
     model = machine.model(w)
     seen = sample.orderBy("key", F.xxhash64("text")).select(_valued(model, spark)("text").alias("v"), "y").toPandas()
-    model.curve = _logistic(np.array(seen["v"].tolist()), seen["y"].to_numpy(float), 1 / seen["y"].map(share).to_numpy(float))
+    weight = np.where(seen["y"] == 1, MISS_COST, 1.0) / seen["y"].map(share).to_numpy(float)
+    model.curve = _logistic(np.array(seen["v"].tolist()), seen["y"].to_numpy(float), weight)
     discard(chosen, sample, sentences)
     return model
 
