@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from urbanspark.functions.formulas import degrees_of, transverse_mercator
+from urbanspark.operators.growth import grown
 from urbanspark.operators.matching import back_trace, first_spec, greedy_pairs, independent, viterbi
 from urbanspark.operators.spatial import within
 from urbanspark.registry import query
@@ -71,11 +72,23 @@ def gateway_flows(spark: SparkSession, d: str) -> DataFrame:
     return z.select("zone", "hour", F.round(F.col("w") * share, 6).alias("flow"))
 
 
-@query("SELECT zone, id FROM (SELECT zone, id, row_number() OVER (PARTITION BY zone ORDER BY (id * 7919) % 10007 / (residents + 1), id) AS r FROM v_home) WHERE r <= 5")
+def _step(minute: int, before: str) -> str:
+    """SQL of the lots started in a minute, on what is free after the steps before."""
+    draw = "(({0}) * 7919 + " + str(minute * 104729) + ") % 10007 / 10007.0::DOUBLE"
+    return (
+        f"SELECT {minute}::BIGINT AS minute, zone, id FROM (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY {draw.format('id')} * (1 + id % 7 / 3.0::DOUBLE) * (0.5 + residents / 10000) DESC, id) AS k, count(*) OVER (PARTITION BY zone) * 0.02 * (0.5 + zone % 4 / 2.0::DOUBLE) AS e "
+        f"FROM v_home WHERE id NOT IN (SELECT id FROM ({before}))) WHERE k <= CASE WHEN zone % 4 > 0 THEN greatest(1, floor(e) + CASE WHEN {draw.format('zone')} < e - floor(e) THEN 1 ELSE 0 END) ELSE floor(e) + CASE WHEN {draw.format('zone')} < e - floor(e) THEN 1 ELSE 0 END END"
+    )
+
+
+@query(
+    f"WITH a AS MATERIALIZED ({_step(1, 'SELECT -1 AS id')}), b AS MATERIALIZED ({_step(2, 'SELECT id FROM a')}), c AS MATERIALIZED ({_step(3, 'SELECT id FROM a UNION ALL SELECT id FROM b')}) "
+    "SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c"
+)
 def growth_quota(spark: SparkSession, d: str) -> DataFrame:
-    """The first five lots of each zone in weighted order of a hashed key."""
-    order = Window.partitionBy("zone").orderBy((F.col("id") * 7919) % 10007 / (F.col("residents") + 1), "id")
-    return VIEWS["v_home"](spark, d).withColumn("r", F.row_number().over(order)).where("r <= 5").select("zone", "id")
+    """The lots on which building starts in each of three minutes, by zone quotas in weighted order."""
+    lots = VIEWS["v_home"](spark, d).select("id", "zone", (F.col("id") % 7).alias("context"), (0.5 + F.col("residents") / 10_000).alias("dear"), (0.5 + F.col("zone") % 4 / 2.0).alias("rate"))
+    return grown(lots, [1, 2, 3])
 
 
 @query("SELECT o_custkey AS id, count(*) AS orders, CASE WHEN max(t) >= 400000 THEN 'metropolis' WHEN max(t) >= 250000 THEN 'city' WHEN max(t) >= 100000 THEN 'town' ELSE 'village' END AS stage FROM (SELECT o_custkey, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS t FROM orders) GROUP BY 1")
