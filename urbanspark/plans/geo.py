@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from urbanspark.functions.formulas import noise_loss, road_noise
 from urbanspark.operators.sequences import beside
-from urbanspark.operators.spatial import catchment, cell, deduplicate_places, kernel_allocation, nearest, nearest_heading, point_in_polygon, within
+from urbanspark.operators.spatial import catchment, cell, deduplicate_places, kernel_allocation, nearest, nearest_heading, point_in_nearest_polygon, point_in_polygon, within
 from urbanspark.registry import query
 from urbanspark.sources.views import VIEWS
 
@@ -133,3 +133,18 @@ def neighbour_heading(spark: SparkSession, d: str) -> DataFrame:
     p = beside(VIEWS["v_point"](spark, d), ["kind"], ["id"], F.floor(F.col("id") / 4096), ["id", "x", "z"], ahead=True)
     h = F.degrees(F.atan2(F.col("other_z") - F.col("z"), F.col("other_x") - F.col("x")))
     return p.where("other_id is not null").select("id", F.col("other_id").alias("n1"), F.round(h, 4).alias("heading"))
+
+
+_BOXES = (("north", 100.0, 100.0, 700.0, 900.0), ("south", -900.0, -900.0, -100.0, -100.0))
+_OFF = "sqrt(pow(greatest(x0 - x, 0, x - x1), 2) + pow(greatest(z0 - z, 0, z - z1), 2))"
+
+
+@query(
+    "WITH boxes(polygon, x0, z0, x1, z1) AS (VALUES " + ", ".join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {e}::DOUBLE)" for n, a, b, c, e in _BOXES) + "), "
+    f"near AS (SELECT id, arg_min(polygon, {_OFF}) AS polygon FROM v_point, boxes WHERE {_OFF} <= 300 GROUP BY 1) SELECT p.id, polygon FROM v_point p LEFT JOIN near USING (id)"
+)
+def nearest_polygon_zone(spark: SparkSession, d: str) -> DataFrame:
+    """The polygon that holds a point, else the one with the nearest edge within 300 m."""
+    rows = [(n, 1, [(a, b), (c, b), (c, e), (a, e)]) for n, a, b, c, e in _BOXES]
+    polygons = spark.createDataFrame(rows, "polygon string, priority int, ring array<struct<x: double, z: double>>")
+    return point_in_nearest_polygon(VIEWS["v_point"](spark, d), polygons, 500.0, 300.0).select("id", "polygon")

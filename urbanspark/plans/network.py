@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanspark.functions.formulas import arc_cost
-from urbanspark.operators.graph import components, relax, routing_arcs
+from urbanspark.operators.graph import components, inferred_lanes, relax, routing_arcs, worst_approach
 from urbanspark.registry import query
 from urbanspark.sources.views import VIEWS
 
@@ -64,13 +64,13 @@ def routing_graph(spark: SparkSession, d: str) -> DataFrame:
     return routing_arcs(links)
 
 
-@query("WITH RECURSIVE e AS (SELECT a.id AS a, b.id AS b FROM v_point a JOIN v_point b ON a.kind = 9 AND b.kind = 9 AND a.id <> b.id AND pow(a.x - b.x, 2) + pow(a.z - b.z, 2) <= 40000), walk(node, other) AS (SELECT a, a FROM e UNION SELECT w.node, e.b FROM walk w JOIN e ON e.a = w.other) SELECT node, min(other) AS component FROM walk GROUP BY 1")
+@query("WITH RECURSIVE e AS (SELECT a.id AS a, b.id AS b FROM v_point a JOIN v_point b ON a.id <> b.id AND pow(a.x - b.x, 2) + pow(a.z - b.z, 2) <= 4900), walk(node, other) AS (SELECT a, a FROM e UNION SELECT w.node, e.b FROM walk w JOIN e ON e.a = w.other) SELECT node, min(other) AS component FROM walk GROUP BY 1")
 def point_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Connected components of points at most 200 m apart."""
+    """Connected components of points at most 70 m apart."""
     from urbanspark.operators.spatial import within
 
-    p = VIEWS["v_point"](spark, d).where("kind = 9")
-    edges = within(p, p, 200.0).where("l_id <> r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
+    p = VIEWS["v_point"](spark, d)
+    edges = within(p, p, 70.0).where("l_id <> r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
     return components(edges)
 
 
@@ -87,3 +87,39 @@ def inferred_limit(spark: SparkSession, d: str) -> DataFrame:
     """The lowest limit that an edge's passes suggest."""
     p = VIEWS["v_pass"](spark, d).join(VIEWS["v_edge"](spark, d), "edge_id")
     return p.groupBy("edge_id").agg(F.min(F.when(F.col("kind") == "error", F.col("limit_kmh") - 20).otherwise(F.col("limit_kmh"))).cast("int").alias("inferred"))
+
+
+_WAYS = "w0 AS (SELECT p_partkey AS way, p_partkey % 97 AS a, p_partkey * 7 % 97 AS b, p_brand AS key, p_size % 2 = 0 AS oneway, CASE WHEN p_size % 3 = 0 THEN CAST(p_size % 5 + 1 AS INTEGER) END AS lanes, false AS found FROM part)"
+
+
+def _lane_round(k: int) -> str:
+    known = f"(SELECT way, unnest([a, b]) AS node, key, oneway, lanes FROM w{k})"
+    return (
+        f"w{k + 1} AS (SELECT w.way, a, b, w.key, w.oneway, coalesce(w.lanes, n) AS lanes, found OR n IS NOT NULL AS found FROM w{k} w LEFT JOIN "
+        f"(SELECT x.way, min(y.lanes) AS n FROM {known} x JOIN {known} y ON x.node = y.node AND x.key = y.key AND x.oneway = y.oneway AND x.way <> y.way AND x.lanes IS NULL AND y.lanes IS NOT NULL GROUP BY 1) f ON f.way = w.way)"
+    )
+
+
+@query(f"WITH {_WAYS}, {', '.join(map(_lane_round, range(4)))} SELECT way, lanes FROM w4 WHERE found AND lanes >= CASE WHEN oneway THEN 2 ELSE 3 END")
+def lanes_from_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Lanes of ways without a count from ways joined to their ends, spreading along chains."""
+    from urbanspark.sources.views import table
+
+    key = F.col("p_partkey")
+    lanes = F.when(F.col("p_size") % 3 == 0, (F.col("p_size") % 5 + 1).cast("int"))
+    ways = table(spark, d, "part").select(key.alias("way"), (key % 97).alias("a"), (key * 7 % 97).alias("b"), F.col("p_brand").alias("key"), (F.col("p_size") % 2 == 0).alias("oneway"), lanes.alias("lanes"))
+    return inferred_lanes(ways)
+
+
+@query(
+    "WITH RECURSIVE e AS MATERIALIZED (SELECT edge_id AS edge, CAST(count(*) FILTER (kind = 'error') AS DOUBLE) AS loss, avg(kmh) / 400.0::DOUBLE AS share, any_value(length) AS length FROM v_pass JOIN v_edge USING (edge_id) GROUP BY 1), "
+    "before AS (SELECT edge AS here, unnest([(edge * 3 + 1) % 100, (edge * 7 + 2) % 100]) AS prev FROM e), options AS MATERIALIZED (SELECT here, prev, loss AS more, length AS step FROM before JOIN e ON edge = prev WHERE share < 0.5), "
+    "walk(start, here, lost, metres, seen) AS (SELECT edge, edge, loss, length, [edge] FROM e UNION ALL SELECT start, prev, lost + more, metres + step, list_append(seen, prev) FROM (SELECT w.*, o.prev, o.more, o.step FROM walk w JOIN options o ON o.here = w.here WHERE w.metres < 6000 AND NOT list_contains(w.seen, o.prev) "
+    "QUALIFY row_number() OVER (PARTITION BY w.start ORDER BY o.more DESC, o.prev) = 1)) SELECT start, max(lost) AS lost FROM walk GROUP BY 1"
+)
+def worst_approaches(spark: SparkSession, d: str) -> DataFrame:
+    """What is lost on the way upstream from each edge, always onto the slow edge that loses most."""
+    p = VIEWS["v_pass"](spark, d).join(VIEWS["v_edge"](spark, d), "edge_id")
+    edges = p.groupBy(F.col("edge_id").alias("edge")).agg(F.count_if(F.col("kind") == "error").cast("double").alias("loss"), (F.avg("kmh") / 400.0).alias("share"), F.any_value("length").alias("length"))
+    before = edges.select("edge", F.explode(F.array((F.col("edge") * 3 + 1) % 100, (F.col("edge") * 7 + 2) % 100)).alias("prev"))
+    return worst_approach(edges, before, edges.select("edge"), 6000.0, 0.5)
