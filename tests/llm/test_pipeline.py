@@ -36,3 +36,22 @@ def test_empty(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, DATA), name)
     assert docs.count() == 0
+
+
+def test_edge_rows(spark):
+    """Nulls, repeated rows, shared ids, extra columns; parts of a document stay or go together."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("text is not null and lang is not null").limit(60)
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").where("length(text) > 200").first().text
+    prose = docs.orderBy(F.desc("n_chars")).limit(2).collect()
+    rows = [(900_001, None, None, None, None), (900_002, "", "en", "s", 0), (900_003, " \n ", None, None, None)]
+    rows += [(900_004, prose[0].text, None, None, None)] * 2 + [(900_005, item, "en", None, None), (900_005, prose[1].text + " some other words at the end", None, "s", None), (None, prose[0].text, "en", "s", 5)]
+    odd = spark.createDataFrame(rows, docs.select(*corpus_pipeline.COLUMNS).schema)
+    docs = docs.select(*corpus_pipeline.COLUMNS).unionByName(odd).withColumns({"key": F.lit("x"), "rep": F.lit(1), "term": F.lit(2), "sequence_id": F.lit(3)})
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, DATA), name)
+        seen[name] = [r.doc_id for r in docs.select("doc_id").collect()]
+    assert not {900_001, 900_002, 900_003} & set(seen["language_id"])
+    assert 900_004 in seen["language_id"] and seen["near_duplicates"].count(900_004) in (0, 2)
+    assert 900_005 not in seen["decontaminate"]
+    assert set(seen["packing"]) == set(seen["decontaminate"])
