@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. Columns of documents: doc_id,
 text, lang, source, n_chars. run() writes each stage's result as Parquet to the shared folder and reads it back.
+
+doc_id names a document: rows that share one are parts of it, and near_duplicates and decontaminate keep or drop them
+together (a clean row goes with a bad one of its id; repeated rows stay together). A null doc_id is one such name for
+decontaminate, and never a duplicate. A null or blank text has no language and goes in the first stage; other columns may
+be null. Ties between near duplicates go to the smallest doc_id. Columns beyond those of documents are dropped, whatever
+their names. Texts are worked on whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
