@@ -2,10 +2,12 @@
 
 import random
 
+import brute
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
-from urbanspark.llm import quality, toxicity
+from urbanspark.llm import chat, quality, toxicity
 
 
 def prose(rng, n):
@@ -46,3 +48,13 @@ def test_toxicity_labels_that_contradict_each_other_teach_nothing(spark):
     without = [(i, y) for i, y in labels if i % 10 != 1]
     scores = lambda rows: {r.doc_id: round(r.score, 9) for r in toxicity.score(texts, toxicity.train(texts, frame(rows))).collect()}
     assert scores(doubled) == scores(without) == scores(doubled[::-1])
+
+
+def test_chats_empty_and_very_long(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    assert chat.read_chats(chat.format_chats(spark.createDataFrame([], schema))).count() == 0
+    long_text = "<turn> \\l ok\n" * 60_000
+    rows = [(1, 0, "user", long_text), (1, 1, "assistant", long_text + "end")] + [(2, k, "user" if k % 2 == 0 else "assistant", f"t{k}") for k in range(400)]
+    back = chat.read_chats(chat.format_chats(spark.createDataFrame(rows, schema)))
+    got = {r.conv_id: (r.n, r.t, len(r.loss), brute.sha(r.loss)) for r in back.select("conv_id", F.size("turns").alias("n"), chat.digest_turns(F.col("turns")).alias("t"), F.array_join("loss_texts", "").alias("loss")).collect()}
+    assert got == brute.chats(rows)

@@ -15,7 +15,7 @@ joins.
 Matches never cross documents; strings are judged on the input. Edge cases: null and empty texts have no bytes; texts
 shorter than LENGTH lose nothing. Repeated rows are copies of each other. Rows are told apart by key and text. Null keys
 are kept. Long texts are read whole, in overlapping stretches. An empty table gives an empty result. Other columns are
-not read.
+not read. Keys are whole numbers.
 """
 
 from __future__ import annotations
