@@ -46,7 +46,12 @@ def first_description(spark: SparkSession, d: str) -> DataFrame:
     return first_spec(VIEWS["v_pass"](spark, d).select("edge_id", spec.alias("spec")), ["edge_id"]).groupBy("edge_id", "spec").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE c AS MATERIALIZED (SELECT trip, seq, j, seq * 500.0::DOUBLE + stop * 10.0::DOUBLE + m AS pos, abs(m) AS cost FROM v_stop_time, (VALUES (1, -300.0::DOUBLE), (2, 0.0::DOUBLE), (3, 250.0::DOUBLE)) s(j, m)), "
+    "best(trip, seq, j, pos, total, path) AS (SELECT trip, seq, j, pos, cost, [pos] FROM c WHERE seq = 1 UNION ALL SELECT n.trip, n.seq, n.j, n.pos, n.pos - b.pos + b.total + n.cost, list_append(b.path, n.pos) FROM best b JOIN c n ON n.trip = b.trip AND n.seq = b.seq + 1 AND n.pos >= b.pos "
+    "QUALIFY row_number() OVER (PARTITION BY n.trip, n.seq, n.j ORDER BY n.pos - b.pos + b.total, b.j) = 1), "
+    "ends AS (SELECT trip, path FROM best QUALIFY row_number() OVER (PARTITION BY trip ORDER BY seq DESC, total, j) = 1) SELECT trip, CAST(k AS INTEGER) AS seq, path[k] AS position FROM ends, unnest(range(1, len(path) + 1)) AS t(k)"
+)
 def stops_along_shape(spark: SparkSession, d: str) -> DataFrame:
     """Each trip's stops placed along its shape in order, at least cost."""
     s = VIEWS["v_stop_time"](spark, d)
