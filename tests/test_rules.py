@@ -121,3 +121,13 @@ def test_readers_and_writers(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).first() == ("1", "a,b")
     tables.write_layer(spark.range(48).withColumn("hour", F.col("id") % 24), str(tmp_path / "hours"), ["id"], ["hour"])
     assert spark.read.parquet(str(tmp_path / "hours")).where("hour = 3").count() == 2 and (tmp_path / "hours" / "hour=3").exists()
+
+
+def test_permission_lists(spark):
+    mask = lambda *lists: spark.range(1).select(rules.permission_mask(*[F.lit(x).cast("string") for x in lists])).first()[0]
+    bit = {name: b for name, (b, _) in rules.CLASSES.items()}
+    assert mask(None, None) == sum(bit.values())
+    assert mask("tram", None) == bit["tram"] and mask("", None) == 0 and mask("unknown  coach", "bus") == bit["bus"]
+    no_rail = mask(None, "tram rail_urban rail rail_electric rail_fast subway pedestrian")
+    assert no_rail == sum(bit.values()) - bit["tram"] - bit["rail"] - bit["pedestrian"]
+    assert mask(None, "coach") & bit["bus"] and not mask(None, "coach bus") & bit["bus"]

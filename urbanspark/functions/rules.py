@@ -29,12 +29,29 @@ def road_class(limit_kmh: Column) -> Column:
     return F.when(limit_kmh >= 100, "motorway").when(limit_kmh >= 80, "state").when(limit_kmh >= 50, "main").otherwise("local")
 
 
-def permission_mask(flags: Column, bits: dict[str, int]) -> Column:
-    """Bit set of the named flags."""
-    mask = F.lit(0)
-    for name, bit in bits.items():
-        mask = F.when(flags == name, bit).otherwise(mask)
-    return mask
+#: vehicle class -> its bit, and the finer classes it stands for; fixed values
+CLASSES = {
+    "passenger": (1, ("passenger", "private", "evehicle", "motorcycle", "moped", "vip", "hov", "army")),
+    "bus": (2, ("bus", "coach")),
+    "tram": (4, ("tram",)),
+    "truck": (8, ("truck", "trailer")),
+    "rail": (16, ("rail", "rail_urban", "rail_electric", "rail_fast", "subway")),
+    "bicycle": (32, ("bicycle",)),
+    "pedestrian": (64, ("pedestrian",)),
+    "delivery": (128, ("delivery",)),
+    "taxi": (256, ("taxi",)),
+    "emergency": (512, ("authority", "emergency")),
+}
+
+
+def permission_mask(allow: Column, disallow: Column, classes: dict[str, tuple[int, tuple[str, ...]]] = CLASSES) -> Column:
+    """Bits of the classes that a lane lets in, of which a finer one at least is left: those that allow lists, else all but
+    those that disallow lists (blank-separated; NULL: no list, and an empty allow list lets none in)."""
+    bits = {fine: bit for bit, members in classes.values() for fine in members}
+    every = F.array(*map(F.lit, bits))
+    left = F.when(allow.isNotNull(), F.array_intersect(every, F.split(allow, "\\s+"))).when(disallow.isNotNull(), F.array_except(every, F.split(disallow, "\\s+"))).otherwise(every)
+    known = F.create_map(*(F.lit(x) for pair in bits.items() for x in pair))
+    return F.aggregate(left, F.lit(0), lambda mask, fine: mask.bitwiseOR(known[fine]))
 
 
 def valid_at(start: Column, end: Column, now: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from urbanspark.functions.rules import first_rule, permission_mask, valid_at, wanted_way
+from urbanspark.functions.rules import CLASSES, first_rule, permission_mask, valid_at, wanted_way
 from urbanspark.functions.text import clock_seconds, cluster_id, fold, junction_of, lat_lon_points, metres, normal_name, road_refs, shape_points, street_key, title_case, tonnes, word_set
 from urbanspark.registry import query
 from urbanspark.sources.tables import latest, pack_deltas, terrain_height, unpack_deltas
@@ -71,11 +71,19 @@ def planned_use(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), first_rule(F.col("p_type"), rules, "other").alias("land"))
 
 
-@query("SELECT edge_id, CAST(bit_or(CASE kind WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 4 WHEN 'error' THEN 8 ELSE 0 END) AS INTEGER) AS allowed, bool_or(kind = 'error') AS signals FROM v_pass GROUP BY 1")
+_FINE = [(fine, bit) for bit, members in CLASSES.values() for fine in members]
+
+
+@query(
+    "WITH fine(k, name, bit) AS (VALUES " + ", ".join(f"({k}, '{fine}', {bit})" for k, (fine, bit) in enumerate(_FINE)) + ") "
+    "SELECT p_partkey AS id, CAST(coalesce(bit_or(bit) FILTER (CASE p_size % 3 WHEN 0 THEN (p_partkey >> (k % 9)) & 1 = 1 WHEN 1 THEN (p_partkey >> (k % 9)) & 1 = 0 ELSE true END), 0) AS INTEGER) AS allowed FROM part, fine GROUP BY 1"
+)
 def permission_masks(spark: SparkSession, d: str) -> DataFrame:
-    """Bit sets of what uses an edge."""
-    mask = permission_mask(F.col("kind"), {"view": 1, "click": 2, "purchase": 4, "error": 8})
-    return VIEWS["v_pass"](spark, d).groupBy("edge_id").agg(F.bit_or(mask).alias("allowed"), F.bool_or(F.col("kind") == "error").alias("signals"))
+    """Class bits of lanes with a list of who may use them, of who may not, or none."""
+    listed = F.array(*(F.when(F.col("p_partkey").bitwiseAND(1 << k % 9) != 0, fine) for k, (fine, _) in enumerate(_FINE)))
+    names = F.array_join(F.array_compact(listed), " ")
+    lists = [F.when(F.col("p_size") % 3 == kind, names) for kind in (0, 1)]
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), permission_mask(*lists).alias("allowed"))
 
 
 @query("SELECT o_orderkey AS id FROM orders WHERE (o_orderstatus = 'O' OR o_orderdate <= TIMESTAMP '1995-06-01') AND (o_orderstatus = 'F' OR TIMESTAMP '1995-06-01' <= o_orderdate + INTERVAL 90 DAY)")
