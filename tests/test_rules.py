@@ -131,3 +131,10 @@ def test_permission_lists(spark):
     no_rail = mask(None, "tram rail_urban rail rail_electric rail_fast subway pedestrian")
     assert no_rail == sum(bit.values()) - bit["tram"] - bit["rail"] - bit["pedestrian"]
     assert mask(None, "coach") & bit["bus"] and not mask(None, "coach bus") & bit["bus"]
+
+
+def test_projection_and_back(spark):
+    places = spark.range(400).select((13.5 + F.col("id") % 20 * 0.3).alias("lon"), (42.0 + F.floor(F.col("id") / 20) * 0.25).alias("lat"))
+    lon, lat = formulas.degrees_of(*formulas.transverse_mercator(F.col("lon"), F.col("lat")))
+    worst = places.select(F.max(F.abs(lon - F.col("lon"))).alias("lon"), F.max(F.abs(lat - F.col("lat"))).alias("lat")).first()
+    assert worst.lon < 1e-6 and worst.lat < 1e-6

@@ -81,10 +81,13 @@ def lot_zones(spark: SparkSession, d: str) -> DataFrame:
 _TM = "SELECT id, lat * pi() / 180 AS phi, (lon - 16.5) * pi() / 180 * cos(lat * pi() / 180) AS a, 0.006694380022900788::DOUBLE AS e, 0.006739496775478857::DOUBLE AS ep FROM (SELECT id, 45.8 + z / 111320.0 AS lat, 16 + x / 77600.0 AS lon FROM v_point)"
 
 
-@query(
-    f"SELECT id, round(500000 + 0.9999 * n * (a + (1 - t + c) * a ** 3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * a ** 5 / 120), 3) AS east, round(0.9999 * (m + n * tan(phi) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * a ** 4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * a ** 6 / 720)), 3) AS north "
+PROJECTED = (
+    f"SELECT id, 500000 + 0.9999 * n * (a + (1 - t + c) * a ** 3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * a ** 5 / 120) AS east, 0.9999 * (m + n * tan(phi) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * a ** 4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * a ** 6 / 720)) AS north "
     f"FROM (SELECT *, 6378137 / sqrt(1 - e * sin(phi) ** 2) AS n, tan(phi) ** 2 AS t, ep * cos(phi) ** 2 AS c, 6378137 * ((1 - e / 4 - 3 * e * e / 64 - 5 * e * e * e / 256) * phi - (3 * e / 8 + 3 * e * e / 32 + 45 * e * e * e / 1024) * sin(2 * phi) + (15 * e * e / 256 + 45 * e * e * e / 1024) * sin(4 * phi) - 35 * e * e * e / 3072 * sin(6 * phi)) AS m FROM ({_TM}))"
 )
+
+
+@query(f"SELECT id, round(east, 3) AS east, round(north, 3) AS north FROM ({PROJECTED})")
 def projected_points(spark: SparkSession, d: str) -> DataFrame:
     """Degrees to easting and northing."""
     east, north = transverse_mercator(16 + F.col("x") / 77_600.0, 45.8 + F.col("z") / 111_320.0)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from urbanspark.functions.formulas import degrees_of, transverse_mercator
+from urbanspark.functions.formulas import GRS80_A, GRS80_F, degrees_of, transverse_mercator
 from urbanspark.operators.growth import grown
 from urbanspark.operators.matching import back_trace, first_spec, greedy_pairs, independent, viterbi
 from urbanspark.operators.spatial import within
+from urbanspark.plans.measures import PROJECTED
 from urbanspark.registry import query
 from urbanspark.sources.views import VIEWS, table
 
@@ -120,7 +121,17 @@ def od_imbalance(spark: SparkSession, d: str) -> DataFrame:
     return od.join(back, ["o_zone", "d_zone"]).where("o_zone < d_zone").select("o_zone", "d_zone", F.round(F.col("trips") - F.col("back"), 4).alias("imbalance"))
 
 
-@query("SELECT id, round(45.8 + z / 111320.0, 8) AS lat, round(16 + x / 77600.0, 8) AS lon FROM v_point")
+_N = GRS80_F / (2 - GRS80_F)
+_BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
+_DELTA = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
+_RADIUS = 0.9999 * GRS80_A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+
+
+@query(
+    f"WITH p AS (SELECT id, north / {_RADIUS!r}::DOUBLE AS u, (east - 500000) / {_RADIUS!r}::DOUBLE AS v FROM ({PROJECTED})), "
+    "q AS (SELECT id, u - " + " - ".join(f"{b!r}::DOUBLE * sin({2 * j} * u) * cosh({2 * j} * v)" for j, b in enumerate(_BETA, 1)) + " AS u, v - " + " - ".join(f"{b!r}::DOUBLE * cos({2 * j} * u) * sinh({2 * j} * v)" for j, b in enumerate(_BETA, 1)) + " AS v FROM p), "
+    "c AS (SELECT id, asin(sin(u) / cosh(v)) AS chi, atan2(sinh(v), cos(u)) AS off FROM q) SELECT id, round(degrees(chi + " + " + ".join(f"{c!r}::DOUBLE * sin({2 * j} * chi)" for j, c in enumerate(_DELTA, 1)) + "), 8) AS lat, round(16.5 + degrees(off), 8) AS lon FROM c"
+)
 def scene_to_degrees(spark: SparkSession, d: str) -> DataFrame:
     """Degrees to easting and northing, and back to degrees."""
     p = VIEWS["v_point"](spark, d)
