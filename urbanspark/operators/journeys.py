@@ -20,8 +20,9 @@ def search(arcs: DataFrame, starts: DataFrame, most: float = float("inf")) -> Da
 
     arcs: src, dst, cost, plain (never negative); starts: source, node, cost, plain. Each round carries on only the labels
     that the last one improved, the smallest prev of equal ones; a label changes only for a better one, so rounds end and
-    prev never runs in a circle.
+    prev never runs in a circle. The arcs are written once, so that no round works them out again.
     """
+    arcs = stored(arcs.select("src", "dst", "cost", "plain"), "arcs")
     first = starts.groupBy("source", "node").agg(F.min(F.struct("cost", "plain")).alias("l")).select("source", "node", "l.*")
     best = stored(first.select("*", F.lit(None).cast(arcs.schema["src"].dataType).alias("prev"), F.lit(True).alias("better")), "labels")
     a = arcs.select("src", "dst", F.col("cost").alias("w"), F.col("plain").alias("p"))
@@ -35,6 +36,7 @@ def search(arcs: DataFrame, starts: DataFrame, most: float = float("inf")) -> Da
         discard(best)
         best = new
         if best.where("better").isEmpty():
+            discard(arcs)
             return best.drop("better")
 
 
@@ -94,7 +96,7 @@ def between_fractions(pairs: DataFrame, edges: DataFrame, links: DataFrame) -> D
     place passed already, around by the shortest circle.
     """
     time = edges.select("edge", "time")
-    arcs = links.join(time.withColumnRenamed("edge", "b"), "b").select(F.col("a").alias("src"), F.col("b").alias("dst"), (F.col("via") + F.col("time")).alias("cost"), F.lit(0.0).alias("plain"))
+    arcs = stored(links.join(time.withColumnRenamed("edge", "b"), "b").select(F.col("a").alias("src"), F.col("b").alias("dst"), (F.col("via") + F.col("time")).alias("cost"), F.lit(0.0).alias("plain")), "links")
     away = pairs.where("a <> b or fb < fa").select(F.col("a").alias("source")).distinct()
     # the first link is taken before the search, so that the label of the source itself is its shortest circle
     starts = away.join(arcs, F.col("source") == F.col("src")).select("source", F.col("dst").alias("node"), "cost", "plain")

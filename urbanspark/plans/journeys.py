@@ -11,6 +11,7 @@ from urbanspark.operators.journeys import boardings, journeys, search
 from urbanspark.operators.spatial import within
 from urbanspark.plans.timetable import ride_arcs
 from urbanspark.registry import query
+from urbanspark.sources.tables import stored
 from urbanspark.sources.views import VIEWS
 
 # Fixed values of walking, waiting and driving (seconds, metres, metres a second).
@@ -41,7 +42,7 @@ def _stops(spark: SparkSession, d: str) -> DataFrame:
 def timetable_graph(spark: SparkSession, d: str) -> DataFrame:
     """kind, route, src, dst, plain, cost: rides between a line's calls, boarding (half the headway, weighed double, and the
     boarding itself), alighting, walks between stops near each other."""
-    rides = ride_arcs(spark, d)
+    rides = stored(ride_arcs(spark, d), "rides")
     at = lambda stop: F.concat(F.col("route"), F.lit(":"), F.col(stop).cast("string"))
     place = lambda stop: F.concat(F.lit("s:"), F.col(stop).cast("string"))
     arc = lambda df, kind, route, a, b, plain, cost: df.select(F.lit(kind).alias("kind"), route.alias("route"), a.alias("src"), b.alias("dst"), F.round(plain, 4).alias("plain"), F.round(cost, 4).alias("cost"))
@@ -79,7 +80,7 @@ _SEARCH = (
 
 def _labels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The graph, the walks between zones and stops, the labels from all zones."""
-    graph = timetable_graph(spark, d)
+    graph = stored(timetable_graph(spark, d), "graph")
     zones = VIEWS["v_zone"](spark, d).select(F.col("zone").alias("id"), "x", "z")
     walk = _walk(F.col("dist"))
     legs = within(zones, _stops(spark, d), ACCESS).select(F.col("l_id").alias("place"), F.concat(F.lit("s:"), F.col("r_id").cast("string")).alias("node"), walk.alias("plain"), (WALK_WEIGHT * walk).alias("cost"))

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from urbanspark.functions.formulas import arc_cost
 from urbanspark.operators.graph import components, inferred_lanes, relax, routing_arcs, worst_approach
 from urbanspark.registry import query
+from urbanspark.sources.tables import stored
 from urbanspark.sources.views import VIEWS
 
 _REACH = "WITH RECURSIVE walk(source, node, cost, hops) AS (SELECT DISTINCT src, src, CAST(0 AS DOUBLE), 0 FROM v_arc UNION SELECT w.source, a.dst, w.cost + a.cost, w.hops + 1 FROM walk w JOIN v_arc a ON a.src = w.node WHERE w.hops < 12 AND w.cost + a.cost <= 6000)"
 
 
 def _arcs(spark: SparkSession, d: str) -> DataFrame:
-    return VIEWS["v_arc"](spark, d).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "cost")
+    """Arcs between zones, written once for the starts and the search."""
+    return stored(VIEWS["v_arc"](spark, d).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "cost"), "arcs")
 
 
 def _reached(spark: SparkSession, d: str) -> DataFrame:
