@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from urbanspark.operators import graph, spatial
 from urbanspark.operators import journeys as J
 
 
@@ -21,3 +22,35 @@ def test_search_reads_its_arcs_once(spark):
     starts = spark.createDataFrame([(0, 0, 0.0, 0.0)], "source long, node long, cost double, plain double")
     assert {r.node: r.cost for r in J.search(arcs, starts).collect()} == {k: float(k) for k in range(7)}
     assert read.value == 6
+
+
+def places(n, seed, wide=400.0):
+    rng = random.Random(seed)
+    return [(k, rng.choice("ab"), rng.choice(["", "", "n1", "n2"]), rng.gauss(0, wide), rng.gauss(0, wide)) for k in range(n)]
+
+
+@pytest.mark.parametrize("n, wide", [(150, 400.0), (600, 60.0)])
+def test_clusters_as_brute_force(spark, n, wide):
+    rows = [(k, x, z) for k, _, _, x, z in places(n, n, wide)] + [(9000 + k, 5000.0 + 70 * k, 0.0) for k in range(9)] + [(9100, 9000.0, 0.0), (9101, 9000.0, 0.0)]
+    got = {r.node: r.component for r in spatial.clusters(spark.createDataFrame(rows, "id long, x double, z double"), 70.0).collect()}
+    label = {}
+    for i, _, _ in rows:
+        if i in label:
+            continue
+        seen, todo = {i}, [i]
+        while todo:
+            a = rows[[r[0] for r in rows].index(todo.pop())]
+            for b in rows:
+                if b[0] not in seen and (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 <= 4900:
+                    seen.add(b[0])
+                    todo.append(b[0])
+        label.update(dict.fromkeys(seen, min(seen) if len(seen) > 1 else None))
+    assert got == {k: v for k, v in label.items() if v is not None}
+
+
+def test_long_chain_is_one_component(spark):
+    """A chain in shuffled names: rounds grow with its logarithm, and plans of earlier rounds don't pile up."""
+    names = list(range(300))
+    random.Random(1).shuffle(names)
+    edges = spark.createDataFrame(list(zip(names, names[1:], strict=False)), "a long, b long")
+    assert {(r.node, r.component) for r in graph.components(edges).collect()} == {(k, 0) for k in range(300)}

@@ -24,19 +24,28 @@ def fastest_paths(arcs: DataFrame, queries: DataFrame, most: float = float("inf"
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component: the least node reachable along edges (a, b), by minimum labels with pointer jumping."""
-    from urbanspark.sources.tables import checkpointed
+    """node, component: the least node reachable along edges (a, b), by large and small stars in turn.
+
+    Each round is written and read back: plans of earlier rounds would pile up in the driver.
+    """
+    from urbanspark.sources.tables import discard, stored
 
-    both = checkpointed(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct())
-    labels = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("component")))
+    ends = stored(edges.select("a", "b").distinct(), "edges")
+    e = stored(ends.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
     while True:
-        near = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
-        low = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        up = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        new = checkpointed(low.join(up, "component", "left").select("node", "old", F.least(F.col("component"), F.col("up")).alias("component")))
-        labels = new.drop("old")
-        if new.where("component < old").isEmpty():
-            return labels
+        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stored(large, "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+        new = stored(small.distinct(), "stars")
+        discard(e, large)
+        e = new
+        open_ = e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u").unionAll(e.select("u").join(e.select(F.col("v").alias("u")), "u", "left_semi"))
+        if open_.isEmpty():
+            nodes = ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct()
+            return nodes.join(e.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
 
 
 def routing_arcs(links: DataFrame) -> DataFrame:
@@ -86,6 +95,12 @@ def inferred_lanes(ways: DataFrame, rounds: int = 4) -> DataFrame:
     for _ in range(rounds):
         ends = w.select("way", F.explode(F.array("a", "b")).alias("node"), "key", "oneway", "lanes")
         known = ends.where("lanes is not null").select(F.col("way").alias("other"), "node", "key", "oneway", F.col("lanes").alias("n"))
-        new = ends.where("lanes is null and key is not null").join(known, ["node", "key", "oneway"]).where("way <> other").groupBy("way").agg(F.min("n").alias("n"))
+        # fewest lanes of any way at an end, and of any but that one: no pair of ways is made
+        at = ["node", "key", "oneway"]
+        least = known.groupBy(*at).agg(F.min(F.struct("n", "other")).alias("b")).select(*at, "b.*")
+        others = known.join(least.select(*at, F.col("other").alias("mine")), at).where("other <> mine").groupBy(*at).agg(F.min("n").alias("second"))
+        both = checkpointed(least.join(others, at, "left"))
+        met = ends.where("lanes is null and key is not null").join(both, at)
+        new = met.groupBy("way").agg(F.min(F.when(F.col("way") == F.col("other"), F.col("second")).otherwise(F.col("n"))).alias("n"))
         w = checkpointed(w.join(new, "way", "left").select("way", "a", "b", "key", "oneway", F.coalesce("lanes", "n").alias("lanes"), (F.col("found") | F.col("n").isNotNull()).alias("found")))
     return w.where("found and lanes >= case when oneway then 2 else 3 end").select("way", "lanes")

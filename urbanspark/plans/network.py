@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanspark.functions.formulas import arc_cost
-from urbanspark.operators.graph import components, inferred_lanes, relax, routing_arcs, worst_approach
+from urbanspark.operators.graph import inferred_lanes, relax, routing_arcs, worst_approach
+from urbanspark.operators.spatial import clusters
 from urbanspark.registry import query
 from urbanspark.sources.tables import stored
 from urbanspark.sources.views import VIEWS
@@ -69,11 +70,7 @@ def routing_graph(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH RECURSIVE e AS (SELECT a.id AS a, b.id AS b FROM v_point a JOIN v_point b ON a.id <> b.id AND pow(a.x - b.x, 2) + pow(a.z - b.z, 2) <= 4900), walk(node, other) AS (SELECT a, a FROM e UNION SELECT w.node, e.b FROM walk w JOIN e ON e.a = w.other) SELECT node, min(other) AS component FROM walk GROUP BY 1")
 def point_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Connected components of points at most 70 m apart."""
-    from urbanspark.operators.spatial import within
-
-    p = VIEWS["v_point"](spark, d)
-    edges = within(p, p, 70.0).where("l_id <> r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
-    return components(edges)
+    return clusters(VIEWS["v_point"](spark, d), 70.0)
 
 
 @query("SELECT edge_id, round(length / (limit_kmh / 3.6) + length * 0.038 + CASE WHEN limit_kmh >= 100 THEN 225.0 ELSE 0 END, 6) AS cost FROM v_edge")
