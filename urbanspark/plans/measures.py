@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from urbanspark.functions.formulas import ARCHETYPES, VEHICLES, WEATHER, distance_to_edge, inside, roof_shape, segment_distance, sun_elevation, transverse_mercator
 from urbanspark.functions.rules import HEIGHTS, USES, ZONES, default_roof, estimated_height, planned_zone, storeys, use_shares
-from urbanspark.operators.spatial import cell, within
+from urbanspark.operators.spatial import cell, nearest
 from urbanspark.registry import query
+from urbanspark.sources.tables import stored
 from urbanspark.sources.views import VIEWS, table
 
 _KIND = "CASE p_size % 8 WHEN 0 THEN 'house' WHEN 1 THEN 'residential' WHEN 2 THEN 'commercial' WHEN 3 THEN 'industrial' WHEN 4 THEN 'civic' WHEN 5 THEN 'minor' WHEN 6 THEN 'religious' ELSE 'other' END"
@@ -140,10 +141,9 @@ def trips_passing(spark: SparkSession, d: str) -> DataFrame:
 def attach_in_tiers(spark: SparkSession, d: str) -> DataFrame:
     """The nearest local point within 100 m, else the nearest of all within 400 m."""
     p = VIEWS["v_point"](spark, d)
-    pairs = within(p.where("kind = 0"), p.where("kind in (1, 2)"), 400.0)
-    order = F.struct(F.round("dist", 6).alias("d"), F.col("r_id").alias("id"))
-    best = pairs.groupBy(F.col("l_id").alias("id")).agg(F.min(F.when((F.col("r_kind") == 1) & (F.col("dist") <= 100), order)).alias("local"), F.min(order).alias("any"))
-    return p.where("kind = 0").select("id").join(best, "id", "left").select("id", F.coalesce("local.id", "any.id").alias("edge"))
+    local = stored(nearest(p.where("kind = 0").select("id", "x", "z"), p.where("kind = 1"), 100.0), "local")
+    rest = nearest(local.where("nearest is null").select("id", "x", "z"), p.where("kind in (1, 2)"), 400.0)
+    return local.where("nearest is not null").unionAll(rest).select("id", F.col("nearest").alias("edge"))
 
 
 @query(
