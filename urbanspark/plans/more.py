@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from urbanspark.functions.formulas import GRS80_A, GRS80_F, degrees_of, transverse_mercator
 from urbanspark.operators.growth import grown
-from urbanspark.operators.matching import back_trace, first_spec, greedy_pairs, independent, viterbi
-from urbanspark.operators.spatial import within
+from urbanspark.operators.matching import back_trace, first_spec, greedy_pairs, viterbi
+from urbanspark.operators.spatial import spaced, within
 from urbanspark.plans.measures import PROJECTED
 from urbanspark.registry import query
 from urbanspark.sources.views import VIEWS, table
@@ -35,9 +35,7 @@ def greedy_matching(spark: SparkSession, d: str) -> DataFrame:
 )
 def conflict_elimination(spark: SparkSession, d: str) -> DataFrame:
     """Points that stay when of two within 150 m the one with the smaller rank wins."""
-    p = VIEWS["v_point"](spark, d)
-    edges = within(p, p, 150.0).where("l_id <> r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
-    return independent(edges, p.select("id", ((F.col("id") * 7919) % 1000).alias("rank")))
+    return spaced(VIEWS["v_point"](spark, d).withColumn("rank", (F.col("id") * 7919) % 1000), 150.0).select("id", "rank")
 
 
 @query("SELECT edge_id, spec, count(*) AS n FROM (SELECT *, min(spec) OVER (PARTITION BY edge_id) AS s FROM (SELECT edge_id, CASE WHEN kind = 'purchase' AND kmh > 300 THEN 1 WHEN kind = 'click' AND kmh > 300 THEN 2 ELSE 3 END AS spec FROM v_pass)) WHERE spec = s GROUP BY 1, 2")
