@@ -5,11 +5,13 @@ Lines are (line, points), points an array of structs x, z. Joins run over the sq
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urbanspark.functions.formulas import segment_distance
-from urbanspark.operators.spatial import cell
+from urbanspark.operators.spatial import cell, nearest
 
 _ENDS = ("ax", "az", "bx", "bz")
 
@@ -48,13 +50,27 @@ def _in_cells(segs: DataFrame, size: float, reach: float) -> DataFrame:
     return segs.withColumn("_c", F.explode(segment_cells(size, reach))).select("*", F.col("_c.cx").alias("_cx"), F.col("_c.cz").alias("_cz")).drop("_c")
 
 
+def nearest_segments(points: DataFrame, segs: DataFrame, cutoff: float, on: tuple[str, ...] = ()) -> DataFrame:
+    """id, x, z, dist and the nearest segment within cutoff, and of equal columns on, of each point (id, x, z): the smaller
+    line of equals, then the earlier segment.
+
+    Two passes over the pairs: the first keeps one number a point, the second those as near as that; neither sorts or
+    writes the pairs.
+    """
+    from urbanspark.sources.tables import stored
+
+    keyed = points.select("id", "x", "z", *on, cell(F.col("x"), cutoff).alias("_cx"), cell(F.col("z"), cutoff).alias("_cz"))
+    dist = segment_distance(*(F.col(c) for c in ("x", "z", *_ENDS)))
+    lean = keyed.join(_in_cells(segs.select(*_ENDS, *on), cutoff, cutoff), ["_cx", "_cz", *on]).select("id", dist.alias("dist"))
+    least = stored(lean.where(F.col("dist") <= cutoff).groupBy("id").agg(F.min("dist").alias("least")), "nearest")
+    near = keyed.join(least, "id").join(_in_cells(segs, cutoff, cutoff), ["_cx", "_cz", *on]).withColumn("dist", dist).where("dist = least")
+    return near.groupBy("id").agg(F.min(F.struct("dist", "line", "seq", "x", "z", *_ENDS, "start", "length")).alias("b")).select("id", "b.*")
+
+
 def project(points: DataFrame, segs: DataFrame, cutoff: float) -> DataFrame:
     """id, line, measure, offset, heading of each point (id, x, z) with a line within cutoff: the nearest one (the smaller
     line of equals, then the earlier segment), metres along it, metres to its left, and its direction atan2(dx, dz)."""
-    keyed = points.select("id", "x", "z", cell(F.col("x"), cutoff).alias("_cx"), cell(F.col("z"), cutoff).alias("_cz"))
-    near = keyed.join(_in_cells(segs, cutoff, cutoff), ["_cx", "_cz"])
-    near = near.withColumn("dist", segment_distance(*(F.col(c) for c in ("x", "z", *_ENDS)))).where(F.col("dist") <= cutoff)
-    best = near.groupBy("id").agg(F.min(F.struct("dist", "line", "seq", "x", "z", *_ENDS, "start", "length")).alias("b")).select("id", "b.*")
+    best = nearest_segments(points, segs, cutoff)
     dx, dz = F.col("bx") - F.col("ax"), F.col("bz") - F.col("az")
     along = ((F.col("x") - F.col("ax")) * dx + (F.col("z") - F.col("az")) * dz) / F.nullif(F.col("length"), F.lit(0.0))
     left = (F.col("x") - F.col("ax")) * dz - (F.col("z") - F.col("az")) * dx
@@ -75,6 +91,11 @@ def interpolate(at: DataFrame, segs: DataFrame, bucket: float = 250.0) -> DataFr
     return hit.select("id", "line", "measure", "offset", (F.col("ax") + f * dx + left * dz).alias("x"), (F.col("az") + f * dz - left * dx).alias("z"), F.atan2(dx, dz).alias("heading"))
 
 
+def _box_holds(p: Column, points: Column, reach: float) -> Column:
+    """Whether p can lie within reach of the line through points: a quick look before the exact one."""
+    return reduce(lambda a, b: a & b, [p[c].between(F.array_min(points[c]) - reach, F.array_max(points[c]) + reach) for c in "xz"])
+
+
 def match_drawn(lines: DataFrame, edges: DataFrame, distance: float = 20.0, stop: tuple[str, ...] = ("ulica", "cesta", "avenija", "trg")) -> DataFrame:
     """line, edge: the edges that a drawn line covers, all along, in its direction, on the street it names.
 
@@ -83,16 +104,18 @@ def match_drawn(lines: DataFrame, edges: DataFrame, distance: float = 20.0, stop
     line where that passes nearest to the chord's middle. Lines of one point cover nothing.
     """
     n = F.size("points")
-    spots = F.array_distinct(F.array(F.lit(0), F.floor(n / 2).cast("int"), n - 1))
-    ends = edges.where(n > 1).select("edge", "name", F.col("points")[0].alias("a"), F.element_at("points", -1).alias("b"), F.size(spots).alias("spots"), F.explode(F.transform(spots, lambda k: F.struct(k.alias("k"), F.get(F.col("points"), k).alias("p")))).alias("s"))
-    probes = ends.select("edge", "s.k", F.col("s.p.x").alias("x"), F.col("s.p.z").alias("z"))
+    ends = edges.where(n > 1).select("edge", _street(F.col("name"), stop).alias("name"), F.col("points")[0].alias("a"), F.element_at("points", -1).alias("b"), F.get("points", F.floor(n / 2).cast("int")).alias("middle"))
     size = 4 * distance
-    keyed = probes.withColumns({"_cx": cell(F.col("x"), size), "_cz": cell(F.col("z"), size)})
-    near = keyed.join(_in_cells(segments(lines.where(n > 1)), size, distance), ["_cx", "_cz"]).where(segment_distance(*(F.col(c) for c in ("x", "z", *_ENDS))) <= distance)
-    hits = near.groupBy("line", "edge").agg(F.count_distinct("k").alias("hits"))
-    chords = ends.select("edge", "name", "a", "b", "spots").distinct()
-    both = hits.join(chords, "edge").where("hits = spots").join(lines, "line")
-    both = both.where(F.contains(_street(F.col("name"), stop), _street(F.col("street"), stop)))
+    keyed = ends.withColumns({"_cx": cell(F.col("a.x"), size), "_cz": cell(F.col("a.z"), size)})
+    drawn = lines.where(n > 1).withColumn("street", _street(F.col("street"), stop))
+    parts = _in_cells(segments(drawn), size, distance).join(drawn, "line")
+    # a pair met at the edge's first point is judged where it is met: only what holds at all points is written
+    met = keyed.join(parts, ["_cx", "_cz"]).where(F.contains(F.col("name"), F.col("street")))
+    apart = lambda p: segment_distance(p["x"], p["z"], *(F.col(c) for c in _ENDS)) <= distance
+    pairs = F.zip_with(F.slice("points", 1, n - 1), F.slice("points", 2, n - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    reached = lambda p: F.exists(pairs, lambda s: segment_distance(p["x"], p["z"], s["p"]["x"], s["p"]["z"], s["q"]["x"], s["q"]["z"]) <= distance)
+    ahead = met.where(apart(F.col("a"))).where(_box_holds(F.col("b"), F.col("points"), distance) & _box_holds(F.col("middle"), F.col("points"), distance))
+    both = ahead.where(reached(F.col("b")) & reached(F.col("middle")))
     x, z, dx, dz = F.col("a.x") / 2 + F.col("b.x") / 2, F.col("a.z") / 2 + F.col("b.z") / 2, F.col("b.x") - F.col("a.x"), F.col("b.z") - F.col("a.z")
 
     def side(p: Column, q: Column) -> Column:
@@ -100,9 +123,9 @@ def match_drawn(lines: DataFrame, edges: DataFrame, distance: float = 20.0, stop
         return F.struct(segment_distance(x, z, p["x"], p["z"], q["x"], q["z"]).alias("d"), ((dx * (q["x"] - p["x"]) + dz * (q["z"] - p["z"])) / length).alias("along"))
 
     sides = F.zip_with(F.slice("points", 1, n - 1), F.slice("points", 2, n - 1), side)
-    nearest = F.aggregate(sides, F.struct(F.lit(float("inf")).alias("d"), F.lit(0.0).alias("along")), lambda best, s: F.when(s["d"] < best["d"], s).otherwise(best))
+    closest = F.aggregate(sides, F.struct(F.lit(float("inf")).alias("d"), F.lit(0.0).alias("along")), lambda best, s: F.when(s["d"] < best["d"], s).otherwise(best))
     chord = F.coalesce(F.nullif(F.hypot(dx, dz), F.lit(0.0)), F.lit(1.0))
-    return both.where(F.col("both_ways") | (nearest["along"] / chord >= 0.5)).select("line", "edge")
+    return both.where(F.col("both_ways") | (closest["along"] / chord >= 0.5)).select("line", "edge").distinct()
 
 
 def crossings(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
@@ -131,16 +154,20 @@ def assign_counts(gateways: DataFrame, sections: DataFrame, boundary: DataFrame,
     gateways: id, x, z, roads (array; a road may be a family such as 'A*'); sections: station, roads (array), points, daily;
     boundary: line, points (closed). The smaller station wins a tie.
     """
-    mine = gateways.select("id", F.col("x").alias("gx"), F.col("z").alias("gz"), F.explode("roads").alias("road"))
-    theirs = sections.select("station", F.explode("roads").alias("road"))
+    from urbanspark.sources.tables import stored
+
+    mine = gateways.select("id", "x", "z", F.explode("roads").alias("road")).distinct()
+    theirs = sections.select("station", F.explode("roads").alias("road")).distinct()
     edge, segs = segments(boundary), segments(sections.select(F.col("station").alias("line"), "points"))
-    pairs = mine.join(theirs, "road").select("id", "gx", "gz", "station").distinct()
-    cut = crossings(segs, edge, size).select(F.col("a").alias("station"), "x", "z")
-    gap = F.hypot(F.col("x") - F.col("gx"), F.col("z") - F.col("gz"))
-    first = pairs.join(cut, "station").withColumn("d", gap).where(F.col("d") <= crossing).groupBy("id").agg(F.min(F.struct("d", "station")).alias("first"))
-    leaving = interpolate(project(gateways.select("id", "x", "z"), edge, crossing).withColumn("offset", F.lit(0.0)), edge).select("id", "x", "z")
-    close = pairs.join(leaving, "id").join(segs.withColumnRenamed("line", "station"), "station").withColumn("d", segment_distance(*(F.col(c) for c in ("x", "z", *_ENDS))))
-    second = close.where(F.col("d") <= near).groupBy("id").agg(F.min(F.struct("d", "station")).alias("second"))
+    cut = crossings(segs, edge, size).select(F.col("a").alias("station"), "x", "z").join(theirs, "station")
+    # the nearest cut of a road by cells, as a road may have many gateways and sections
+    cuts = nearest(mine, cut.withColumnRenamed("station", "id"), crossing, on=("road",), digits=None)
+    first = stored(cuts.where("nearest is not null").groupBy("id").agg(F.min(F.struct(F.col("dist").alias("d"), F.col("nearest").alias("station"))).alias("first")), "crossed")
+    others = stored(gateways.join(first, "id", "left_anti").select("id", "x", "z", "roads"), "others")
+    leaving = interpolate(project(others, edge, crossing).withColumn("offset", F.lit(0.0)), edge).select("id", "x", "z")
+    led = leaving.join(others.select("id", F.explode("roads").alias("road")).distinct(), "id")
+    close = nearest_segments(led, segs.join(theirs.withColumnRenamed("station", "line"), "line"), near, ("road",))
+    second = close.groupBy("id").agg(F.min(F.struct(F.col("dist").alias("d"), F.col("line").alias("station"))).alias("second"))
     best = gateways.select("id").join(first, "id", "left").join(second, "id", "left")
     chosen = F.coalesce("first", "second")
     best = best.select("id", chosen["station"].alias("station"), F.when(F.col("first").isNotNull(), 1).when(F.col("second").isNotNull(), 2).alias("tier"), chosen["d"].alias("dist"))
