@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -106,10 +107,11 @@ def back_trace(previous: DataFrame, starts: DataFrame | None = None) -> DataFram
     first = previous if starts is None else previous.join(starts.select("node").distinct(), "node", "left_semi")
     paths = checkpointed(first.select(F.col("node").alias("start"), F.array("node").alias("path"), F.col("prev").alias("at")))
     step = previous.select(F.col("node").alias("at"), F.col("prev").alias("up"))
-    done = paths.where("at is null").select("start", "path")
+    # the paths that end in a round stay where it wrote them
+    done = [paths.where("at is null").select("start", "path")]
     while True:
         paths = paths.where("at is not null and not array_contains(path, at)")
         if paths.isEmpty():
-            return done
+            return reduce(DataFrame.unionAll, done)
         paths = checkpointed(paths.join(step, "at", "left").select("start", F.concat("path", F.array("at")).alias("path"), F.col("up").alias("at")))
-        done = checkpointed(done.unionByName(paths.where("at is null or array_contains(path, at)").select("start", "path")))
+        done.append(paths.where("at is null or array_contains(path, at)").select("start", "path"))
