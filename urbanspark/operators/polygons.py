@@ -50,14 +50,21 @@ def shared_area(a: Column, b: Column) -> Column:
     return F.greatest((_border_inside(a, b, True) + _border_inside(b, a, False)) / 2, F.lit(0.0))
 
 
-def overlaps(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
-    """a, b, shared, area_a, area_b of each pair of convex polygons (id, ring) that share an area, met in the cells of size that
-    their bounding boxes cover; a pair counts once, in the first cell that both cover."""
+def overlaps(left: DataFrame, right: DataFrame, size: float, least: float = 0.0, once: bool = False) -> DataFrame:
+    """a, b, shared, area_a, area_b of each pair of convex polygons (id, ring) that share an area, least of the smaller one's at
+    least, met in the cells of size that their bounding boxes cover; a pair counts once, in the first cell that both cover.
+
+    once: of a pair met both ways round, only a < b. Pairs whose boxes share too little are never cut exactly.
+    """
 
     def spread(df: DataFrame, name: str) -> DataFrame:
         ends = [f(F.col(f"ring.{c}")) for c in "xz" for f in (F.array_min, F.array_max)]
-        boxed = df.select(F.col("id").alias(name), turned_left(F.col("ring")).alias(f"ring_{name}"), shoelace(F.col("ring")).alias(f"area_{name}"), *[cell(e, size).alias(f"{k}_{name}") for e, k in zip(ends, ("x0", "x1", "z0", "z1"), strict=True)])
+        boxed = df.select(F.col("id").alias(name), *[e.alias(f"{k}_{name}") for e, k in zip(ends, ("w0", "w1", "h0", "h1"), strict=True)], turned_left(F.col("ring")).alias(f"ring_{name}"), shoelace(F.col("ring")).alias(f"area_{name}"), *[cell(e, size).alias(f"{k}_{name}") for e, k in zip(ends, ("x0", "x1", "z0", "z1"), strict=True)])
         return boxed.withColumn("_cx", F.explode(F.sequence(f"x0_{name}", f"x1_{name}"))).withColumn("_cz", F.explode(F.sequence(f"z0_{name}", f"z1_{name}")))
 
     met = spread(left, "a").join(spread(right, "b"), ["_cx", "_cz"]).where((F.col("_cx") == F.greatest("x0_a", "x0_b")) & (F.col("_cz") == F.greatest("z0_a", "z0_b")))
-    return met.withColumn("shared", shared_area(F.col("ring_a"), F.col("ring_b"))).where("shared > 0").select("a", "b", "shared", "area_a", "area_b")
+    lap = lambda c: F.least(f"{c}1_a", f"{c}1_b") - F.greatest(f"{c}0_a", f"{c}0_b")
+    smaller = F.least("area_a", "area_b")
+    met = met.where((F.col("a") < F.col("b")) if once else F.lit(True)).where((lap("w") > 0) & (lap("h") > 0) & (lap("w") * lap("h") >= (least - 1e-6) * smaller))
+    found = met.withColumn("shared", shared_area(F.col("ring_a"), F.col("ring_b"))).where("shared > 0")
+    return found.where(F.col("shared") >= least * smaller).select("a", "b", "shared", "area_a", "area_b")

@@ -99,7 +99,7 @@ def polygon_overlaps(spark: SparkSession, d: str) -> DataFrame:
     corner = lambda s, t: F.struct((F.col("x") + s * w * F.cos(a) - t * h * F.sin(a)).alias("x"), (F.col("z") + s * w * F.sin(a) + t * h * F.cos(a)).alias("z"))
     rects = p.select("id", F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1)).alias("ring"))
     share = F.col("shared") / F.least("area_a", "area_b")
-    return overlaps(rects, rects, 320.0).where((F.col("a") < F.col("b")) & (share >= 0.3)).select("a", "b", F.round(share, 5).alias("share"))
+    return overlaps(rects, rects, 320.0, 0.3, once=True).select("a", "b", F.round(share, 5).alias("share"))
 
 
 _TRACKS = (
