@@ -16,7 +16,7 @@ from functools import cache
 import numpy as np
 
 #: words kept by one Python worker
-CACHE_WORDS = 1_400_000
+CACHE_WORDS = 700_000
 _ODD_ASCII = ("  ", " \n", "\n ", "\n\n", "<|", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
 _ODD = tuple(chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))
 _PART_CHARS = 1 << 18
