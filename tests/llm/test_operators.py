@@ -79,6 +79,28 @@ def test_near_duplicate_open_pairs(spark):
     assert got == brute.near_groups(rows)
 
 
+def test_near_duplicate_pairs_grow_with_the_rows(spark, monkeypatch):
+    """Copies of a text whose smallest and largest ids are odd ones: the central copy links them, not pairs of them."""
+    rng = random.Random(11)
+    base = words(rng, 200).split(" ")
+    rows = [(50, " ".join(base))]
+    for i in [*range(40), *range(60, 100)]:
+        w = list(base)
+        for p in rng.sample(range(200), 4):
+            w[p] = words(rng, 1)
+        rows.append((i, " ".join(w)))
+    made, stored = {}, minhash.stored
+
+    def counted(df, name):
+        made[name] = (out := stored(df, name)).count()
+        return out
+
+    monkeypatch.setattr(minhash, "stored", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(table(spark, rows)).collect()}
+    assert got == brute.near_groups(rows)
+    assert made["pairs"] + made["met"] <= 2 * len(rows)
+
+
 def test_repeated_bytes(spark, corpus):
     out = suffix_dedup.remove_repeats(table(spark, corpus)).select("doc_id", "n_bytes", "spans", F.sha2("kept_bytes", 256).alias("sha")).collect()
     got = {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), r.sha) for r in out}

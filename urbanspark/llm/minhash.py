@@ -4,10 +4,10 @@ Two small collections of HALVES half keys, each made of ROWS minhashes, are comp
 pair of half keys, one from each collection, so 2 x HALVES x ROWS minhashes serve HALVES^2 tables of 2 x ROWS rows.
 Documents with the same shingle set form a class and go on as one. Half keys that nobody shares drop out before any pair
 of half keys is formed. Buckets with the same members are kept once. In each bucket every class is first compared with
-the bucket's smallest one; members that this leaves in different components are then compared with each other, but for
-pairs whose parts in and outside a common pivot keep them below the threshold. So no bucket is capped, and no pairs are made where all
-members are linked already. Links are confirmed by intersecting full sets, components come
-from repeated minimum labels with pointer jumping, all on tables in the shared folder.
+the bucket's smallest one, then what is left apart with the most central one; members still in different components are
+compared with each other, but for pairs whose parts in and outside a common pivot keep them below the threshold. So no
+bucket is capped, and no pairs are made where all members are linked already. Links are confirmed by intersecting full
+sets, components come from repeated minimum labels with pointer jumping, all on tables in the shared folder.
 
 A pair at similarity s meets in no table with probability 1 - (1 - (1 - s^ROWS)^HALVES)^2: 1e-4 at 0.75.
 
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bit_filter, stored
@@ -121,11 +121,34 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(both.where(100 * shared >= SIMILARITY * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "links")
 
 
-def _open_pairs(labelled: DataFrame, sets: DataFrame) -> DataFrame:
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members with label, their component by links."""
+    found = components(links)
+    labelled = members.join(found.select(F.col("node").alias("rep"), "label"), "rep", "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
+    return stored(labelled, "members")
+
+
+def _open_members(labelled: DataFrame, classes: DataFrame) -> DataFrame:
+    """pivot, rep, label, n, centre, at of the members of buckets with several components; pivot: the label of the bucket's
+    largest, at: the centre's.
+
+    centre is the member that has the half keys most of the pivot's members have. It differs least from the others, so they
+    share least outside it: one with edits of its own would leave outside, in every other member, what it has lost.
+    """
+    labels = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = labels.groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("pivot"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
+    members = stored(labelled.join(main, "bucket").select("pivot", "rep", "label", "n").distinct(), "open-members")
+    held = stored(members.drop("n").join(classes.select("rep", F.posexplode("halves").alias("side", "half")), "rep"), "member-keys")
+    counts = held.groupBy("pivot", "side", "half").agg(F.count(F.lit(1)).alias("c"))
+    score = held.join(counts, ["pivot", "side", "half"]).groupBy("pivot", "rep").agg(F.sum("c").alias("c"), F.first("label").alias("label"))
+    best = score.groupBy("pivot").agg(F.max_by(F.struct(F.col("rep").alias("centre"), F.col("label").alias("at")), F.struct("c", -F.col("rep"))).alias("b"))
+    return members.join(stored(best.select("pivot", "b.*"), "centres"), "pivot")
+
+
+def _open_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of one bucket in different components that may still be similar enough.
 
-    The members of buckets with several components are compared with a pivot, the smallest member of the bucket's largest
-    component. What two members share lies in the pivot, at most the smaller of their parts in it, or outside, where it is
+    The members (of buckets with several components) are compared with a pivot set, that of their centre. What two members share lies in the pivot, at most the smaller of their parts in it, or outside, where it is
     counted exactly by joining on the shingles. So a pair is found by a shared shingle outside the pivot, or its parts in
     the pivot are large enough by themselves; members whose parts in the pivot and shared shingles are too few together
     are in no pair. One side of every pair is outside the largest component.
@@ -133,13 +156,11 @@ def _open_pairs(labelled: DataFrame, sets: DataFrame) -> DataFrame:
     The join on shingles takes prefixes only. A pair needs SIMILARITY * (na + nb) / (100 + SIMILARITY) common shingles, of
     which the pivot holds at most c of either side. So outside it the larger member needs SIMILARITY / 100 * n - c of its own
     shingles, the smaller one 2 * SIMILARITY / (100 + SIMILARITY) * n - c, and two members with that many in common meet in
-    one that is left when each side, in one order by rareness, gives up the commonest it can spare. The pairs that meet are
-    then counted over all their shingles outside.
+    one that is left when each side, in one order by rareness, gives up the commonest it can spare. Where they meet first,
+    they share no rarer ones, so what either side has from there on must be enough, too. The pairs that meet are then
+    counted over all their shingles outside.
     """
-    labels = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
-    main = labels.groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("pivot"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
-    members = stored(labelled.join(main, "bucket").select("pivot", "rep", "label", "n").distinct(), "open-members")
-    sides = members.join(sets.select(F.col("key").alias("rep"), F.col("shingles").alias("s")), "rep").join(sets.select(F.col("key").alias("pivot"), F.col("shingles").alias("p")), "pivot")
+    sides = members.join(sets.select(F.col("key").alias("rep"), F.col("shingles").alias("s")), "rep").join(sets.select(F.col("key").alias("centre"), F.col("shingles").alias("p")), "centre")
     parts = stored(sides.select("pivot", "rep", "label", "n", F.array_except("s", "p").alias("out")), "pivot-parts")
     outside = parts.select("pivot", "rep", "label", F.explode("out").alias("x"))
     common = outside.groupBy("pivot", "x").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("pivot", "x")
@@ -148,7 +169,7 @@ def _open_pairs(labelled: DataFrame, sets: DataFrame) -> DataFrame:
     able = parts.select("pivot", "rep", "label", "n", (F.col("n") - F.size("out")).alias("c")).join(n_shared, ["pivot", "rep"], "left")
     able = stored(able.where(100 * (F.col("c") + F.coalesce("k", F.lit(0))) >= SIMILARITY * F.col("n")).drop("k"), "able-members")
 
-    def side(df: DataFrame, r: str, *more: str) -> DataFrame:
+    def side(df: DataFrame, r: str, *more: str | Column) -> DataFrame:
         return df.select("pivot", F.col("rep").alias(r), *[F.col(c).alias(f"{c}{r}") for c in ("label", "n", "c")], *more)
 
     def fit(both):
@@ -163,12 +184,13 @@ def _open_pairs(labelled: DataFrame, sets: DataFrame) -> DataFrame:
     # prefix filter: a member's rarest kinds, but for the last whose weight is less than what a pair needs outside the pivot
     left = F.sum("w").over(Window.partitionBy("pivot", "rep").orderBy(F.desc("f"), F.desc("x"))) + F.col("c")
     rare = stored(rows.withColumn("left", left).where(100 * F.col("left") >= SIMILARITY * F.col("n")), "prefixes")
-    larger = side(rare, "b", "x")
-    smaller = side(rare.where((100 + SIMILARITY) * F.col("left") >= 2 * SIMILARITY * F.col("n")), "a", "x")
+    larger = side(rare, "b", "x", F.col("left").alias("leftb"))
+    smaller = side(rare.where((100 + SIMILARITY) * F.col("left") >= 2 * SIMILARITY * F.col("n")), "a", "x", F.col("left").alias("lefta"))
     order = F.struct("na", "a") < F.struct("nb", "b")
     main_a, main_b = F.col("labela") == F.col("pivot"), F.col("labelb") == F.col("pivot")
     met = smaller.where(~main_a).join(larger, ["pivot", "x"]).union(smaller.where(main_a).join(larger.where(~main_b), ["pivot", "x"]))
-    met = stored(met.where(order & differ & _sizes_fit("na", "nb")).select("pivot", "a", "b", "na", "nb", "ca", "cb").distinct(), "met")
+    enough = fit(least + F.least(F.col("lefta") - F.col("ca"), F.col("leftb") - F.col("cb")))
+    met = stored(met.where(order & differ & _sizes_fit("na", "nb") & enough).select("pivot", "a", "b", "na", "nb", "ca", "cb").distinct(), "met")
     kinds = stored(rows.groupBy("pivot", "rep").agg(F.collect_list(F.struct("x", "w")).alias("k")), "kinds")
     both = met.join(kinds.select("pivot", F.col("rep").alias("a"), F.col("k").alias("sa")), ["pivot", "a"]).join(kinds.select("pivot", F.col("rep").alias("b"), F.col("k").alias("sb")), ["pivot", "b"])
     weight = F.aggregate(F.array_intersect("sa", "sb"), F.lit(0).cast("long"), lambda t, k: t + k["w"])
@@ -206,9 +228,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     stars = stored(stars.select(F.col("least").alias("a"), F.col("rep").alias("b")), "pairs")
     sets = _sets_of(docs, classes.select("rep", "key", "f1", "f2").join(members.select("rep").distinct(), "rep", "left_semi"))
     links = _confirm(stars, sets)
-    found = components(links)
-    labelled = members.join(found.select(F.col("node").alias("rep"), "label"), "rep", "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    rest = stored(_open_pairs(stored(labelled, "members"), sets).join(stars, ["a", "b"], "left_anti"), "pairs")
+    # the smallest member may be an odd one: the centre links what is near it, before any pairs are made
+    near = _open_members(_labelled(members, links), classes).where("label <> at").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
+    near = stored(near.join(stars, ["a", "b"], "left_anti"), "pairs")
+    links, tried = links.union(_confirm(near, sets)), stars.union(near)
+    rest = stored(_open_pairs(_open_members(_labelled(members, links), classes), sets).join(tried, ["a", "b"], "left_anti"), "pairs")
     links = links.union(_confirm(rest, sets))
     # rows that share a key are one node: it joins their classes, so numbers above all keys are never the least
     again = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
