@@ -138,3 +138,25 @@ def test_projection_and_back(spark):
     lon, lat = formulas.degrees_of(*formulas.transverse_mercator(F.col("lon"), F.col("lat")))
     worst = places.select(F.max(F.abs(lon - F.col("lon"))).alias("lon"), F.max(F.abs(lat - F.col("lat"))).alias("lat")).first()
     assert worst.lon < 1e-6 and worst.lat < 1e-6
+
+
+def test_viterbi_of_whole_batches(spark):
+    """Trips of many lengths and numbers of choices, one without a way: by brute force, without a row at a time."""
+    import itertools
+    import math
+    import random
+
+    rng, schema = random.Random(5), "trip long, seq int, choices array<struct<position: double, cost: double>>"
+    rows = [(t, s, [(100.0 * s + rng.randint(-150, 150), float(rng.randint(0, 90))) for _ in range(1 + (t + s) % 3)]) for t in range(40) for s in range(1, 2 + t % 4)] + [(99, 1, [(5.0, 0.0)]), (99, 2, [(1.0, 0.0)])]
+    out = matching.viterbi(spark.createDataFrame(rows, schema), "trip")
+    assert "Pandas" not in out._jdf.queryExecution().toString()
+    got = {}
+    for r in out.orderBy("trip", "seq").collect():
+        got.setdefault(r.trip, []).append(r.position)
+    for trip in {t for t, _, _ in rows}:
+        ways = [w for w in itertools.product(*[c for t, _, c in rows if t == trip]) if all(b[0] >= a[0] for a, b in itertools.pairwise(w))]
+        value = lambda w: sum(c for _, c in w) + w[-1][0] - w[0][0]
+        if not ways:
+            assert all(math.isnan(x) for x in got[trip])
+        else:
+            assert got[trip] in [[x for x, _ in w] for w in ways if value(w) == min(map(value, ways))]

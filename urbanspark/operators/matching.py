@@ -6,7 +6,8 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,34 +68,40 @@ def viterbi(observed: DataFrame, key: str, weight: float = 1.0) -> DataFrame:
     than its length times weight. A key's observations are a trip's stops, tens of rows.
     """
 
-    def best_path(choices: list) -> list[float]:
-        total, back, places = None, [], []
-        for row in choices:
-            at = np.array([c["position"] for c in row], float)
-            cost = np.array([c["cost"] for c in row], float)
-            if total is None:
-                total = cost
-            else:
-                step = at[None, :] - places[-1][:, None]
-                move = np.where(step >= 0, step * weight, np.inf) + total[:, None]
-                back.append(move.argmin(axis=0))
-                total = move.min(axis=0) + cost
-            places.append(at)
-        if not np.isfinite(total).any():
-            return [float("nan")] * len(choices)
-        best = [int(total.argmin())]
+    def best_paths(at: np.ndarray, cost: np.ndarray) -> np.ndarray:
+        """Positions of trips of one length, (trip, stop, choice) in; choices that are not there cost infinity."""
+        total, back = cost[:, 0], []
+        for k in range(1, at.shape[1]):
+            step = at[:, k, None, :] - at[:, k - 1, :, None]
+            move = np.where(step >= 0, step * weight, np.inf) + total[:, :, None]
+            back.append(move.argmin(axis=1))
+            total = move.min(axis=1) + cost[:, k]
+        best = [total.argmin(axis=1)]
         for b in reversed(back):
-            best.append(int(b[best[-1]]))
-        return [float(p[i]) for p, i in zip(places, reversed(best), strict=True)]
+            best.append(np.take_along_axis(b, best[-1][:, None], axis=1)[:, 0])
+        places = np.take_along_axis(at, np.stack(best[::-1], axis=1)[:, :, None], axis=2)[:, :, 0]
+        return np.where(np.isfinite(total).any(axis=1)[:, None], places, np.nan)
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, o["seq"], p) for k, seen in zip(batch[key], batch["seen"], strict=True) for o, p in zip(seen, best_path([o["choices"] for o in seen]), strict=True)]
-            yield pd.DataFrame(rows, columns=[key, "seq", "position"])
+            seen = batch.column("seen")
+            stops, sizes = seen.flatten(), pc.list_value_length(seen).to_numpy(zero_copy_only=False)
+            choices = stops.field("choices")
+            n = pc.list_value_length(choices).to_numpy(zero_copy_only=False)
+            inside = np.arange(n.max(initial=0)) < n[:, None]
+            at, cost = np.zeros(inside.shape), np.full(inside.shape, np.inf)
+            at[inside] = choices.flatten().field("position").to_numpy(zero_copy_only=False)
+            cost[inside] = choices.flatten().field("cost").to_numpy(zero_copy_only=False)
+            starts, places = np.cumsum(sizes) - sizes, np.empty(len(stops))
+            for size in np.unique(sizes):
+                rows = starts[sizes == size][:, None] + np.arange(size)
+                places[rows] = best_paths(at[rows], cost[rows])
+            keys = batch.column(key).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            yield pa.RecordBatch.from_arrays([keys.cast(pa.int64()), stops.field("seq").cast(pa.int32()), pa.array(places)], [key, "seq", "position"])
 
     # one row a trip, many trips a batch
     seen = observed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "choices"))).alias("seen"))
-    return seen.mapInPandas(solve, f"{key} long, seq int, position double")
+    return seen.mapInArrow(solve, f"{key} long, seq int, position double")
 
 
 def back_trace(previous: DataFrame, starts: DataFrame | None = None) -> DataFrame:
