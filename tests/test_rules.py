@@ -160,3 +160,23 @@ def test_viterbi_of_whole_batches(spark):
             assert all(math.isnan(x) for x in got[trip])
         else:
             assert got[trip] in [[x for x, _ in w] for w in ways if value(w) == min(map(value, ways))]
+
+
+def test_greedy_within_makes_few_pairs(spark, monkeypatch):
+    """A dense place: equal to taking the nearest pair again and again, without all pairs within the cutoff."""
+    import math
+    import random
+
+    rng = random.Random(9)
+    a, b = ([(i, rng.uniform(0, 60), rng.uniform(0, 60)) for i in range(n, n + 120)] for n in (0, 1000))
+    made, plain = [], matching.greedy_pairs
+    monkeypatch.setattr(matching, "greedy_pairs", lambda pairs: (made.append(pairs.count()), plain(pairs))[1])
+    frame = lambda rows: spark.createDataFrame(rows, "id long, x double, z double")
+    got = sorted((r.a, r.b) for r in matching.greedy_within(frame(a), frame(b), 100.0, 4).collect())
+    want, used = [], set()
+    for _, i, j in sorted((round(math.hypot(x - u, z - v), 6), i, j) for i, x, z in a for j, u, v in b if math.hypot(x - u, z - v) <= 100):
+        if i not in used and j not in used:
+            want.append((i, j))
+            used |= {i, j}
+    assert got == sorted(want)
+    assert sum(made) < len(a) * len(b) / 4

@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from urbanspark.operators.spatial import within
+
 
 def greedy_pairs(pairs: DataFrame) -> DataFrame:
     """One-to-one pairs (a, b, dist) by ascending distance: each round keeps the pairs that are best for both sides.
@@ -34,6 +36,28 @@ def greedy_pairs(pairs: DataFrame) -> DataFrame:
     return taken.select("a", "b", "dist")
 
 
+def greedy_within(left: DataFrame, right: DataFrame, cutoff: float, halvings: int = 7) -> DataFrame:
+    """greedy_pairs() of the (id, x, z) rows of left (a) and right (b) at most cutoff apart, dist to six digits.
+
+    Nearer pairs come first, so the pairs up to a radius can be settled before wider ones are made; the radius doubles up
+    to cutoff. Where points are dense most are taken early, and pairs grow with the points and not with their square.
+    """
+    from urbanspark.sources.tables import checkpointed
+
+    a, b = checkpointed(left.select("id", "x", "z")), checkpointed(right.select("id", "x", "z"))
+    taken = []
+    for k in range(halvings, -1, -1):
+        radius = cutoff / 2**k
+        pairs = within(a, b, radius).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), F.round("dist", 6).alias("dist"))
+        if k:  # one beyond the radius may be as near when rounded
+            pairs = pairs.where(F.col("dist") < radius * (1 - 1e-9) - 1e-5)
+        taken.append(greedy_pairs(pairs))
+        if k:
+            a = checkpointed(a.join(taken[-1].select(F.col("a").alias("id")), "id", "left_anti"))
+            b = checkpointed(b.join(taken[-1].select(F.col("b").alias("id")), "id", "left_anti"))
+    return reduce(DataFrame.unionAll, taken)
+
+
 def independent(conflicts: DataFrame, ranked: DataFrame) -> DataFrame:
     """Rows (id, rank) that stay when each row loses to a better one it conflicts with (a, b both ways) that stays.
 

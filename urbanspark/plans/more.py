@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from urbanspark.functions.formulas import GRS80_A, GRS80_F, degrees_of, transverse_mercator
 from urbanspark.operators.growth import grown
-from urbanspark.operators.matching import back_trace, first_spec, greedy_pairs, viterbi
+from urbanspark.operators.matching import back_trace, first_spec, greedy_within, viterbi
 from urbanspark.operators.spatial import spaced, within
 from urbanspark.plans.measures import PROJECTED
 from urbanspark.registry import query
@@ -23,8 +23,7 @@ from urbanspark.sources.views import VIEWS, table
 def greedy_matching(spark: SparkSession, d: str) -> DataFrame:
     """One-to-one pairs of points of two kinds, nearest first."""
     p = VIEWS["v_point"](spark, d)
-    pairs = within(p.where("kind = 0"), p.where("kind = 1"), 400.0).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), F.round("dist", 6).alias("dist"))
-    return greedy_pairs(pairs)
+    return greedy_within(p.where("kind = 0"), p.where("kind = 1"), 400.0)
 
 
 @query(
