@@ -1,13 +1,21 @@
-"""Overlap of convex polygons: exact areas in array functions, on a join by cells."""
+"""Overlap of convex polygons: a join by cells, exact areas in numpy on the pairs that it meets."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbanspark.functions.formulas import shoelace
 from urbanspark.operators.spatial import cell
 
+#: left polygons of one cell that a task compares at once with the right ones of that cell
+PIECE = 2048
+
 
 def _sides(ring: Column) -> Column:
     """The ring's sides p, q."""
@@ -15,56 +23,80 @@ def _sides(ring: Column) -> Column:
     return F.zip_with(ring, F.concat(F.slice(ring, 2, n), F.slice(ring, 1, 1)), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
 
 
-def _border_inside(ring: Column, other: Column, shared: bool) -> Column:
-    """Twice the area swept from the origin by the parts of ring's sides that lie in the convex ring other, both turning left;
-    shared: sides that lie on a side of other, in its direction, count."""
-
-    def kept(side: Column) -> Column:
-        px, pz = side["p"]["x"], side["p"]["z"]
-        dx, dz = side["q"]["x"] - px, side["q"]["z"] - pz
-
-        def narrow(span: Column, edge: Column) -> Column:
-            ex, ez = edge["q"]["x"] - edge["p"]["x"], edge["q"]["z"] - edge["p"]["z"]
-            # left of the edge where at + t * turn >= 0
-            at, turn = ex * (pz - edge["p"]["z"]) - ez * (px - edge["p"]["x"]), ex * dz - ez * dx
-            cut = -at / F.nullif(turn, F.lit(0.0))
-            on = (at == 0) & (F.lit(shared) & (ex * dx + ez * dz > 0))
-            low = F.when(turn > 0, F.greatest(span["low"], cut)).when((turn == 0) & (at <= 0) & ~on, 2.0).otherwise(span["low"])
-            return F.struct(low.alias("low"), F.when(turn < 0, F.least(span["high"], cut)).otherwise(span["high"]).alias("high"))
-
-        span = F.aggregate(_sides(other), F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high")), narrow)
-        # cross product of the part's ends
-        return F.when(span["low"] < span["high"], (span["high"] - span["low"]) * (px * dz - pz * dx)).otherwise(0.0)
-
-    return F.aggregate(F.transform(_sides(ring), kept), F.lit(0.0), lambda a, c: a + c)
-
-
 def turned_left(ring: Column) -> Column:
     """The ring, backwards if it turns right."""
     twice = F.aggregate(_sides(ring), F.lit(0.0), lambda a, s: a + s["p"]["x"] * s["q"]["z"] - s["q"]["x"] * s["p"]["z"])
     return F.when(twice < 0, F.reverse(ring)).otherwise(ring)
 
 
-def shared_area(a: Column, b: Column) -> Column:
-    """Area of the intersection of two convex rings that turn left: its border is what of each border lies in the other."""
-    return F.greatest((_border_inside(a, b, True) + _border_inside(b, a, False)) / 2, F.lit(0.0))
+def _border_inside(ring: np.ndarray, other: np.ndarray, shared: bool) -> np.ndarray:
+    """Twice the area swept from the origin by the parts of ring's sides that lie in the convex ring other, both turning left,
+    of many pairs, (x or z, corner, pair) in; shared: sides that lie on a side of other, in its direction, count."""
+    (px, pz), (dx, dz) = ring, np.roll(ring, -1, axis=1) - ring
+    (ox, oz), (ex, ez) = other, np.roll(other, -1, axis=1) - other
+    low, high = np.zeros(px.shape), np.ones(px.shape)
+    for k in range(other.shape[1]):
+        # left of the edge where at + t * turn >= 0
+        at, turn = ex[k] * (pz - oz[k]) - ez[k] * (px - ox[k]), ex[k] * dz - ez[k] * dx
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cut = -at / turn
+        low, high = np.maximum(low, np.where(turn > 0, cut, 0.0)), np.minimum(high, np.where(turn < 0, cut, 1.0))
+        beside = (turn == 0) & (at <= 0)
+        if shared:
+            beside &= (at != 0) | (ex[k] * dx + ez[k] * dz <= 0)
+        low[beside] = 2.0
+    # cross product of the part's ends
+    return np.where(low < high, (high - low) * (px * dz - pz * dx), 0.0).sum(axis=0)
+
+
+def shared_areas(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Areas of the intersections of convex rings that turn left, (x or z, corner, pair) in: an intersection's border is what
+    of each border lies in the other."""
+    return np.maximum((_border_inside(a, b, True) + _border_inside(b, a, False)) / 2, 0.0)
 
 
 def overlaps(left: DataFrame, right: DataFrame, size: float, least: float = 0.0, once: bool = False) -> DataFrame:
     """a, b, shared, area_a, area_b of each pair of convex polygons (id, ring) that share an area, least of the smaller one's at
     least, met in the cells of size that their bounding boxes cover; a pair counts once, in the first cell that both cover.
 
-    once: of a pair met both ways round, only a < b. Pairs whose boxes share too little are never cut exactly.
+    once: of a pair met both ways round, only a < b. Pairs whose boxes share too little are never cut exactly. A cell with many
+    polygons is dealt to tasks in pieces. Rings with a corner that is not finite share nothing.
     """
 
     def spread(df: DataFrame, name: str) -> DataFrame:
         ends = [f(F.col(f"ring.{c}")) for c in "xz" for f in (F.array_min, F.array_max)]
-        boxed = df.select(F.col("id").alias(name), *[e.alias(f"{k}_{name}") for e, k in zip(ends, ("w0", "w1", "h0", "h1"), strict=True)], turned_left(F.col("ring")).alias(f"ring_{name}"), shoelace(F.col("ring")).alias(f"area_{name}"), *[cell(e, size).alias(f"{k}_{name}") for e, k in zip(ends, ("x0", "x1", "z0", "z1"), strict=True)])
-        return boxed.withColumn("_cx", F.explode(F.sequence(f"x0_{name}", f"x1_{name}"))).withColumn("_cz", F.explode(F.sequence(f"z0_{name}", f"z1_{name}")))
-
-    met = spread(left, "a").join(spread(right, "b"), ["_cx", "_cz"]).where((F.col("_cx") == F.greatest("x0_a", "x0_b")) & (F.col("_cz") == F.greatest("z0_a", "z0_b")))
-    lap = lambda c: F.least(f"{c}1_a", f"{c}1_b") - F.greatest(f"{c}0_a", f"{c}0_b")
-    smaller = F.least("area_a", "area_b")
-    met = met.where((F.col("a") < F.col("b")) if once else F.lit(True)).where((lap("w") > 0) & (lap("h") > 0) & (lap("w") * lap("h") >= (least - 1e-6) * smaller))
-    found = met.withColumn("shared", shared_area(F.col("ring_a"), F.col("ring_b"))).where("shared > 0")
-    return found.where(F.col("shared") >= least * smaller).select("a", "b", "shared", "area_a", "area_b")
+        flat = F.flatten(F.transform(turned_left(F.col("ring")), lambda p: F.array(p["x"], p["z"])))
+        finite = df.where(F.forall("ring", lambda p: (F.abs(p["x"]) < float("inf")) & (F.abs(p["z"]) < float("inf"))))
+        boxed = finite.select(F.col("id").alias(name), *[e.alias(f"{k}_{name}") for e, k in zip(ends, ("w0", "w1", "h0", "h1"), strict=True)], flat.alias(f"ring_{name}"), shoelace(F.col("ring")).alias(f"area_{name}"))
+        covered = lambda c: F.explode(F.sequence(cell(F.col(f"{c}0_{name}"), size), cell(F.col(f"{c}1_{name}"), size)))
+        return boxed.withColumn("_cx", covered("w")).withColumn("_cz", covered("h"))
+
+    a, b = spread(left, "a"), spread(right, "b")
+    pieces = a.groupBy("_cx", "_cz").agg(F.ceil(F.count(F.lit(1)) / PIECE).alias("_n"))
+    a = a.join(pieces, ["_cx", "_cz"]).withColumn("_k", F.pmod(F.xxhash64("a"), F.col("_n"))).drop("_n")
+    b = b.join(pieces, ["_cx", "_cz"]).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).drop("_n")
+    low, high = (lambda c: F.greatest(f"{c}0_a", f"{c}0_b")), (lambda c: F.least(f"{c}1_a", f"{c}1_b"))
+    smaller, lap = F.least("area_a", "area_b"), (high("w") - low("w")) * (high("h") - low("h"))
+    met = a.join(b.hint("merge"), ["_cx", "_cz", "_k"]).where((F.col("a") < F.col("b")) if once else F.lit(True))
+    met = met.where((high("w") > low("w")) & (high("h") > low("h")) & (lap >= (least - 1e-6) * smaller))
+    met = met.where((F.col("_cx") == cell(low("w"), size)) & (F.col("_cz") == cell(low("h"), size)))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, sizes = {}, {}
+            for name in "ab":
+                column = batch.column(f"ring_{name}")
+                flat[name] = column.flatten().to_numpy(zero_copy_only=False)
+                sizes[name] = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+            shared = np.zeros(len(batch))
+            for pair in np.unique(np.stack([sizes["a"], sizes["b"]], axis=1), axis=0):
+                rows = np.flatnonzero((sizes["a"] == pair[0]) & (sizes["b"] == pair[1]))
+                starts = [(np.cumsum(sizes[name]) - sizes[name])[rows] for name in "ab"]
+                shared[rows] = shared_areas(*(flat[name][np.arange(n).reshape(-1, 2).T[:, :, None] + at] for name, n, at in zip("ab", pair, starts, strict=True)))
+            area = {name: batch.column(f"area_{name}").to_numpy(zero_copy_only=False) for name in "ab"}
+            kept = pa.array((shared > 0) & (shared >= least * np.minimum(area["a"], area["b"])))
+            out = [batch.column("a"), batch.column("b"), pa.array(shared), batch.column("area_a"), batch.column("area_b")]
+            yield pa.RecordBatch.from_arrays([c.filter(kept) for c in out], ["a", "b", "shared", "area_a", "area_b"])
+
+    kinds = [dict(df.dtypes)["id"] for df in (left, right)]
+    return met.select("a", "b", "ring_a", "ring_b", "area_a", "area_b").mapInArrow(cut, f"a {kinds[0]}, b {kinds[1]}, shared double, area_a double, area_b double")
