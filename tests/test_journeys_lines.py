@@ -1,8 +1,10 @@
 """Journeys against a heap search; lines against plain geometry and worked examples."""
 
 import heapq
+import itertools
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,6 +129,47 @@ def test_drawn_line(spark, street, both, want):
     assert sorted((r.line, r.edge) for r in got) == [(7, e) for e in want]
 
 
+def apart(x, z, p, q):
+    dx, dz = q[0] - p[0], q[1] - p[1]
+    square = dx * dx + dz * dz
+    t = max(0.0, min(1.0, ((x - p[0]) * dx + (z - p[1]) * dz) / square)) if square > 0 else 0.0
+    return math.hypot(x - p[0] - t * dx, z - p[1] - t * dz)
+
+
+def test_drawn_lines_against_all_pairs(spark):
+    """Edges meet the lines that their name can be of, and no others, before anything is measured."""
+    rng = random.Random(12)
+    names = ["ulica ilica", "Ilica", "Nova ilica", "nova  cesta", "Nova", None, ""]
+    walk = lambda n, step: list(itertools.accumulate(range(n - 1), lambda p, _: (p[0] + rng.gauss(0, step), p[1] + rng.gauss(0, step)), initial=(rng.uniform(0, 300), rng.uniform(0, 300))))
+    edges = [(k, walk(rng.randint(2, 4), 20), rng.choice(names)) for k in range(250)]
+    drawn = [(k, walk(rng.randint(2, 6), 90), rng.choice(names), k % 2 == 0) for k in range(120)]
+    drawn += [(900, [(0, 0), (0, 100), (math.inf, 0)], "", True), (901, [(math.nan, 0), (5, 5)], None, True), (902, [(0, 0)], None, True)]
+    finite = lambda p, q: all(map(math.isfinite, (*p, *q)))
+    street = lambda name: " ".join(w for w in (name or "").lower().split() if w not in ("ulica", "cesta"))
+    want = set()
+    for line, points, named, both in drawn:
+        sides = [(p, q) for p, q in zip(points, points[1:], strict=False) if finite(p, q)]
+        for edge, on, name in edges:
+            (ax, az), (bx, bz) = on[0], on[-1]
+            if not sides or street(named) not in street(name) or any(min(apart(*on[k], *s) for s in sides) > 20 for k in (0, len(on) // 2, -1)):
+                continue
+            p, q = min(sides, key=lambda s: apart((ax + bx) / 2, (az + bz) / 2, *s))  # noqa: B023
+            along = ((bx - ax) * (q[0] - p[0]) + (bz - az) * (q[1] - p[1])) / math.dist(p, q) / math.dist(on[0], on[-1])
+            if both or along >= 0.5:
+                want.add((line, edge))
+    got = L.match_drawn(line_frame(spark, drawn, ", street string, both_ways boolean"), line_frame(spark, edges, ", name string").withColumnRenamed("line", "edge"))
+    assert len(want) > 50 and {(r.line, r.edge) for r in got.collect()} == want
+    assert re.search(r"Join \[_cx#\d+L?, _cz#\d+L?, _street#", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_names_with_streets(spark):
+    names = ["nova ilica", "ilica", "", "aa", "aaa", "čaj\u00a0"]
+    streets = ["", "ilica", "a", "aa", "nova ilica gornja", "č", "j\u00a0"]
+    one = lambda rows, c: spark.createDataFrame([(r,) for r in rows], f"{c} string")
+    got = sorted((r.street, r.name) for r in L._names_with(one(names, "name"), one(streets, "street")).collect())
+    assert got == sorted((s, n) for s in streets for n in names if s and s in n)
+
+
 def test_crossings_against_all_pairs(spark):
     rng = random.Random(8)
     shapes = [(i, [(rng.uniform(-900, 900), rng.uniform(-900, 900)) for _ in range(4)]) for i in range(40)]

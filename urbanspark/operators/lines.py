@@ -5,8 +5,12 @@ Lines are (line, points), points an array of structs x, z. Joins run over the sq
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,23 +35,30 @@ def segments(lines: DataFrame) -> DataFrame:
     return rows.withColumn("start", F.coalesce(F.sum("length").over(before), F.lit(0.0)))
 
 
-def segment_cells(size: float, reach: float = 0.0, names: tuple[str, ...] = _ENDS) -> Column:
-    """The cells in which a point at most reach from the segment can lie, column by column: an array of structs cx, cz."""
+def _columns(size: float, reach: float, names: tuple[str, ...] = _ENDS) -> Column:
+    """The columns of cells in which a point at most reach from the segment can lie."""
+    ax, _, bx, _ = (F.col(n) for n in names)
+    return F.sequence(cell(F.least(ax, bx) - reach, size), cell(F.greatest(ax, bx) + reach, size))
+
+
+def _rows(c: Column, size: float, reach: float, names: tuple[str, ...] = _ENDS) -> Column:
+    """Of column c, the rows of cells in which such a point can lie."""
     ax, az, bx, bz = (F.col(n) for n in names)
     dx, dz = bx - ax, bz - az
+    # shares of the segment at the column's sides; an upright one runs through a single column
+    share = lambda x, upright: F.when(dx == 0, upright).otherwise(F.least(F.greatest((x - ax) / F.nullif(dx, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
+    z0, z1 = az + share(c * size - reach, 0.0) * dz, az + share((c + 1) * size + reach, 1.0) * dz
+    return F.sequence(cell(F.least(z0, z1) - reach, size), cell(F.greatest(z0, z1) + reach, size))
 
-    def column(c: Column) -> Column:
-        # shares of the segment at the column's sides; an upright one runs through a single column
-        share = lambda x, upright: F.when(dx == 0, upright).otherwise(F.least(F.greatest((x - ax) / F.nullif(dx, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
-        z0, z1 = az + share(c * size - reach, 0.0) * dz, az + share((c + 1) * size + reach, 1.0) * dz
-        rows = F.sequence(cell(F.least(z0, z1) - reach, size), cell(F.greatest(z0, z1) + reach, size))
-        return F.transform(rows, lambda k: F.struct(c.alias("cx"), k.alias("cz")))
 
-    return F.flatten(F.transform(F.sequence(cell(F.least(ax, bx) - reach, size), cell(F.greatest(ax, bx) + reach, size)), column))
+def segment_cells(size: float, reach: float = 0.0, names: tuple[str, ...] = _ENDS) -> Column:
+    """The cells in which a point at most reach from the segment can lie, column by column: an array of structs cx, cz."""
+    column = lambda c: F.transform(_rows(c, size, reach, names), lambda k: F.struct(c.alias("cx"), k.alias("cz")))
+    return F.flatten(F.transform(_columns(size, reach, names), column))
 
 
 def _in_cells(segs: DataFrame, size: float, reach: float) -> DataFrame:
-    return segs.withColumn("_c", F.explode(segment_cells(size, reach))).select("*", F.col("_c.cx").alias("_cx"), F.col("_c.cz").alias("_cz")).drop("_c")
+    return segs.withColumn("_cx", F.explode(_columns(size, reach))).withColumn("_cz", F.explode(_rows(F.col("_cx"), size, reach)))
 
 
 def nearest_segments(points: DataFrame, segs: DataFrame, cutoff: float, on: tuple[str, ...] = ()) -> DataFrame:
@@ -91,9 +102,41 @@ def interpolate(at: DataFrame, segs: DataFrame, bucket: float = 250.0) -> DataFr
     return hit.select("id", "line", "measure", "offset", (F.col("ax") + f * dx + left * dz).alias("x"), (F.col("az") + f * dz - left * dx).alias("z"), F.atan2(dx, dz).alias("heading"))
 
 
-def _box_holds(p: Column, points: Column, reach: float) -> Column:
-    """Whether p can lie within reach of the line through points: a quick look before the exact one."""
-    return reduce(lambda a, b: a & b, [p[c].between(F.array_min(points[c]) - reach, F.array_max(points[c]) + reach) for c in "xz"])
+def _names_with(names: DataFrame, streets: DataFrame) -> DataFrame:
+    """street, name: the distinct names (name) that contain each of the distinct streets (street), those of no letters apart. An
+    equal join on the pieces of names that are as long as a street."""
+    lengths = F.broadcast(streets.select(F.length("street").alias("_n")).where("_n > 0").distinct())  # at most the longest street's
+    places = names.join(lengths, F.length("name") >= F.col("_n")).withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("name") - F.col("_n") + 1)))
+    return places.select("name", F.substring(F.col("name"), F.col("_at"), F.col("_n")).alias("street")).distinct().join(streets, "street").select("street", "name")
+
+
+def _apart(x: np.ndarray, z: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distances of points to the straight lines from p to q, (x or z, pair) in."""
+    dx, dz = q - p
+    square = dx * dx + dz * dz
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = np.where(square > 0, np.clip(((x - p[0]) * dx + (z - p[1]) * dz) / square, 0.0, 1.0), 0.0)
+        return np.sqrt((x - p[0] - t * dx) ** 2 + (z - p[1] - t * dz) ** 2)
+
+
+def _length(dx: np.ndarray, dz: np.ndarray) -> np.ndarray:
+    length = np.hypot(dx, dz)
+    return np.where(length == 0, 1.0, length)
+
+
+def _covered(ends: np.ndarray, points: np.ndarray, both: np.ndarray, distance: float) -> np.ndarray:
+    """Which edges, ends (x or z, first or middle or last, pair), run along the lines through points (x or z, point, pair): near
+    them at the middle and the end, and in their direction unless both are meant."""
+    (x0, _, x1), (z0, _, z1) = ends
+    dx, dz, x, z = x1 - x0, z1 - z0, x0 / 2 + x1 / 2, z0 / 2 + z1 / 2
+    near = np.zeros((2, len(x)), dtype=bool)
+    least, along = np.full(len(x), np.inf), np.zeros(len(x))
+    for p, q in zip(points.swapaxes(0, 1), points.swapaxes(0, 1)[1:], strict=False):
+        near |= [_apart(*ends[:, k], p, q) <= distance for k in (1, 2)]
+        d, (sx, sz) = _apart(x, z, p, q), q - p
+        closer = d < least
+        least, along = np.where(closer, d, least), np.where(closer, (dx * sx + dz * sz) / _length(sx, sz), along)
+    return near.all(axis=0) & (both | (along / _length(dx, dz) >= 0.5))
 
 
 def match_drawn(lines: DataFrame, edges: DataFrame, distance: float = 20.0, stop: tuple[str, ...] = ("ulica", "cesta", "avenija", "trg")) -> DataFrame:
@@ -102,30 +145,39 @@ def match_drawn(lines: DataFrame, edges: DataFrame, distance: float = 20.0, stop
     lines: line, points, street (NULL or empty: any), both_ways; edges: edge, points, name. An edge's first, middle and last
     points must lie within distance of the line; unless both ways are meant, its chord must run within 60 degrees of the
     line where that passes nearest to the chord's middle. Lines of one point cover nothing.
+
+    An edge meets the lines of its own street in the cell of its first point; what is near there is judged at once, in numpy.
     """
-    n = F.size("points")
-    ends = edges.where(n > 1).select("edge", _street(F.col("name"), stop).alias("name"), F.col("points")[0].alias("a"), F.element_at("points", -1).alias("b"), F.get("points", F.floor(n / 2).cast("int")).alias("middle"))
-    size = 4 * distance
-    keyed = ends.withColumns({"_cx": cell(F.col("a.x"), size), "_cz": cell(F.col("a.z"), size)})
+    n, size = F.size("points"), 4 * distance
+    spots = {"0": F.col("points")[0], "m": F.get("points", F.floor(n / 2).cast("int")), "1": F.element_at("points", -1)}
+    ends = edges.where(n > 1).select("edge", _street(F.col("name"), stop).alias("name"), *[p[c].alias(f"{c}{k}") for k, p in spots.items() for c in "xz"])
     drawn = lines.where(n > 1).withColumn("street", _street(F.col("street"), stop))
-    parts = _in_cells(segments(drawn), size, distance).join(drawn, "line")
-    # a pair met at the edge's first point is judged where it is met: only what holds at all points is written
-    met = keyed.join(parts, ["_cx", "_cz"]).where(F.contains(F.col("name"), F.col("street")))
-    apart = lambda p: segment_distance(p["x"], p["z"], *(F.col(c) for c in _ENDS)) <= distance
-    pairs = F.zip_with(F.slice("points", 1, n - 1), F.slice("points", 2, n - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-    reached = lambda p: F.exists(pairs, lambda s: segment_distance(p["x"], p["z"], s["p"]["x"], s["p"]["z"], s["q"]["x"], s["q"]["z"]) <= distance)
-    ahead = met.where(apart(F.col("a"))).where(_box_holds(F.col("b"), F.col("points"), distance) & _box_holds(F.col("middle"), F.col("points"), distance))
-    both = ahead.where(reached(F.col("b")) & reached(F.col("middle")))
-    x, z, dx, dz = F.col("a.x") / 2 + F.col("b.x") / 2, F.col("a.z") / 2 + F.col("b.z") / 2, F.col("b.x") - F.col("a.x"), F.col("b.z") - F.col("a.z")
-
-    def side(p: Column, q: Column) -> Column:
-        length = F.coalesce(F.nullif(F.hypot(q["x"] - p["x"], q["z"] - p["z"]), F.lit(0.0)), F.lit(1.0))
-        return F.struct(segment_distance(x, z, p["x"], p["z"], q["x"], q["z"]).alias("d"), ((dx * (q["x"] - p["x"]) + dz * (q["z"] - p["z"])) / length).alias("along"))
-
-    sides = F.zip_with(F.slice("points", 1, n - 1), F.slice("points", 2, n - 1), side)
-    closest = F.aggregate(sides, F.struct(F.lit(float("inf")).alias("d"), F.lit(0.0).alias("along")), lambda best, s: F.when(s["d"] < best["d"], s).otherwise(best))
-    chord = F.coalesce(F.nullif(F.hypot(dx, dz), F.lit(0.0)), F.lit(1.0))
-    return both.where(F.col("both_ways") | (closest["along"] / chord >= 0.5)).select("line", "edge").distinct()
+    # lines that name no street meet all edges under an empty name
+    keyed = ends.withColumn("_street", F.explode(F.array_distinct(F.array("name", F.lit(""))))).withColumns({"_cx": cell(F.col("x0"), size), "_cz": cell(F.col("z0"), size)})
+    named = drawn.join(_names_with(ends.select("name").distinct(), drawn.select("street").distinct()), "street", "left")
+    named = named.withColumn("_street", F.when(F.col("street") == "", "").otherwise(F.col("name"))).where("_street is not null")
+    box = [(f(F.col(f"points.{c}")) + step).alias(f"{k}{c}") for c in "xz" for k, f, step in (("low_", F.array_min, -distance), ("high_", F.array_max, distance))]
+    sides = F.zip_with(F.slice("points", 1, n - 1), F.slice("points", 2, n - 1), lambda p, q: F.struct(p["x"].alias("ax"), p["z"].alias("az"), q["x"].alias("bx"), q["z"].alias("bz")))
+    flat = F.flatten(F.transform("points", lambda p: F.array(p["x"], p["z"])))
+    parts = named.select("line", "both_ways", "_street", flat.alias("points"), *box, F.explode(sides).alias("s")).select("*", "s.*").drop("s")
+    parts = _in_cells(parts.where(" and ".join(f"abs({c}) < double('infinity')" for c in _ENDS)), size, distance)
+    near = [F.col(f"{c}{k}").between(F.col(f"low_{c}"), F.col(f"high_{c}")) for k in "1m" for c in "xz"]
+    met = keyed.join(parts, ["_cx", "_cz", "_street"]).where(reduce(lambda a, b: a & b, near)).where(segment_distance(F.col("x0"), F.col("z0"), *(F.col(c) for c in _ENDS)) <= distance)
+    names = [f"{c}{k}" for c in "xz" for k in spots]
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names]).reshape(2, 3, -1)
+            both = pc.fill_null(batch.column("both_ways"), False).to_numpy(zero_copy_only=False)
+            flat, sizes = batch.column("points").flatten().to_numpy(zero_copy_only=False), pc.list_value_length(batch.column("points")).to_numpy(zero_copy_only=False)
+            starts, kept = np.cumsum(sizes) - sizes, np.zeros(len(batch), dtype=bool)
+            for k in np.unique(sizes):
+                rows = np.flatnonzero(sizes == k)
+                kept[rows] = _covered(at[:, :, rows], flat[np.arange(k).reshape(-1, 2).T[:, :, None] + starts[rows]], both[rows], distance)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(kept)) for c in ("line", "edge")], ["line", "edge"])
+
+    kinds = dict(lines.dtypes)["line"], dict(edges.dtypes)["edge"]
+    return met.select("line", "edge", "both_ways", "points", *names).mapInArrow(judged, f"line {kinds[0]}, edge {kinds[1]}").distinct()
 
 
 def crossings(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
