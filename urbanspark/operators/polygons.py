@@ -1,9 +1,7 @@
-"""Overlap of convex polygons: a join by cells, exact areas in numpy on the pairs that it meets."""
+"""Overlap of convex polygons: groups of those in one cell, their pairs and exact areas in numpy."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,8 +11,8 @@ from pyspark.sql import functions as F
 from urbanspark.functions.formulas import shoelace
 from urbanspark.operators.spatial import cell
 
-#: left polygons of one cell that a task compares at once with the right ones of that cell
-PIECE = 2048
+#: polygons of one cell, on either side, in one group; rows of a group compared, and pairs cut, at once
+PIECE, ROWS, CUT = 2048, 256, 2048
 
 
 def _sides(ring: Column) -> Column:
@@ -55,48 +53,85 @@ def shared_areas(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((_border_inside(a, b, True) + _border_inside(b, a, False)) / 2, 0.0)
 
 
+def _column(rows: pa.Table, name: str) -> np.ndarray:
+    return rows.column(name).to_numpy()
+
+
+def _cut(left: pa.Table, right: pa.Table, picks: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """What the left and right polygons share, of the pairs of rows in picks."""
+    flat, sizes, starts = [], [], []
+    for rows in (left, right):
+        rings = rows.column("corners").combine_chunks()
+        flat.append(rings.flatten().to_numpy())
+        sizes.append(pc.list_value_length(rings).to_numpy())
+        starts.append(np.cumsum(sizes[-1]) - sizes[-1])
+    shared = np.zeros(len(picks[0]))
+    for at in range(0, len(shared), CUT):
+        a, b = (p[at : at + CUT] for p in picks)
+        na, nb, out = sizes[0][a], sizes[1][b], np.zeros(len(a))
+        for n, m in np.unique(np.stack([na, nb], axis=1), axis=0):
+            rows = np.flatnonzero((na == n) & (nb == m))
+            corners = [f[np.arange(k).reshape(-1, 2).T[:, :, None] + s[p[rows]]] for f, k, s, p in zip(flat, (n, m), starts, (a, b), strict=True)]
+            out[rows] = shared_areas(*corners)
+        shared[at : at + CUT] = out
+    return shared
+
+
 def overlaps(left: DataFrame, right: DataFrame, size: float, least: float = 0.0, once: bool = False) -> DataFrame:
     """a, b, shared, area_a, area_b of each pair of convex polygons (id, ring) that share an area, least of the smaller one's at
     least, met in the cells of size that their bounding boxes cover; a pair counts once, in the first cell that both cover.
 
-    once: of a pair met both ways round, only a < b. Pairs whose boxes share too little are never cut exactly. A cell with many
-    polygons is dealt to tasks in pieces. Rings with a corner that is not finite share nothing.
+    once: of a pair met both ways round, only a < b. Pairs whose boxes share too little are never cut exactly. The polygons of a
+    cell are dealt in pieces, and each left piece meets each right one in a group of its own. Rings with a corner that is not
+    finite share nothing.
     """
+    kinds = {"a": dict(left.dtypes)["id"], "b": dict(right.dtypes)["id"]}
 
     def spread(df: DataFrame, name: str) -> DataFrame:
         ends = [f(F.col(f"ring.{c}")) for c in "xz" for f in (F.array_min, F.array_max)]
         flat = F.flatten(F.transform(turned_left(F.col("ring")), lambda p: F.array(p["x"], p["z"])))
         finite = df.where(F.forall("ring", lambda p: (F.abs(p["x"]) < float("inf")) & (F.abs(p["z"]) < float("inf"))))
-        boxed = finite.select(F.col("id").alias(name), *[e.alias(f"{k}_{name}") for e, k in zip(ends, ("w0", "w1", "h0", "h1"), strict=True)], flat.alias(f"ring_{name}"), shoelace(F.col("ring")).alias(f"area_{name}"))
-        covered = lambda c: F.explode(F.sequence(cell(F.col(f"{c}0_{name}"), size), cell(F.col(f"{c}1_{name}"), size)))
-        return boxed.withColumn("_cx", covered("w")).withColumn("_cz", covered("h"))
+        ids = [(F.col("id") if k == name else F.lit(None).cast(kinds[k])).alias(k) for k in "ab"]
+        boxed = finite.select(*ids, *[e.alias(k) for e, k in zip(ends, ("w0", "w1", "h0", "h1"), strict=True)], flat.alias("corners"), shoelace(F.col("ring")).alias("area"))
+        boxed = boxed.withColumns({"x0": cell(F.col("w0"), size), "z0": cell(F.col("h0"), size)})
+        return boxed.withColumn("_cx", F.explode(F.sequence("x0", cell(F.col("w1"), size)))).withColumn("_cz", F.explode(F.sequence("z0", cell(F.col("h1"), size))))
 
     a, b = spread(left, "a"), spread(right, "b")
-    pieces = a.groupBy("_cx", "_cz").agg(F.ceil(F.count(F.lit(1)) / PIECE).alias("_n"))
-    a = a.join(pieces, ["_cx", "_cz"]).withColumn("_k", F.pmod(F.xxhash64("a"), F.col("_n"))).drop("_n")
-    b = b.join(pieces, ["_cx", "_cz"]).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).drop("_n")
-    low, high = (lambda c: F.greatest(f"{c}0_a", f"{c}0_b")), (lambda c: F.least(f"{c}1_a", f"{c}1_b"))
-    smaller, lap = F.least("area_a", "area_b"), (high("w") - low("w")) * (high("h") - low("h"))
-    met = a.join(b.hint("merge"), ["_cx", "_cz", "_k"]).where((F.col("a") < F.col("b")) if once else F.lit(True))
-    met = met.where((high("w") > low("w")) & (high("h") > low("h")) & (lap >= (least - 1e-6) * smaller))
-    met = met.where((F.col("_cx") == cell(low("w"), size)) & (F.col("_cz") == cell(low("h"), size)))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, sizes = {}, {}
-            for name in "ab":
-                column = batch.column(f"ring_{name}")
-                flat[name] = column.flatten().to_numpy(zero_copy_only=False)
-                sizes[name] = pc.list_value_length(column).to_numpy(zero_copy_only=False)
-            shared = np.zeros(len(batch))
-            for pair in np.unique(np.stack([sizes["a"], sizes["b"]], axis=1), axis=0):
-                rows = np.flatnonzero((sizes["a"] == pair[0]) & (sizes["b"] == pair[1]))
-                starts = [(np.cumsum(sizes[name]) - sizes[name])[rows] for name in "ab"]
-                shared[rows] = shared_areas(*(flat[name][np.arange(n).reshape(-1, 2).T[:, :, None] + at] for name, n, at in zip("ab", pair, starts, strict=True)))
-            area = {name: batch.column(f"area_{name}").to_numpy(zero_copy_only=False) for name in "ab"}
-            kept = pa.array((shared > 0) & (shared >= least * np.minimum(area["a"], area["b"])))
-            out = [batch.column("a"), batch.column("b"), pa.array(shared), batch.column("area_a"), batch.column("area_b")]
-            yield pa.RecordBatch.from_arrays([c.filter(kept) for c in out], ["a", "b", "shared", "area_a", "area_b"])
-
-    kinds = [dict(df.dtypes)["id"] for df in (left, right)]
-    return met.select("a", "b", "ring_a", "ring_b", "area_a", "area_b").mapInArrow(cut, f"a {kinds[0]}, b {kinds[1]}, shared double, area_a double, area_b double")
+    pieces = [rows.groupBy("_cx", "_cz").agg(F.ceil(F.count(F.lit(1)) / PIECE).alias(f"_n{name}")) for rows, name in ((a, "a"), (b, "b"))]
+    pieces = pieces[0].join(pieces[1], ["_cx", "_cz"])
+
+    def dealt(rows: DataFrame, mine: str, other: str) -> DataFrame:
+        own = F.pmod(F.xxhash64(mine, "w0", "h0"), F.col(f"_n{mine}"))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"_n{other}") - 1))
+        return rows.join(pieces, ["_cx", "_cz"]).withColumn(f"_{mine}", own).withColumn(f"_{other}", every).drop("_na", "_nb")
+
+    def met(rows: pa.Table) -> pa.Table:
+        sides = pc.equal(rows.column("side"), 0)
+        sides = {"a": rows.filter(sides), "b": rows.filter(pc.invert(sides))}
+        at = {(c, k): _column(sides[k], c) for k in "ab" for c in ("w0", "w1", "h0", "h1", "x0", "z0", "area")}
+        cx, cz = rows.column("_cx")[0].as_py(), rows.column("_cz")[0].as_py()
+        found = []
+        for start in range(0, len(sides["a"]), ROWS):
+            mine = {c: at[c, "a"][start : start + ROWS, None] for c in ("w0", "w1", "h0", "h1")}
+            i, j = np.nonzero((mine["w0"] < at["w1", "b"]) & (mine["w1"] > at["w0", "b"]) & (mine["h0"] < at["h1", "b"]) & (mine["h1"] > at["h0", "b"]))
+            i += start
+            kept = (np.maximum(at["x0", "a"][i], at["x0", "b"][j]) == cx) & (np.maximum(at["z0", "a"][i], at["z0", "b"][j]) == cz)
+            i, j = i[kept], j[kept]
+            lap = [np.minimum(at[f"{c}1", "a"][i], at[f"{c}1", "b"][j]) - np.maximum(at[f"{c}0", "a"][i], at[f"{c}0", "b"][j]) for c in "wh"]
+            kept = lap[0] * lap[1] >= (least - 1e-6) * np.minimum(at["area", "a"][i], at["area", "b"][j])
+            i, j = i[kept], j[kept]
+            if once:
+                kept = pc.fill_null(pc.less(sides["a"].column("a").take(pa.array(i)), sides["b"].column("b").take(pa.array(j))), False).to_numpy()
+                i, j = i[kept], j[kept]
+            shared = _cut(sides["a"], sides["b"], (i, j))
+            areas = at["area", "a"][i], at["area", "b"][j]
+            kept = (shared > 0) & (shared >= least * np.minimum(*areas))
+            ids = [sides[k].column(k).take(pa.array(p[kept])) for k, p in (("a", i), ("b", j))]
+            found.append(pa.table([*ids, shared[kept], areas[0][kept], areas[1][kept]], names=["a", "b", "shared", "area_a", "area_b"]))
+        return pa.concat_tables(found) if found else pa.table([sides[k].column(k).slice(0, 0) for k in "ab"] + [np.zeros(0)] * 3, names=["a", "b", "shared", "area_a", "area_b"])
+
+    both = dealt(a, "a", "b").withColumn("side", F.lit(0)).unionByName(dealt(b, "b", "a").withColumn("side", F.lit(1)))
+    group = ["_cx", "_cz", "_a", "_b"]
+    # small groups make many pairs: their tasks are not to be joined for the little they read
+    both = both.repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group)
+    return both.groupBy(*group).applyInArrow(met, f"a {kinds['a']}, b {kinds['b']}, shared double, area_a double, area_b double")
